@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from kinweave.llm.decontaminate import op9_decontamination
+from kinweave.llm.langid import op6_langid
+from kinweave.llm.lm import op5_lm
 from kinweave.llm.mixing import op8_mixing
+from kinweave.llm.quality_model import op2_quality
 from kinweave.llm.quality_rules import op4_quality_rules
 from kinweave.llm.simhash import op1_simhash
 from kinweave.llm.substrings import op10_substrings
+from kinweave.llm.toxicity import op3_toxicity
+from kinweave.llm.warc import op7_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op4_quality_rules, op8_mixing, op9_decontamination, op10_substrings)
+    for f in (
+        op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_lm,
+        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings,
+    )
 }
 
 ORACLES = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+        ), b AS (SELECT d, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN best <> page_id THEN best END AS refers_to
+        FROM p LEFT JOIN b ON p.d = b.d AND n >= 1000
+    """,
     "op10_substrings": r"""
         WITH texts AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
