@@ -40,6 +40,7 @@ REJECT = 200.0
 #: Groups with fewer rows are joined with the other small ones of their language, then
 #: with all small ones; if these are still too few, nothing is rejected among them.
 MIN_GROUP = 100
+MAX_BROADCAST, SALTS = 8 << 20, 32
 
 
 def base_counts(text: Column) -> list[tuple[str, Column]]:
@@ -201,6 +202,27 @@ def _groups(points: DataFrame) -> DataFrame:
     )
 
 
+class _Looked:
+    """Joins of rows with a small table by group.
+
+    The table is broadcast if the groups' names and numbers stay under MAX_BROADCAST bytes.
+    Otherwise rows are salted and the table repeated for each salt, so that a group with a
+    third of all rows meets it in many tasks.
+    """
+
+    def __init__(self, groups: DataFrame) -> None:
+        names = F.octet_length("lang_key") + F.octet_length("source_key")
+        size = groups.agg(F.sum(2 * names + 8 * 20)).first()[0] or 0
+        self.small = size <= MAX_BROADCAST
+
+    def join(self, rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        if self.small:
+            return rows.join(F.broadcast(table), keys, how)
+        rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.join(table, [*keys, "_salt"], how).drop("_salt")
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -242,20 +264,21 @@ def quality_rules(
     cells = ["lang_key", "source_key", *[f"x{a}" for a in range(N_FEATURES)]]
     points = rows.where("not base_failed").select(*cells)
     groups = work.table(_groups(points), "groups")
-    points = points.join(groups, ["lang_key", "source_key"]).where("grp is not null").drop("lang_key", "source_key")
+    looked = _Looked(groups)
+    points = looked.join(points, groups, ["lang_key", "source_key"]).where("grp is not null").drop("lang_key", "source_key")
     points = work.table(points, "points")
     params = work.table(_start(points), "start")
     widen = CORE / CORE_MASS6
     for k in range(STEPS):
-        measured = _distance(points.join(params, "grp"))
+        measured = _distance(looked.join(points, params, ["grp"]))
         cut = _cut(measured, CORE)
-        near = measured.join(cut, "grp").where(_bin(F.col("d2")) <= F.col("cut"))
+        near = looked.join(measured, cut, ["grp"]).where(_bin(F.col("d2")) <= F.col("cut"))
         params = work.table(_estimate(near.groupBy("grp").agg(*_moments()), widen), f"step-{k}")
-    near = _distance(points.join(params, "grp")).where(F.col("d2") <= CHI2_WEIGHT)
+    near = _distance(looked.join(points, params, ["grp"])).where(F.col("d2") <= CHI2_WEIGHT)
     params = work.table(_estimate(near.groupBy("grp").agg(*_moments()), 1.0), "final")
 
     judged = groups.join(params, "grp", "left")
-    out = _distance(rows.join(judged, ["lang_key", "source_key"], "left"))
+    out = _distance(looked.join(rows, judged, ["lang_key", "source_key"], "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return out.select(
         F.col("_id").alias(id_col),
