@@ -43,7 +43,9 @@ def _chosen(labelled: DataFrame, most: int) -> DataFrame:
 
 
 def word_weights(docs: DataFrame, labelled: DataFrame, work: Workspace) -> tuple[list[str], list[float], DataFrame | None]:
-    """Domains, their prior shares, and (word, w0, w1, ...) with a log ratio for each domain."""
+    """Domains, the log weight of each for a text without any told word, and (word, w0, w1, ...)
+    with what the word adds for each domain.
+    """
     taught = labelled.where(F.col("domain").isNotNull() & F.col("_id").isNotNull()).distinct()
     taught = work.table(_chosen(taught, MAX_LABELLED), "taught")
     sizes = {r[0]: r[1] for r in taught.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
@@ -66,17 +68,23 @@ def word_weights(docs: DataFrame, labelled: DataFrame, work: Workspace) -> tuple
     share = [(x + 1.0) / (sum(share) + len(share)) for x in share]
     apart = [(x - every * q) * (x - every * q) / (every * q * (1 - q) + 1e-9) for x, q in zip(n, share)]
     ratio = [F.log((x + SHRINK * q) / (every + SHRINK) / q) for x, q in zip(n, share)]
+    # a domain's share of texts with the word; a word that is absent speaks too
+    has = [F.least(F.exp(w) * every / float(sum(sizes.values())), F.lit(0.95)) for w in ratio]
     best = (
-        seen.select("word", *[w.alias(f"w{i}") for i, w in enumerate(ratio)], F.round(sum(apart[1:], apart[0]), 6).alias("apart"))
+        seen.select("word", *[(w - F.log1p(-h)).alias(f"w{i}") for i, (w, h) in enumerate(zip(ratio, has))],
+                    *[F.log1p(-h).alias(f"a{i}") for i, h in enumerate(has)], F.round(sum(apart[1:], apart[0]), 6).alias("apart"))
         .where(F.col("apart") >= MIN_CHI2)
         .orderBy(F.desc("apart"), "word").limit(MAX_WORDS).drop("apart")
     )
-    return domains, prior, work.table(best, "words")
+    words = work.table(best, "words")
+    absent = words.agg(*[F.sum(F.round(f"a{i}", 9)) for i in range(len(domains))]).first()
+    base = [float(np.log(q)) + (x or 0.0) for q, x in zip(prior, absent)]
+    return domains, base, words.drop(*[f"a{i}" for i in range(len(domains))])
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, work: Workspace) -> tuple[list[str], DataFrame]:
     """(_id, _hash, tokens, copies, p0, p1, ...): one row for each distinct id and text."""
-    domains, prior, words = word_weights(docs, labelled, work)
+    domains, base, words = word_weights(docs, labelled, work)
     rows = docs.select(
         "_id", F.xxhash64("_text").alias("_hash"), F.monotonically_increasing_id().alias("_row"),
         _words(F.col("_text")).alias("_words"),
@@ -91,7 +99,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, work: Workspace) -> tuple[l
             .groupBy(*keys, "_row")
             .agg(*[F.coalesce(F.sum(F.round(f"w{i}", 9)), F.lit(0.0)).alias(f"s{i}") for i in range(len(domains))])
         )
-    logit = [F.lit(float(np.log(q))) + F.col(f"s{i}") for i, q in enumerate(prior)]
+    logit = [F.lit(x) + F.col(f"s{i}") for i, x in enumerate(base)]
     top = F.greatest(*logit) if len(logit) > 1 else (logit or [F.lit(0.0)])[0]
     raised = [F.exp(x - top) for x in logit]
     once = scored.groupBy(*keys).agg(F.count("*").alias("copies"), *[F.min(f"s{i}").alias(f"s{i}") for i in range(len(domains))])
@@ -162,7 +170,7 @@ def mix(
     domain names), ``rate`` (how often the document is to be read on average) and ``copies``
     (the rate rounded down or up by a hash of the document, so that copies add up to rates).
 
-    A null or empty text has no tokens; its posterior is the prior. Repeated rows count as
+    A null or empty text has no tokens; its posterior is that of a text without told words. Repeated rows count as
     often as they occur and share a rate. A label for a null id, or a null domain, teaches
     nothing. Without labels or tokens every rate is one. A target for a domain without a
     labelled document is an error; an empty target table is one too. Targets that nonnegative
@@ -196,19 +204,22 @@ def mix(
 
 #: Weights of the domains that the labels table tells apart.
 TARGETS = {"clean": 0.90, "junk": 0.04, "toxic": 0.06}
+#: The same for documents from which junk has been taken.
+FILTERED_TARGETS = {"clean": 0.93, "toxic": 0.07}
 
 
-def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
-        "doc_id", F.expr("case when quality = 0 then 'junk' when toxic = 1 then 'toxic' when quality = 1 and toxic = 0 then 'clean' end").alias("domain")
-    )
+def label_domains(spark: SparkSession, sf_dir: str, junk: bool = True) -> DataFrame:
+    """(doc_id, domain) of the labels table; without ``junk``, by toxicity alone."""
+    toxic = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    domain = F.when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, toxic) if junk else toxic
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", domain.alias("domain"))
 
 
-def mix_labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    """``mix`` with the domains of the labels table; targets without a label are left out."""
-    labelled = label_domains(spark, sf_dir)
+def mix_filtered(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """``mix`` for filtered documents; domains without a labelled document among them have no target."""
+    labelled = label_domains(spark, sf_dir, junk=False)
     known = {r[0] for r in docs.select("doc_id").join(labelled, "doc_id").select("domain").distinct().collect()}
-    targets = {d: w for d, w in TARGETS.items() if d in known} or TARGETS
+    targets = {d: w for d, w in FILTERED_TARGETS.items() if d in known} or FILTERED_TARGETS
     return mix(docs, labelled, targets, keep=keep)
 
 
