@@ -208,7 +208,8 @@ def score_quality(
     )
     taught = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     taught = taught.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold("id", folds) != held_fold))
-    taught = bounded(taught, MAX_TAUGHT).join(rows.select("id", "text"), "id").select("label", "text")
+    taught = F.broadcast(bounded(taught.distinct(), MAX_TAUGHT))  # an id and a label each
+    taught = rows.select("id", "text").join(taught, "id").select("label", "text")
     found = taught.mapInArrow(_teaching, "label int, buckets binary, sizes binary, stats binary").collect()
     found = sorted((r.label, bytes(r.buckets), bytes(r.sizes), bytes(r.stats)) for r in found)
     bags = [
