@@ -18,7 +18,7 @@ from kinweave.llm.sampling import Adam, bounded, fold
 
 BITS = 18
 #: Labelled texts that teach, at most about, and sentences taken from each, evenly spaced.
-MAX_TAUGHT = 5000
+MAX_TAUGHT = 4000
 TAUGHT_SENTENCES = 64
 #: Lengths in bytes of beginnings; each counts for words that are longer.
 STARTS = (4, 5, 6, 7, 8)
@@ -90,13 +90,12 @@ def _term_buckets(words: list[str]) -> np.ndarray:
 def train(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 1) -> dict:
     """Weights from words of sentences (``sizes`` words each) of texts (``counts`` sentences each)."""
     rng = np.random.default_rng(seed)
-    buckets = words.ravel()
-    text_of_sentence = np.repeat(np.arange(len(counts)), counts)
-    sentence = np.repeat(np.repeat(np.arange(len(sizes)), sizes), words.shape[1])
-    pairs = np.unique(text_of_sentence[sentence].astype(np.int64) << (BITS + 1) | buckets)
-    held, text = pairs & ((1 << (BITS + 1)) - 1), pairs >> (BITS + 1)
-    held_by = np.bincount(held, minlength=_NONE + 1)
-    toxic_by = np.bincount(held, labels[text], minlength=_NONE + 1)
+    first_word = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+    held_by, toxic_by = (np.zeros(_NONE + 1, np.int64) for _ in range(2))
+    for i, label in enumerate(labels):
+        own = np.unique(words[first_word[i] : first_word[i + 1]])
+        held_by[own] += 1
+        toxic_by[own] += int(label)
     share = labels.mean()
     z = (toxic_by - held_by * share) / np.sqrt(np.maximum(held_by * share * (1 - share), 1e-9))
     terms, neutral = _term_buckets(IDENTITY), _term_buckets(NEUTRAL)
@@ -104,8 +103,10 @@ def train(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.n
     known[terms] = known[neutral] = True
     known[_NONE] = False
     code = np.cumsum(known) - 1
-    keep = known[buckets]
-    word, sentence = code[buckets[keep]], sentence[keep]
+    place, column = np.nonzero(known[words])
+    word = code[words[place, column]]
+    sentence = np.repeat(np.arange(len(sizes)), sizes)[place]
+    text_of_sentence = np.repeat(np.arange(len(counts)), counts)
     naming = code[words[:, 0][np.isin(words[:, 0], terms)]]
     options = np.concatenate((code[terms], np.repeat(code[neutral], max(1, len(terms) // len(neutral)))))
     p = {"weight": np.zeros(int(known.sum())), "bias": np.array([-2.0])}
