@@ -33,7 +33,7 @@ ORACLES = {
     """,
     "op10_substrings": r"""
         WITH texts AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
             FROM documents
         ), windows AS (
             SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS w
