@@ -30,6 +30,8 @@ class NotFound(LookupError):
 def parse_as_of(spark, value: str | None) -> str | None:
     if not value:
         return None
+    if not re.match(r"\d{4}-\d{2}-\d{2}", value):  # no "now" or "yesterday"
+        raise BadRequest(f"not a time: {value}")
     found = spark.range(1).select(F.date_format(t.as_of(F.lit(value)), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
     if found is None:
         raise BadRequest(f"not a time: {value}")
