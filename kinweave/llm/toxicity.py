@@ -81,10 +81,10 @@ def _fold_text(text: str | None) -> bytes:
     return to_bytes((text or "").lower())
 
 
-def _term_buckets(words: list[str]) -> np.ndarray:
+def _term_features(words: list[str]) -> np.ndarray:
     data = np.frombuffer(b" ".join(_fold_text(w) for w in words) + b" ", np.uint8)
     ends = np.flatnonzero(data == 0x20)
-    return _features(data, np.concatenate(([0], ends[:-1] + 1)), ends)[:, 0]
+    return _features(data, np.concatenate(([0], ends[:-1] + 1)), ends)
 
 
 def train(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.ndarray, seed: int = 1) -> dict:
@@ -98,17 +98,21 @@ def train(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.n
         toxic_by[own] += int(label)
     share = labels.mean()
     z = (toxic_by - held_by * share) / np.sqrt(np.maximum(held_by * share * (1 - share), 1e-9))
-    terms, neutral = _term_buckets(IDENTITY), _term_buckets(NEUTRAL)
+    terms = _term_features(IDENTITY + NEUTRAL)
     known = (held_by >= MIN_TEXTS) & (np.abs(z) >= MIN_Z)
-    known[terms] = known[neutral] = True
+    known[terms] = True
     known[_NONE] = False
     code = np.cumsum(known) - 1
     place, column = np.nonzero(known[words])
     word = code[words[place, column]]
     sentence = np.repeat(np.arange(len(sizes)), sizes)[place]
     text_of_sentence = np.repeat(np.arange(len(counts)), counts)
-    naming = code[words[:, 0][np.isin(words[:, 0], terms)]]
-    options = np.concatenate((code[terms], np.repeat(code[neutral], max(1, len(terms) // len(neutral)))))
+    # which term each naming in the texts is, and the features that make up a term's logit
+    at = {int(x): i for i, x in enumerate(terms[: len(IDENTITY), 0])}
+    naming = np.array([at[x] for x in words[np.isin(words[:, 0], list(at)), 0].tolist()], np.int64)
+    options = np.concatenate((np.arange(len(IDENTITY)), np.repeat(np.arange(len(IDENTITY), len(terms)), len(IDENTITY) // len(NEUTRAL))))
+    part_of, column = np.nonzero(terms != _NONE)
+    part = code[terms[part_of, column]]
     p = {"weight": np.zeros(int(known.sum())), "bias": np.array([-2.0])}
     adam = Adam(p, 0.15)
     n = len(labels)
@@ -126,10 +130,13 @@ def train(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, labels: np.n
         d = back[text_of_sentence] * toxic
         g = np.bincount(word, d[sentence], len(p["weight"])) + L2 * p["weight"]
         if len(naming):
+            logits = np.bincount(part_of, p["weight"][part], len(terms))
+            pull = np.zeros(len(terms))
             for _ in range(SWAPS):
                 other = options[rng.integers(0, len(options), len(naming))]
-                change = 2 * SWAP * (p["weight"][naming] - p["weight"][other]) / len(naming) / SWAPS
-                g += np.bincount(naming, change, len(g)) - np.bincount(other, change, len(g))
+                change = 2 * SWAP * (logits[naming] - logits[other]) / len(naming) / SWAPS
+                pull += np.bincount(naming, change, len(terms)) - np.bincount(other, change, len(terms))
+            g += np.bincount(part, pull[part_of], len(g))
         adam.step({"weight": g, "bias": np.array([d.sum()])})
     weight = np.zeros(_NONE + 1, np.float32)
     weight[known] = p["weight"]
