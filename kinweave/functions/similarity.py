@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -62,7 +63,7 @@ def token_similarity(a: str, b: str) -> float:
     return max(heard, jaro_winkler(a, b))
 
 
-def name_similarity(a: list[str], b: list[str]) -> float:
+def name_similarity(a: Sequence[str], b: Sequence[str]) -> float:
     """Mean similarity of greedily paired tokens; one poor pair caps it at 0.6.
 
     Tokens of the shorter name (of the first, if both are as long) choose partners, initials
@@ -82,6 +83,11 @@ def name_similarity(a: list[str], b: list[str]) -> float:
     return min(mean, 0.6) if min(picked) < 0.75 else mean
 
 
+@lru_cache(maxsize=200_000)
+def _pair(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    return name_similarity(a, b)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -94,5 +100,4 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def name_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    none: list[str] = []
-    return pd.Series([name_similarity(none if x is None else list(x), none if y is None else list(y)) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([_pair(() if x is None else tuple(x), () if y is None else tuple(y)) for x, y in zip(a, b)], dtype="float64")

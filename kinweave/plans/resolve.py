@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinweave.config import SETTINGS, Settings
@@ -77,24 +77,36 @@ def evidence(s: Settings = SETTINGS) -> list[tuple[Column, float, Column]]:
     ]
 
 
-def scored(pairs: DataFrame, records: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """(newer, older, score, name_similarity, reasons, is_match, linked_at)."""
+#: How many of the rules in evidence() are about names, and what the best of them gives.
+NAME_RULES, BEST_NAME = 4, 3.0
+
+
+def scored(pairs: DataFrame, records: DataFrame, s: Settings = SETTINGS, matches_only: bool = False) -> DataFrame:
+    """(newer, older, score, name_similarity, reasons, is_match, linked_at).
+
+    With ``matches_only``, pairs that no agreement of names could lift to the threshold go
+    before names are compared, and so do the other pairs that are no match.
+    """
     used = ["name_tokens", "dob", "phones", "email", "address", "pincode", "id_hash", "device_id", "ingested_at"]
     side = lambda p, key: records.select(F.col("record_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in used])
     rows = pairs.join(side("a", "newer"), "newer").join(side("b", "older"), "older").select(
-        "*", name_similarity_udf("a_name_tokens", "b_name_tokens").alias("name_sim"),
-        t.word_overlap(F.col("a_address"), F.col("b_address")).alias("addr_sim"),
+        "*", t.word_overlap(F.col("a_address"), F.col("b_address")).alias("addr_sim"),
         t.date_relation(F.col("a_dob"), F.col("b_dob")).alias("dob_relation"),
     )
     parts = evidence(s)
     zero = F.lit(0.0)
-    total = sum((F.when(c, F.lit(p)).otherwise(zero) for c, p, _ in parts), zero)
+    points = lambda some: sum((F.when(c, F.lit(p)).otherwise(zero) for c, p, _ in some), zero)
+    if matches_only:
+        rows = rows.where(points(parts[NAME_RULES:]) + BEST_NAME >= s.match_threshold)
+    rows = rows.withColumn("name_sim", name_similarity_udf("a_name_tokens", "b_name_tokens"))
+    total = points(parts)
     reasons = F.array_compact(F.array(*[F.when(c, F.concat(r, F.lit(f" ({p:+.1f})"))) for c, p, r in parts]))
     out = rows.select(
         "newer", "older", F.round(total, 2).alias("score"), F.round("name_sim", 3).alias("name_similarity"),
         reasons.alias("reasons"), F.col("a_ingested_at").alias("linked_at"),
     )
-    return out.withColumn("is_match", (F.col("score") >= s.match_threshold) & (F.col("name_similarity") >= s.name_floor))
+    out = out.withColumn("is_match", (F.col("score") >= s.match_threshold) & (F.col("name_similarity") >= s.name_floor))
+    return out.where("is_match") if matches_only else out
 
 
 def replay_component(rows: list[tuple]) -> list[tuple]:
@@ -128,10 +140,34 @@ def replay_component(rows: list[tuple]) -> list[tuple]:
 _EVENTS = "kind string, record_id string, trigger string, at timestamp_ntz, founder string, other string, n int"
 
 
-def _replay(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["at", "record_id"])
-    rows = [(r.record_id, r.at, list(r.older)) for r in group.itertuples()]
-    return pd.DataFrame(replay_component(rows), columns=["kind", "record_id", "trigger", "at", "founder", "other", "n"])
+def _replay(batches):
+    kinds = (pa.string(), pa.string(), pa.string(), pa.timestamp("us"), pa.string(), pa.string(), pa.int32())
+    for batch in batches:
+        found = [e for rows in batch.column(0).to_pylist() for e in replay_component([(r["record_id"], r["at"], r["older"]) for r in rows])]
+        if found:
+            arrays = [pa.array(c, k) for c, k in zip(zip(*found), kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "record_id", "trigger", "at", "founder", "other", "n"])
+
+
+def component_events(linked: DataFrame) -> DataFrame:
+    """Events of (component, record_id, at, older), ``older`` listing linked earlier records.
+
+    Where one record alone starts an identity, all others of the component join it and no
+    merge can come about: that is told without a replay. Replays take a component's ids as
+    one row.
+    """
+    first = F.min_by("record_id", F.struct("at", "record_id"))
+    heads = linked.groupBy("component").agg(F.count_if(F.size("older") == 0).alias("starts"), first.alias("founder"))
+    both = linked.join(heads, "component")
+    new = F.col("record_id") == F.col("founder")
+    plain = both.where("starts = 1").select(
+        F.when(new, "new").otherwise("joined").alias("kind"), "record_id", F.col("record_id").alias("trigger"), "at", "founder",
+        F.when(new, "0").otherwise("1").alias("other"), F.size("older").alias("n"),
+    )
+    lists = both.where("starts > 1").groupBy("component").agg(
+        F.array_sort(F.collect_list(F.struct("at", "record_id", "older"))).alias("rows")
+    )
+    return plain.unionByName(lists.select("rows").mapInArrow(_replay, _EVENTS))
 
 
 def numbered(rows: DataFrame, order: list[str], work: Workspace, name: str) -> DataFrame:
@@ -172,7 +208,7 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
     records = work.table(first_deliveries(normalized(canonical)), "records")
     pairs = candidate_pairs(blocking_keys(records), s.block_cap)
     links = work.table(
-        scored(pairs, records, s).where("is_match").select(
+        scored(pairs, records, s, matches_only=True).select(
             F.col("older").alias("record_a"), F.col("newer").alias("record_b"), "score", "name_similarity", "reasons",
             F.col("linked_at").alias("created_at"),
         ),
@@ -183,7 +219,7 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
     older = links.groupBy(F.col("record_b").alias("node")).agg(F.array_sort(F.collect_set("record_a")).alias("older"))
     linked = parts.join(older, "node", "left").join(records.select(F.col("record_id").alias("node"), F.col("ingested_at").alias("at")), "node")
     linked = linked.select(F.col("node").alias("record_id"), "component", "at", F.coalesce("older", F.array().cast("array<string>")).alias("older"))
-    replayed = linked.groupBy("component").applyInPandas(lambda g: _replay(g), _EVENTS)
+    replayed = component_events(work.table(linked, "linked"))
     alone = records.join(parts, F.col("record_id") == F.col("node"), "left_anti").select(
         F.lit("new").alias("kind"), "record_id", F.col("record_id").alias("trigger"), F.col("ingested_at").alias("at"),
         F.col("record_id").alias("founder"), F.lit("0").alias("other"), F.lit(0).alias("n"),
