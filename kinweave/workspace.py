@@ -46,7 +46,7 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.folder(name))
