@@ -73,3 +73,13 @@ def test_name_similarity_bands():
 def test_registered_in_sql(spark):
     t.register(spark)
     assert spark.sql("SELECT round(kw_jaro_winkler('martha', 'marhta'), 3)").first()[0] == 0.961
+
+
+def test_package_is_shipped_once(spark, monkeypatch):
+    from kinweave import shipping
+
+    monkeypatch.delenv("PYTHONPATH", raising=False)
+    monkeypatch.setattr(shipping, "_done", set())
+    run = shipping.shipped(lambda session, _: session.createDataFrame([("martha", "marhta")], "a string, b string").select(s.jaro_udf("a", "b")))
+    assert run(spark, "").first()[0] == pytest.approx(0.944, abs=1e-3)
+    assert run(spark, "").count() == 1 and len(shipping._done) == 1
