@@ -82,6 +82,43 @@ norm AS (
     ) WHERE value IS NOT NULL
 )"""
 
+PAIRS = f"""{NORM.replace('WITH person', 'WITH RECURSIVE person', 1)},
+ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20),
+pairs AS (SELECT DISTINCT a.record_id AS newer, b.record_id AS older FROM ranked a JOIN ranked b ON a.k = b.k AND b.rank < a.rank)"""
+#: Jaro of the token pairs tp(a, b), a letter of a at a time; a letter of b that is taken becomes a dot.
+_JARO = """steps AS (
+    SELECT a, b, 1 AS i, b AS free, '' AS got, greatest(greatest(length(a), length(b)) // 2 - 1, 0) AS reach FROM tp
+    UNION ALL
+    SELECT a, b, i + 1, CASE WHEN hit > 0 THEN left(free, lo + hit - 1) || '.' || substr(free, lo + hit + 1) ELSE free END, CASE WHEN hit > 0 THEN got || c ELSE got END, reach
+    FROM (SELECT *, instr(substr(free, lo + 1, i + reach - lo), c) AS hit FROM (SELECT *, greatest(i - 1 - reach, 0) AS lo, substr(a, i, 1) AS c FROM steps WHERE i <= length(a)))
+), met AS (
+    SELECT a, b, got, length(got) AS m, list_transform(list_filter(range(1, length(b) + 1), lambda k: substr(free, k, 1) = '.'), lambda k: substr(b, k, 1)) AS other
+    FROM steps WHERE i > length(a)
+), jaro AS (
+    SELECT a, b, len(list_filter(range(1, 5), lambda k: k <= length(a) AND k <= length(b) AND left(a, k) = left(b, k))) AS prefix,
+        CASE WHEN a = b THEN 1.0::DOUBLE WHEN m = 0 THEN 0.0::DOUBLE
+             ELSE (m / length(a) + m / length(b) + (m - len(list_filter(range(1, m + 1), lambda k: substr(got, k, 1) <> other[k])) / 2) / m) / 3 END AS jaro FROM met
+), sims AS (SELECT a, b, jaro, jaro + prefix * 0.1::DOUBLE * (1 - jaro) AS jaro_winkler FROM jaro)"""
+#: Name similarity of named(few, many): tokens of the shorter name choose partners, initials last.
+_NAMES = f"""named AS (
+    SELECT DISTINCT newer, older, CASE WHEN len(a.toks) <= len(b.toks) THEN a.toks ELSE b.toks END AS few, CASE WHEN len(a.toks) <= len(b.toks) THEN b.toks ELSE a.toks END AS many
+    FROM pairs JOIN norm a ON a.record_id = newer JOIN norm b ON b.record_id = older
+), names AS (SELECT DISTINCT few, many FROM named),
+tp AS (SELECT DISTINCT a, b FROM (SELECT unnest(few) AS a, many FROM names), unnest(many) AS u(b)), {_JARO},
+sounds AS (SELECT DISTINCT tk, sk FROM tok),
+near AS (
+    SELECT a, b, CASE WHEN least(length(a), length(b)) = 1 THEN CASE WHEN left(a, 1) = left(b, 1) THEN 0.9 ELSE 0.0 END
+        ELSE greatest(jaro_winkler, CASE WHEN length(p.sk) > 1 AND p.sk = q.sk THEN 0.95 ELSE 0.0 END) END::DOUBLE AS sim
+    FROM sims JOIN sounds p ON p.tk = a JOIN sounds q ON q.tk = b
+), picks AS (
+    SELECT few, many, list_concat(list_filter(few, lambda x: length(x) > 1), list_filter(few, lambda x: length(x) = 1)) AS todo, many AS free, []::DOUBLE[] AS picked FROM names
+    UNION ALL
+    SELECT few, many, todo[2:], CASE WHEN best.sim > 0 THEN list_concat(free[1 : -best.back - 1], free[1 - best.back :]) ELSE free END, list_append(picked, best.sim)
+    FROM (SELECT few, many, todo, free, picked, max({{'sim': sim, 'back': -nth}}) AS best FROM picks, unnest(range(1, len(free) + 1)) AS u(nth) JOIN near ON a = todo[1] AND b = free[nth] WHERE len(todo) > 0 GROUP BY ALL)
+), alike AS (
+    SELECT few, many, CASE WHEN len(few) = 0 THEN 0.0 WHEN list_min(picked) < 0.75 THEN least(list_avg(picked), 0.6) ELSE list_avg(picked) END::DOUBLE AS name_sim FROM picks WHERE len(todo) = 0
+)"""
+
 
 # --- shared frames ------------------------------------------------------------------------
 
@@ -214,11 +251,32 @@ def m7_scored_pairs(spark, sf_dir):
     return res.scored(res.candidate_pairs(blocking_keys(recs), 20), recs)
 
 
-@query()
+@query(f"""{PAIRS}, {_NAMES}, both_sides AS (
+    SELECT newer, older, name_sim, a.id_hash AS ai, b.id_hash AS bi, a.email = b.email AS email, a.phone = b.phone AS phone, a.dob AS ad, b.dob AS bd, a.pincode = b.pincode AS pin, a.device_id = b.device_id AS device,
+        CASE WHEN a.address IS NULL OR b.address IS NULL THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a.address, ' ')), list_distinct(string_split(b.address, ' ')))) * 1.0
+            / len(list_distinct(list_concat(string_split(a.address, ' '), string_split(b.address, ' ')))) END AS overlap
+    FROM named JOIN alike USING (few, many) JOIN norm a ON a.record_id = newer JOIN norm b ON b.record_id = older
+), points AS (
+    SELECT newer, older, round(name_sim, 3) AS name_similarity,
+        round((CASE WHEN name_sim >= 0.92 THEN 3 WHEN name_sim >= 0.85 THEN 2 WHEN name_sim >= {SETTINGS.name_floor} THEN 1 WHEN name_sim < 0.7 THEN -3 ELSE 0 END
+        + CASE WHEN ai = bi THEN 5 WHEN ai <> bi THEN -6 ELSE 0 END + CASE WHEN email THEN 4 ELSE 0 END + CASE WHEN phone THEN 2.5 ELSE 0 END
+        + CASE WHEN ad = bd THEN 2.5 WHEN year(ad) = year(bd) AND month(ad) = day(bd) AND day(ad) = month(bd) THEN 1.5 WHEN ad <> bd THEN -4 ELSE 0 END
+        + CASE WHEN overlap >= 0.6 THEN 1 ELSE 0 END + CASE WHEN pin THEN 0.5 ELSE 0 END + CASE WHEN device THEN 1 ELSE 0 END)::DOUBLE, 2) AS score FROM both_sides
+) SELECT newer, older, score, name_similarity, score >= {SETTINGS.match_threshold} AND name_similarity >= {SETTINGS.name_floor} AS is_match FROM points""")
+def m7_pair_scores(spark, sf_dir):
+    return m7_scored_pairs(spark, sf_dir).select("newer", "older", "score", "name_similarity", "is_match")
+
+
+@query(f"""{PAIRS}, tp AS (SELECT DISTINCT x.tk AS a, y.tk AS b FROM pairs JOIN tok x ON x.record_id = newer JOIN tok y ON y.record_id = older), {_JARO}
+SELECT a, b, round(jaro, 9) AS jaro, round(jaro_winkler, 9) AS jaro_winkler FROM sims""")
 def m1_jaro_winkler(spark, sf_dir):
-    names = records(spark, sf_dir).select(F.explode("name_tokens").alias("a")).distinct()
-    return names.join(names.select(F.col("a").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1)).select(
-        "a", "b", similarity.jaro_udf("a", "b").alias("jaro"), similarity.jaro_winkler_udf("a", "b").alias("jaro_winkler")
+    """Tokens of names that blocking brings together; their number is bounded by the block cap."""
+    recs = records(spark, sf_dir)
+    side = lambda key, name: recs.select(F.col("record_id").alias(key), F.explode(F.array_distinct("name_tokens")).alias(name))
+    pairs = res.candidate_pairs(blocking_keys(recs), 20)
+    met = pairs.join(side("newer", "a"), "newer").join(side("older", "b"), "older").select("a", "b").distinct()
+    return met.select(
+        "a", "b", F.round(similarity.jaro_udf("a", "b"), 9).alias("jaro"), F.round(similarity.jaro_winkler_udf("a", "b"), 9).alias("jaro_winkler")
     )
 
 
