@@ -11,7 +11,7 @@ from kinweave.functions import similarity, text as t
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import attributes, blocking_keys, normalized
 from kinweave.plans import evaluate, read, resolve as res, rings
-from kinweave.sources import bridge, contracts
+from kinweave.sources import bridge, contracts, generate
 from kinweave.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +166,13 @@ def s1_envelopes(spark, sf_dir):
     )
 
 
+@query()
+def s8_generated_envelopes(spark, sf_dir):
+    """As many people as there are customers, and a ring for every 200."""
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    return generate.generate(spark, n, n // 200)[0].withColumn("payload", F.to_json("payload"))
+
+
 @query(f"""{bridge.flat_sql('VARCHAR')}
 SELECT record_id, CASE WHEN person_id % 97 = 0 THEN 'unknown source: ''crm'''
     WHEN person_id % 89 = 0 THEN 'missing ingested_at'
