@@ -236,6 +236,15 @@ def k2_attributes(spark, sf_dir):
 
 # --- blocking and scoring -----------------------------------------------------------------
 
+#: The cap in the SQL of five queries, which are held against it on whole tables. Each has a
+#: twin ``..._whole`` with the resolver's own cap, as has ``m7_scored_pairs``, without SQL.
+SQL_CAP = 20
+
+
+def _candidates(recs, cap):
+    return res.candidate_pairs(blocking_keys(recs), cap)
+
+
 @query(f"{NORM} SELECT record_id, k AS key FROM keys")
 def m8_blocking_keys(spark, sf_dir):
     return blocking_keys(records(spark, sf_dir)).select("record_id", "key")
@@ -243,19 +252,37 @@ def m8_blocking_keys(spark, sf_dir):
 
 @query(f"{NORM} SELECT k AS key, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20")
 def w1_block_rank(spark, sf_dir):
-    return res.ranked_keys(blocking_keys(records(spark, sf_dir)), 20).select("key", "record_id", F.col("rank").cast("long").alias("rank"))
+    return _ranks(spark, sf_dir, SQL_CAP)
+
+
+@query()
+def w1_block_rank_whole(spark, sf_dir):
+    return _ranks(spark, sf_dir, SETTINGS.block_cap)
+
+
+def _ranks(spark, sf_dir, cap):
+    return res.ranked_keys(blocking_keys(records(spark, sf_dir)), cap).select("key", "record_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{NORM}, ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20)
 SELECT DISTINCT a.record_id AS newer, b.record_id AS older FROM ranked a JOIN ranked b ON a.k = b.k AND b.rank < a.rank""")
 def j1_candidate_pairs(spark, sf_dir):
-    return res.candidate_pairs(blocking_keys(records(spark, sf_dir)), 20)
+    return _candidates(records(spark, sf_dir), SQL_CAP)
 
 
 @query()
-def m7_scored_pairs(spark, sf_dir):
+def j1_candidate_pairs_whole(spark, sf_dir):
+    return _candidates(records(spark, sf_dir), SETTINGS.block_cap)
+
+
+def _scored(spark, sf_dir, cap):
     recs = records(spark, sf_dir)
-    return res.scored(res.candidate_pairs(blocking_keys(recs), 20), recs)
+    return res.scored(_candidates(recs, cap), recs)
+
+
+@query()
+def m7_scored_pairs(spark, sf_dir):
+    return _scored(spark, sf_dir, SETTINGS.block_cap)
 
 
 @query(f"""{PAIRS}, {_NAMES}, both_sides AS (
@@ -271,6 +298,11 @@ def m7_scored_pairs(spark, sf_dir):
         + CASE WHEN overlap >= 0.6 THEN 1 ELSE 0 END + CASE WHEN pin THEN 0.5 ELSE 0 END + CASE WHEN device THEN 1 ELSE 0 END)::DOUBLE, 2) AS score FROM both_sides
 ) SELECT newer, older, score, name_similarity, score >= {SETTINGS.match_threshold} AND name_similarity >= {SETTINGS.name_floor} AS is_match FROM points""")
 def m7_pair_scores(spark, sf_dir):
+    return _scored(spark, sf_dir, SQL_CAP).select("newer", "older", "score", "name_similarity", "is_match")
+
+
+@query()
+def m7_pair_scores_whole(spark, sf_dir):
     return m7_scored_pairs(spark, sf_dir).select("newer", "older", "score", "name_similarity", "is_match")
 
 
@@ -278,9 +310,18 @@ def m7_pair_scores(spark, sf_dir):
 SELECT a, b, round(jaro, 9) AS jaro, round(jaro_winkler, 9) AS jaro_winkler FROM sims""")
 def m1_jaro_winkler(spark, sf_dir):
     """Tokens of names that blocking brings together; their number is bounded by the block cap."""
+    return _token_pairs(spark, sf_dir, SQL_CAP)
+
+
+@query()
+def m1_jaro_winkler_whole(spark, sf_dir):
+    return _token_pairs(spark, sf_dir, SETTINGS.block_cap)
+
+
+def _token_pairs(spark, sf_dir, cap):
     recs = records(spark, sf_dir)
     side = lambda key, name: recs.select(F.col("record_id").alias(key), F.explode(F.array_distinct("name_tokens")).alias(name))
-    pairs = res.candidate_pairs(blocking_keys(recs), 20)
+    pairs = _candidates(recs, cap)
     met = pairs.join(side("newer", "a"), "newer").join(side("older", "b"), "older").select("a", "b").distinct()
     return met.select(
         "a", "b", F.round(similarity.jaro_udf("a", "b"), 9).alias("jaro"), F.round(similarity.jaro_winkler_udf("a", "b"), 9).alias("jaro_winkler")
@@ -295,8 +336,17 @@ SELECT newer, older, round(CASE WHEN a.address IS NULL OR b.address IS NULL THEN
          WHEN a.dob IS NOT NULL AND b.dob IS NOT NULL THEN 'different' END AS relation
 FROM pairs JOIN norm a ON a.record_id = newer JOIN norm b ON b.record_id = older""")
 def m5_m6_pair_features(spark, sf_dir):
+    return _features(spark, sf_dir, SQL_CAP)
+
+
+@query()
+def m5_m6_pair_features_whole(spark, sf_dir):
+    return _features(spark, sf_dir, SETTINGS.block_cap)
+
+
+def _features(spark, sf_dir, cap):
     recs = records(spark, sf_dir)
-    pairs = res.candidate_pairs(blocking_keys(recs), 20)
+    pairs = _candidates(recs, cap)
     side = lambda p, k: recs.select(F.col("record_id").alias(k), F.col("address").alias(f"{p}_address"), F.col("dob").alias(f"{p}_dob"))
     return pairs.join(side("a", "newer"), "newer").join(side("b", "older"), "older").select(
         "newer", "older", F.round(t.word_overlap(F.col("a_address"), F.col("b_address")), 6).alias("overlap"), t.date_relation(F.col("a_dob"), F.col("b_dob")).alias("relation")
