@@ -9,11 +9,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kinweave.llm.similar import similar_texts
+from kinweave.llm.tiles import blocks as tile_blocks, dealt, join_one, spanning
 from kinweave.operators.components import connected_components
 from kinweave.workspace import Workspace
 
 SEED = 42
 _SLICE = 1 << 16
+#: Up to so many fingerprints of a key are compared in a join, more in tiles.
+JOINED = 64
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -55,12 +59,29 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _links(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Pairs of distinct fingerprints at most ``distance`` bits apart.
+def _close(distance: int):
+    def run(tile: pa.Table) -> pa.Table:
+        lo, hi = tile["lo"][0].as_py(), tile["hi"][0].as_py()
+        block, fp = tile["block"].to_numpy(), tile["fp"].to_numpy()
+        among = np.flatnonzero(block == hi)
+
+        def partners(i: int, labels: np.ndarray) -> np.ndarray:
+            return among[np.bitwise_count((fp[among] ^ fp[i]).view(np.uint64)) <= distance]
+
+        u, v = zip(*found) if (found := spanning(np.flatnonzero(block == lo), len(fp), partners)) else ((), ())
+        return pa.table({"u": pa.array(fp[list(u)], pa.int64()), "v": pa.array(fp[list(v)], pa.int64())})
+
+    return run
+
+
+def _links(prints: DataFrame, distance: int, blocks: int, work: Workspace) -> DataFrame:
+    """Links that connect all distinct fingerprints at most ``distance`` bits apart.
 
     ``distance`` flipped bits touch that many of the ``blocks`` at most, so two close
     fingerprints agree on some choice of the other ``blocks - distance``. Each fingerprint
     is listed once for each choice; with six blocks and three bits a key holds 32 bits.
+    Every pair of a key is looked at. Where a key has few fingerprints their links are all
+    returned; those of many meet in tiles, which return as many links as connect them.
     """
     masks = _block_masks(blocks)
     keys = [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
@@ -68,13 +89,18 @@ def _links(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
         "fp",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(k)).cast("long")) for k in keys])).alias("t", "key"),
     )
-    other = listed.select(F.col("fp").alias("fp2"), "t", "key")
-    return (
-        listed.join(other, ["t", "key"])
+    sizes = listed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = work.table(listed.join(sizes, ["t", "key"]), "met")
+    few = met.where(F.col("n") <= JOINED).select("t", "key", "fp")
+    other = few.select(F.col("fp").alias("fp2"), "t", "key")
+    pairs = (
+        few.join(other, ["t", "key"])
         .where((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance))
         .select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
-        .distinct()
     )
+    many = met.where(F.col("n") > JOINED).withColumn("blocks", tile_blocks(F.col("n"), F.col("n") * 8))
+    tiles = dealt(many, "fp").groupBy("t", "key", "lo", "hi").applyInArrow(_close(distance), "u long, v long")
+    return pairs.union(tiles).distinct()
 
 
 def near_duplicates(
@@ -84,6 +110,7 @@ def near_duplicates(
     width: int = 3,
     distance: int = 3,
     blocks: int = 6,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Near-duplicate groups of whole texts: ``(id, fingerprint, component_id)``.
 
@@ -97,20 +124,27 @@ def near_duplicates(
     gives one output row, repeated rows too. A null id gives a row; a group with null ids
     alone has a null ``component_id``. Other input columns are ignored. An empty table
     gives no rows.
+
+    With ``similarity``, texts are linked that share so much of their sets of shingles, and
+    the result is ``(id, component_id)``: bits of a SimHash tell such texts apart too poorly
+    for blocks, so :func:`kinweave.llm.similar.similar_texts` takes another fingerprint.
     """
+    if similarity is not None:
+        return similar_texts(docs, id_col, text_col, width, similarity)
     spark = docs.sparkSession
     work = Workspace(spark, "simhash")
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = work.table(rows.mapInArrow(_fingerprints(width), f"id {id_type.simpleString()}, fp long"), "prints")
-    groups = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    parts = connected_components(_links(groups.select("fp"), distance, blocks), work)
+    groups = work.table(rows.groupBy("fp").agg(F.min("id").alias("least")), "groups")
+    parts = connected_components(_links(groups.select("fp"), distance, blocks, work), work)
     named = groups.join(parts, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
+    named = work.table(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select(
+    named = work.table(named.join(least, "component").select("fp", "component_id"), "components")
+    return join_one(rows, named, "fp").select(
         F.col("id").alias(id_col), _hex(F.col("fp")).alias("fingerprint"), "component_id"
     )
 

@@ -1,4 +1,12 @@
-"""Groups of similar texts: MinHash bands find pairs, exact shingle similarity settles them."""
+"""Groups of similar texts: blocks of minimum hashes find pairs, shingle sets settle them.
+
+The pigeonhole principle of :mod:`simhash` on a fingerprint that can reach a similarity of
+0.8. Two such texts differ in some 15 % of the bits of a SimHash, so blocks that they surely
+share would have a few bits each and nearly all texts would meet. The fingerprint here is
+BANDS * DEPTH minimum hashes in BANDS blocks: texts that differ in fewer than BANDS of these
+share a block, and texts of similarity s share none with a probability of
+(1 - s**DEPTH)**BANDS, which is 5e-8 at 0.8 and less above.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from kinweave.llm.tiles import blocks, dealt, join_one, spanning
 from kinweave.operators.components import connected_components
 from kinweave.workspace import Workspace
 
 SEED = 42
-#: Two texts of similarity s share no band with probability (1 - s**DEPTH) ** BANDS, which
-#: is 5e-8 at 0.8 and less above.
 BANDS, DEPTH = 32, 4
+#: Tiles go out in as many shares as keep each to about so many bytes of text.
+SHARE_BYTES = 4 << 20
 _SLICE = 1 << 12
 _RNG = np.random.default_rng(SEED)
 _TURN = _RNG.integers(0, 1 << 32, BANDS * DEPTH, dtype=np.uint32)
@@ -50,40 +59,83 @@ def bands(found: np.ndarray) -> np.ndarray:
 def _prints(width: int):
     def run(batches):
         for batch in batches:
-            prints, sizes, keys = [], [], []
+            prints, keys = [], []
             for text in batch.column(1).to_pylist():
                 words = _words(text)
-                found = shingles(words, width)
                 prints.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                sizes.append(len(found))
-                keys.append(bands(found))
-            cols = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "text", "fp", "n", "bands"])
+                keys.append(bands(shingles(words, width)))
+            cols = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "text", "fp", "bands"])
 
     return run
 
 
-def _sets(width: int):
-    def run(batches):
-        for batch in batches:
-            found = [shingles(_words(t), width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["fp", "found"])
+def similar_pairs(sets: list[np.ndarray], asked: np.ndarray, among: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between sets ``asked`` and ``among`` that connect what all their links would."""
+    sizes = np.array([len(s) for s in sets])
+    among = among[np.argsort(sizes[among], kind="stable")]
+    ordered = sizes[among]
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(code, minlength=len(values)) > 1
+    owner = np.repeat(np.arange(len(sets)), sizes)[shared[code]]
+    code = code[shared[code]]
+    cuts = np.searchsorted(owner, np.arange(len(sets) + 1))
+    # the sets of `among` one after the other, each with a last value that none asks for
+    none = len(values)
+    flat = np.concatenate([np.append(code[cuts[i] : cuts[i + 1]], none) for i in among])
+    start = np.concatenate(([0], np.cumsum(cuts[among + 1] - cuts[among] + 1)))
+    flag = np.zeros(none + 1, np.int32)
+
+    def partners(i: int, labels: np.ndarray) -> np.ndarray:
+        own = code[cuts[i] : cuts[i + 1]]
+        lo, hi = np.searchsorted(ordered, [sizes[i] * least - 1e-9, sizes[i] / least + 1e-9], side="left")
+        hi = np.searchsorted(ordered, sizes[i] / least + 1e-9, side="right")
+        if lo == hi or not len(own) or (labels[among[lo:hi]] == labels[i]).all():
+            return among[:0]
+        flag[own] = 1
+        both = np.add.reduceat(flag[flat[start[lo] : start[hi]]], start[lo:hi] - start[lo])
+        flag[own] = 0
+        return among[lo:hi][both / (sizes[i] + ordered[lo:hi] - both) >= least]
+
+    return spanning(asked, len(sets), partners)
+
+
+def _settle(width: int, least: float):
+    def run(tile: pa.Table) -> pa.Table:
+        lo, hi = tile["lo"][0].as_py(), tile["hi"][0].as_py()
+        block, fp = tile["block"].to_numpy(), tile["fp"].to_numpy()
+        found = []
+        if (block == lo).any() and (block == hi).any() and len(fp) > 1:
+            sets = [shingles(_words(t), width) for t in tile["text"].to_pylist()]
+            found = similar_pairs(sets, np.flatnonzero(block == lo), np.flatnonzero(block == hi), least)
+        u, v = zip(*found) if found else ((), ())
+        return pa.table({"u": pa.array(fp[list(u)], pa.int64()), "v": pa.array(fp[list(v)], pa.int64())})
 
     return run
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose sets of shingles are similar enough."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    one = texts.join(asked, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text"))
-    sets = one.mapInArrow(_sets(width), "fp long, found array<long>")
-    both = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(sets.select(F.col("fp").alias("u"), F.col("found").alias("a")), "u")
-        .join(sets.select(F.col("fp").alias("v"), F.col("found").alias("b")), "v")
-        .where(both / (F.size("a") + F.size("b") - both) >= least)
-        .select("u", "v")
+def _tiles(met: DataFrame, parts: DataFrame, sizes: DataFrame, work: Workspace) -> DataFrame:
+    """(g, t, fp, block, lo, hi): which tiles a text is in.
+
+    ``met`` is (t, key, fp) for blocks that several texts share, and ``parts`` what they
+    connect. A part's texts are held against each other if that costs fewer rows than to hold
+    the texts of each of its blocks against each other; either way all texts that share a
+    block meet.
+    """
+    placed = work.table(met.join(parts, "fp").join(sizes, "fp"), "placed")
+    whole = placed.select("part", "fp", "size").distinct().groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = whole.withColumn("blocks", blocks(F.col("n"), F.col("size")))
+    single = placed.groupBy("part", "t", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    single = work.table(single.withColumn("blocks", blocks(F.col("n"), F.col("size"))), "single")
+    cost = single.groupBy("part").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost"))
+    plan = work.table(whole.join(cost, "part").select("part", "blocks", (F.col("n") * F.col("blocks") <= F.col("cost")).alias("at_once")), "plan")
+    by_part = plan.where("at_once").select("part", "blocks").join(placed.select("part", "fp").distinct(), "part")
+    by_block = placed.select("part", "t", "key", "fp").join(plan.where("not at_once").select("part"), "part", "left_semi")
+    by_block = by_block.join(single.select("part", "t", "key", "blocks"), ["part", "t", "key"])
+    every = by_part.select(F.col("part").alias("g"), F.lit(-1).alias("t"), "fp", "blocks").unionByName(
+        by_block.select(F.col("key").alias("g"), "t", "fp", "blocks")
     )
+    return dealt(every, "fp")
 
 
 def similar_texts(
@@ -96,48 +148,39 @@ def similar_texts(
     linked if the sets' intersection is at least ``least`` of their union, and the least id
     that can be reached names the group. Texts without words are one group.
 
-    Pairs are looked for where a band of MinHashes agrees. First each text is compared with
-    the least of each of its bands, which joins a group of copies at a cost linear in its
-    size; then texts that share a band and are in different groups so far are compared, all
-    of them. Every link is settled on the sets, by 64-bit hashes of the shingles.
+    Texts that share a block of the fingerprint are compared by their sets, as 64-bit hashes.
+    They meet in tiles of bounded size, where each text comes once, and a tile returns only
+    as many links as connect its groups: no pair is a row. Copies count as one text.
 
     Every input row gives one output row. A null id gives a row; a group with null ids alone
     has a null ``component_id``. Other input columns are ignored.
     """
-    work = Workspace(docs.sparkSession, "similar")
+    spark = docs.sparkSession
+    work = Workspace(spark, "similar")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = work.table(
-        rows.mapInArrow(_prints(width), f"id {id_type}, text string, fp long, n int, bands array<long>"), "prints"
-    )
-    texts = rows.select("fp", "text")
-    distinct = rows.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    listed = distinct.select("fp", "n", F.posexplode("bands").alias("t", "key"))
+    rows = work.table(rows.mapInArrow(_prints(width), f"id {id_type}, text string, fp long, bands array<long>"), "prints")
+    distinct = rows.groupBy("fp").agg(F.any_value("bands").alias("bands"), F.min("id").alias("least"))
+    distinct = work.table(distinct, "distinct")
+    listed = distinct.select("fp", F.posexplode("bands").alias("t", "key"))
     heads = listed.groupBy("t", "key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head < last")
-    listed = work.table(listed.join(heads.select("t", "key", "head"), ["t", "key"]), "listed")
-
-    stars = listed.where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
-    links = _similar(work.table(stars, "stars"), texts, width, least)
-    parts = work.table(connected_components(links, work), "parts")
-    placed = listed.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "t", "key", "fp", "n", F.coalesce("component", "fp").alias("part")
-    )
-    mixed = placed.groupBy("t", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    placed = work.table(placed.join(mixed.select("t", "key"), ["t", "key"], "left_semi"), "placed")
-    other = placed.select("t", "key", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "part")])
-    near = (F.col("part") < F.col("part2")) & (F.least("n", "n2") / F.greatest("n", "n2") >= least)
-    cross = placed.join(other, (placed["t"] == other["t"]) & (placed["key"] == other["key"]) & near)
-    cross = work.table(cross.select(F.col("fp").alias("u"), F.col("fp2").alias("v")).distinct(), "cross")
-    ends = parts.select(F.col("node").alias("fp"), "component")
-    more = _similar(cross, texts, width, least)
-    for end in ("u", "v"):
-        more = more.join(ends.withColumnRenamed("fp", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    wider = connected_components(more, Workspace(docs.sparkSession, "similar-parts"))
-    named = (
-        rows.groupBy("fp").agg(F.min("id").alias("least"))
-        .join(ends, "fp", "left").withColumn("node", F.coalesce("component", "fp")).drop("component")
-        .join(wider, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("part"))
-    )
-    named = work.table(named, "named")
+    met = work.table(listed.join(heads.select("t", "key", "head"), ["t", "key"]), "met")
+
+    stars = met.where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
+    parts = connected_components(stars, Workspace(spark, "similar-parts"))
+    parts = work.table(parts.select(F.col("node").alias("fp"), F.col("component").alias("part")), "parts")
+    texts = rows.select("fp", "text").join(parts.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text"))
+    texts = work.table(texts, "texts")
+    sizes = texts.select("fp", F.octet_length("text").cast("long").alias("size"))
+    tiles = work.table(_tiles(met.select("t", "key", "fp"), parts, sizes, work), "tiles")
+    total = tiles.join(sizes, "fp").agg(F.sum("size")).first()[0] or 0
+    shares = max(spark.sparkContext.defaultParallelism, int(total // SHARE_BYTES) + 1)
+    keys = ["g", "t", "lo", "hi"]
+    links = tiles.join(texts, "fp").repartition(shares, *keys).groupBy(*keys).applyInArrow(_settle(width, least), "u long, v long")
+    ends = connected_components(work.table(links.distinct(), "links"), work).withColumnRenamed("node", "fp")
+
+    named = distinct.select("fp", "least").join(ends, "fp", "left").withColumn("part", F.coalesce("component", "fp"))
+    named = work.table(named.select("fp", "least", "part"), "named")
     first = named.groupBy("part").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(first, "part").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "component_id")
+    named = work.table(named.join(first, "part").select("fp", "component_id"), "components")
+    return join_one(rows.select("id", "fp"), named, "fp").select(F.col("id").alias(id_col), "component_id")

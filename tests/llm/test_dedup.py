@@ -6,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinweave.llm import simhash, substrings
+from kinweave.llm import simhash, substrings, tiles
+from kinweave.workspace import Workspace
 from tests.llm.cases import awkward, frame, sentence
 
 
@@ -57,10 +58,35 @@ def test_simhash_blocks_find_every_close_pair(spark):
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 3}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    got = {tuple(sorted((r.u % (1 << 64), r.v % (1 << 64)))) for r in simhash._links(df, 3, 6).collect()}
+    got = {tuple(sorted((r.u % (1 << 64), r.v % (1 << 64)))) for r in simhash._links(df, 3, 6, Workspace(spark, "test")).collect()}
     assert got == want
 
 
+def test_simhash_tiles_connect_what_pairs_do(spark, monkeypatch):
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (0, 1, 2, 3) for _ in range(60)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    for name, value in (("BLOCK_ROWS", 16), ("MOST_ROWS", 64)):
+        monkeypatch.setattr(tiles, name, value)
+    monkeypatch.setattr(simhash, "JOINED", 2)
+    links = simhash._links(df, 3, 6, Workspace(spark, "test")).collect()
+    assert all(((r.u ^ r.v) % (1 << 64)).bit_count() <= 3 for r in links)
+    group = {signed(p): signed(p) for p in prints}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for r in links:
+        group[root(r.u)] = root(r.v)
+    for a, b in itertools.combinations(prints, 2):
+        assert (a ^ b).bit_count() > 3 or root(signed(a)) == root(signed(b))
+    assert len(links) < sum((a ^ b).bit_count() <= 3 for a, b in itertools.combinations(prints, 2))
+
+
 def test_simhash_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 

@@ -1,11 +1,13 @@
+import random
 import sys
 
 import pytest
 
 import corpus_pipeline as cp
-from kinweave.llm import decontaminate, simhash
-from tests.llm.cases import SCHEMA, awkward, frame
+from kinweave.llm import decontaminate
+from tests.llm.cases import SCHEMA, awkward, frame, sentence
 from tests.llm.test_dedup import slow_removal
+from tests.llm.test_similar import alike, as_set
 
 DATA = "/root/testdata/sf0.01"
 
@@ -32,8 +34,8 @@ def test_columns(steps):
 
 def test_near_copies_keep_the_least_of_each_group(steps):
     before, after = (as_rows(x) for x in steps[1])
-    prints = {d: simhash.fingerprint(t) for d, t, *_ in before}
-    ids, kept = sorted(prints), {r[0] for r in after}
+    sets = {d: as_set(t) for d, t, *_ in before}
+    ids, kept = sorted(sets), {r[0] for r in after}
     group = {i: i for i in ids}
 
     def root(i):
@@ -43,12 +45,24 @@ def test_near_copies_keep_the_least_of_each_group(steps):
 
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
+            if alike(sets[a], sets[b]):
                 x, y = sorted((root(a), root(b)))
                 group[y] = x
     assert kept == {root(i) for i in ids}
 
 
+def test_an_id_with_two_texts_is_two_documents(spark, tmp_path):
+    rng = random.Random(8)
+    item = sentence(rng, 40)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (1, b, "en", "a", 1), (2, a, "en", "a", 1), (3, f"{b} {item}", "en", "a", 1), (3, a[::-1], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.text for r in cp.near_copies(spark, docs, "").collect()) == sorted([a, b, f"{b} {item}", a[::-1]])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = cp.benchmark_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in left if r.doc_id == 3) == [a[::-1]] and len(left) == 5
+
+
 def test_repeated_passages_match_brute_force(steps):
     before, after = (as_rows(x) for x in steps[2])
     texts = {r[0]: r[1] for r in before}
@@ -86,8 +100,8 @@ def test_awkward_and_empty(spark, tmp_path):
             out = f(spark, docs, str(tmp_path))
             assert out.columns[:5] == cp.COLUMNS, name
             if name.startswith("SimHash"):
-                ids = [r[0] for r in out.collect()]
-                assert len(ids) == len(set(ids))
+                found = [(r.doc_id, r.text) for r in out.collect()]
+                assert len(found) == len(set(found))
             else:
                 assert out.count() <= len(rows)
     assert frame and sys
