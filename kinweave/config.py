@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass
 
 
+# Names of variables and defaults; matches and hashes depend on them.
 @dataclass(frozen=True)
 class Settings:
     match_threshold: float = float(os.getenv("MATCH_THRESHOLD", "5.0"))

@@ -118,10 +118,18 @@ def spoken_name(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[._]+", " "), "\\s+", " "))
 
 
+def word_set(x: Column) -> Column:
+    return F.array_distinct(F.split(x, " "))
+
+
+def set_overlap(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets; 0 where one is missing."""
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)), F.lit(0.0))
+
+
 def word_overlap(a: Column, b: Column) -> Column:
     """Jaccard similarity of white-space words; 0 where one is missing."""
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    return F.coalesce(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), F.lit(0.0))
+    return set_overlap(word_set(a), word_set(b))
 
 
 def date_relation(a: Column, b: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kinweave.workspace import Workspace
 
+#: Up to so many edges, two ids each, are settled in one task.
+ONE_TASK = 1_000_000
+_TEXT = (pa.string(), pa.large_string())
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,18 +29,47 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of ``n`` nodes reaches, by hooking and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        np.minimum.at(label, before[u], low)
+        np.minimum.at(label, before[v], low)
+        while (label != label[label]).any():
+            label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _settled(batches):
+    parts = [pa.table({"u": b.column(0), "v": b.column(1)}) for b in batches if b.num_rows]
+    if parts:
+        whole = pa.concat_tables(parts)
+        kind, n = whole["u"].type, whole.num_rows
+        ids = whole["u"].to_pylist() + whole["v"].to_pylist() if kind in _TEXT else np.concatenate([c.to_numpy() for c in whole.columns])
+        nodes, code = np.unique(np.array(ids, object) if kind in _TEXT else ids, return_inverse=True)
+        label = _labels(code[:n], code[n:], len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[label], kind)], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
     """Label every node of ``edges(u, v)`` with the least node it can reach.
 
-    Returns ``(node, component)`` for nodes that have an edge; loops are ignored. Minima
-    are aggregated before they are joined back, so a node with very many neighbours is no
-    single group. Each round is written to the shared folder; rounds grow with the
-    logarithm of the component size.
+    Returns ``(node, component)`` for nodes that have an edge; loops are ignored. At most
+    ONE_TASK edges of whole numbers or texts are settled in a single task. More go through
+    rounds of contraction: minima are aggregated before they are joined back, so a node with
+    very many neighbours is no single group; each round is written to the shared folder, and
+    rounds grow with the logarithm of the component size.
     """
     current = work.table(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges-0",
     )
+    kind = current.schema["u"].dataType.simpleString()
+    if kind in ("bigint", "string") and current.count() <= ONE_TASK:
+        return work.table(current.coalesce(1).mapInArrow(_settled, f"node {kind}, component {kind}"), "settled")
     mark = None
     for k in range(1, max_rounds + 1):
         nxt = work.table(_small_star(_large_star(current)), f"edges-{k}")

@@ -17,7 +17,7 @@ def normalized(records: DataFrame) -> DataFrame:
         t.pincode(t.blank_to_null(F.col("address")), F.col("pincode")).alias("pincode"), t.hashed_id(F.col("gov_id")).alias("id_hash"),
         t.blank_to_null(F.col("device_id")).alias("device_id"),
         F.size(F.filter(F.col("phones"), lambda p: (F.coalesce(p, F.lit("")) != "") & t.phone(p).isNull())).alias("_bad"),
-        F.col("email").alias("_email"), F.col("dob").alias("_dob"),
+        F.col("email").alias("_email"), F.col("dob").alias("_dob"), *[c for c in ("arrival",) if c in records.columns],
     )
     wrong = lambda raw, clean: (F.coalesce(raw, F.lit("")) != "") & clean.isNull()
     flags = F.concat(

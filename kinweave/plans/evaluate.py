@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kinweave.functions.numbers import half_even
+
 
 def _pairs(counts: DataFrame) -> Column:
     return F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0))
@@ -36,6 +38,6 @@ def pairwise_metrics(current: DataFrame, truth: DataFrame) -> DataFrame:
     row = row.withColumn("_p", p).withColumn("_r", r)
     f1 = F.when(F.col("_p") + F.col("_r") > 0, 2 * F.col("_p") * F.col("_r") / (F.col("_p") + F.col("_r"))).otherwise(0.0)
     return row.select(
-        "records", "true_people", "predicted_identities", F.round("_p", 4).alias("precision"), F.round("_r", 4).alias("recall"), F.round(f1, 4).alias("f1"),
+        "records", "true_people", "predicted_identities", half_even(F.col("_p"), 4).alias("precision"), half_even(F.col("_r"), 4).alias("recall"), half_even(f1, 4).alias("f1"),
         "over_merged_identities", "merged_same_family", "merged_same_ring", "merged_unrelated", "people_split_across_identities",
     )

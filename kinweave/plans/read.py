@@ -197,16 +197,23 @@ def rings_view(report: DataFrame, reviews: DataFrame, label: str | None = None)
     return out.orderBy(F.desc("risk_score"), "component_id")
 
 
+def _histogram(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One row with a map from the values of a column to how often they occur."""
+    counts = rows.groupBy(column).count()
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "count")))).alias(name))
+
+
 def overview(report: DataFrame, reviews: DataFrame) -> DataFrame:
-    joined = report.join(latest_reviews(reviews), ["run_id", "component_id"], "left")
+    """One row about the report of one run, such as ``analysis.latest_report`` gives."""
+    last = latest_reviews(reviews)
+    joined = report.join(last, ["run_id", "component_id"], "left")
     suspicious = F.col("label") == "SUSPICIOUS_RING"
-    count = lambda c, v: F.count_if(F.coalesce(F.col(c) == v, F.lit(False)))
-    return joined.agg(
+    counts = joined.agg(
         F.max("run_id").alias("analysis_run"), F.count_if(suspicious).alias("suspicious_total"),
         F.count_if(suspicious & F.col("decision").isNull()).alias("suspicious_open"),
-        count("label", "REVIEW").alias("to_review"), count("label", "LIKELY_FAMILY").alias("likely_families"),
-        *[count("decision", d).alias(d) for d in DECISIONS],
     )
+    decided = last.join(report.select("run_id").distinct(), "run_id", "left_semi")
+    return counts.crossJoin(_histogram(report, "label", "label_counts")).crossJoin(_histogram(decided, "decision", "decisions"))
 
 
 def source_shares(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinweave.config import SETTINGS
 from kinweave.functions import similarity, text as t
+from kinweave.functions.numbers import fixed_sql, half_even_sql
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import attributes, blocking_keys, normalized
 from kinweave.plans import evaluate, read, resolve as res, rings
@@ -83,7 +84,7 @@ norm AS (
 )"""
 
 PAIRS = f"""{NORM.replace('WITH person', 'WITH RECURSIVE person', 1)},
-ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20),
+ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= {SETTINGS.block_cap}),
 pairs AS (SELECT DISTINCT a.record_id AS newer, b.record_id AS older FROM ranked a JOIN ranked b ON a.k = b.k AND b.rank < a.rank)"""
 #: Jaro of the token pairs tp(a, b), a letter of a at a time; a letter of b that is taken becomes a dot.
 _JARO = """steps AS (
@@ -120,6 +121,94 @@ near AS (
 )"""
 
 
+_BOTH = "list_distinct(list_concat(string_split(a.address, ' '), string_split(b.address, ' ')))"
+_SIM, _ADDR = fixed_sql("name_sim", 2), fixed_sql("overlap", 2)
+_EVIDENCE = [
+    ("name_sim >= 0.92", 3.0, f"'names agree strongly (' || {_SIM} || ')'"), ("name_sim >= 0.85 AND name_sim < 0.92", 2.0, f"'names agree (' || {_SIM} || ')'"),
+    (f"name_sim >= {SETTINGS.name_floor} AND name_sim < 0.85", 1.0, f"'names roughly agree (' || {_SIM} || ')'"),
+    (f"name_sim < 0.7 AND name_sim < {SETTINGS.name_floor}", -3.0, f"'names disagree (' || {_SIM} || ')'"),
+    ("ai = bi", 5.0, "'same government ID'"), ("ai <> bi", -6.0, "'different government IDs'"), ("email", 4.0, "'same email'"), ("phone", 2.5, "'shared phone'"),
+    ("ad = bd", 2.5, "'same date of birth'"), ("crossed", 1.5, "'date of birth matches with day/month swapped'"), ("ad <> bd AND NOT crossed", -4.0, "'different dates of birth'"),
+    ("overlap >= 0.6", 1.0, f"'similar address (' || {_ADDR} || ')'"), ("pin", 0.5, "'same pincode'"), ("device", 1.0, "'shared device'"),
+]
+SCORED = f"""{PAIRS}, {_NAMES}, both_sides AS (
+    SELECT newer, older, name_sim, a.ingested_at AS linked_at, a.id_hash AS ai, b.id_hash AS bi, a.email = b.email AS email, a.phone = b.phone AS phone, a.dob AS ad, b.dob AS bd,
+        a.dob <> b.dob AND year(a.dob) = year(b.dob) AND month(a.dob) = day(b.dob) AND day(a.dob) = month(b.dob) AS crossed, a.pincode = b.pincode AS pin, a.device_id = b.device_id AS device,
+        CASE WHEN a.address IS NULL OR b.address IS NULL THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a.address, ' ')), list_distinct(string_split(b.address, ' ')))) * 1.0 / len({_BOTH}) END::DOUBLE AS overlap
+    FROM named JOIN alike USING (few, many) JOIN norm a ON a.record_id = newer JOIN norm b ON b.record_id = older
+), added AS (
+    SELECT newer, older, linked_at, {half_even_sql("name_sim", 3)} AS name_similarity, ({" + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in _EVIDENCE)})::DOUBLE AS score,
+        list_filter([{", ".join(f"CASE WHEN {c} THEN {why} || ' ({p:+.1f})' END" for c, p, why in _EVIDENCE)}], lambda x: x IS NOT NULL) AS reasons FROM both_sides
+), points AS (SELECT *, score >= {SETTINGS.match_threshold} AND name_similarity >= {SETTINGS.name_floor} AS is_match FROM added)"""
+#: Links replayed in each component a record at a time; ``holders`` tells the founder's place for each place so far.
+RESOLVED = f"""{SCORED},
+edges AS (SELECT older AS u, newer AS v FROM points WHERE is_match UNION SELECT newer, older FROM points WHERE is_match),
+reach AS (SELECT u AS i, u AS r FROM edges UNION SELECT e.v, w.r FROM reach w JOIN edges e ON e.u = w.i),
+parts AS (SELECT i AS record_id, min(r) AS c FROM reach GROUP BY i),
+placed AS (SELECT record_id, ingested_at AS moment, coalesce(c, record_id) AS c, row_number() OVER (PARTITION BY coalesce(c, record_id) ORDER BY ingested_at, record_id) AS place FROM norm LEFT JOIN parts USING (record_id)),
+linked AS (SELECT newer AS record_id, list(place) AS older FROM points JOIN placed ON record_id = older WHERE is_match GROUP BY newer),
+listed AS (SELECT c, list({{'record_id': record_id, 'moment': moment, 'older': coalesce(older, [])}} ORDER BY place) AS items FROM placed LEFT JOIN linked USING (record_id) GROUP BY c),
+play AS (
+    SELECT c, items, 0::BIGINT AS i, []::BIGINT[] AS holders, []::BIGINT[] AS before, []::BIGINT[] AS touched, 0::BIGINT AS keeper FROM listed
+    UNION ALL
+    SELECT c, items, i + 1, list_append(list_transform(holders, lambda h: CASE WHEN list_contains(met, h) THEN chosen ELSE h END), chosen), holders, met, chosen
+    FROM (SELECT *, coalesce(list_sort(list_transform(met, lambda f: {{'n': -len(list_filter(holders, lambda h: h = f)), 'f': f}}))[1].f, i + 1) AS chosen
+        FROM (SELECT *, list_distinct(list_transform(items[i + 1].older, lambda o: holders[o])) AS met FROM play WHERE i < len(items)))
+), played AS (SELECT c, i, items, items[i].record_id AS record_id, items[i].moment AS moment, len(items[i].older) AS n_older, before, touched, keeper FROM play WHERE i > 0),
+titles AS (SELECT c, i AS f, moment AS created_at, printf('PID%07d', row_number() OVER (ORDER BY moment, record_id)) AS identity_id FROM played WHERE len(touched) = 0),
+moves AS (
+    SELECT record_id, moment, record_id AS trig, c, keeper AS f, CASE len(touched) WHEN 0 THEN 'no matching records' WHEN 1 THEN 'matched ' || n_older || ' record(s)'
+        ELSE 'bridged ' || len(touched) || ' identities via ' || n_older || ' matching record(s)' END AS reason FROM played
+    UNION ALL
+    SELECT items[m].record_id, moment, p.record_id, p.c, keeper, 'merged from ' || identity_id FROM played p, unnest(range(1, i)) AS t(m) JOIN titles ON titles.c = p.c AND titles.f = before[m]
+    WHERE list_contains(touched, before[m]) AND before[m] <> keeper
+), clamped AS (SELECT *, max(moment) OVER (PARTITION BY record_id ORDER BY moment, trig ROWS UNBOUNDED PRECEDING) AS valid_from FROM moves),
+assignments AS (SELECT record_id, identity_id, valid_from, lead(valid_from) OVER (PARTITION BY record_id ORDER BY moment, trig) AS valid_to, reason FROM clamped JOIN titles USING (c, f)),
+ends AS (SELECT p.c, gone AS f, n.identity_id AS merged_into, moment AS merged_at FROM played p, unnest(touched) AS t(gone) JOIN titles n ON n.c = p.c AND n.f = keeper WHERE gone <> keeper),
+identities AS (SELECT identity_id, created_at, merged_into, merged_at FROM titles LEFT JOIN ends USING (c, f))"""
+
+#: Components and rings of identities ident(record_id, i) that share attributes.
+_GRAPH = f"""ia AS (SELECT DISTINCT i, kind, value FROM attrs JOIN ident USING (record_id) WHERE kind IN ('phone', 'device', 'address')),
+hubs AS (SELECT kind, value, min(i) AS u FROM ia GROUP BY kind, value HAVING count(*) > 1 AND count(*) <= {SETTINGS.hub_limit}),
+spokes AS (SELECT DISTINCT u, i AS v FROM ia JOIN hubs USING (kind, value) WHERE i <> u),
+both_ways AS (SELECT u, v FROM spokes UNION SELECT v, u FROM spokes),
+walk AS (SELECT u AS i, u AS r FROM both_ways UNION SELECT b.v, w.r FROM walk w JOIN both_ways b ON b.u = w.i),
+comp AS (SELECT i, min(r) AS c FROM walk GROUP BY i)"""
+_PERSONS = f"{NORM.replace('WITH person', 'WITH RECURSIVE person', 1)}, ident AS (SELECT record_id, printf('PID%07d', person_id) AS i FROM norm), {_GRAPH}"
+_DAYS, _KYC, _SHARE = (half_even_sql(x, 0) + "::BIGINT" for x in ("span", "kyc * 100", "share * 100"))
+_RULES = [
+    ("span <= 21", 2, f"n || ' identities first seen within ' || {_DAYS} || ' days (burst)'"), ("kyc < 0.3", 2, f"'only ' || {_KYC} || '% have bank KYC'"),
+    ("d >= 4", 2, "d || ' identities share one device'"), ("p >= 4", 1, "p || ' identities share one phone'"),
+    ("share >= 0.6 AND kyc >= 0.5", -2, f"{_SHARE} || '% share one home address and most passed KYC (family pattern)'"),
+    ("span > 60", -1, f"'identities appeared over ' || {_DAYS} || ' days (organic growth)'"),
+]
+_REPORT = f"""prof AS (SELECT i, min(ingested_at) AS seen, max((source = 'bank_kyc')::INT) AS kyc FROM norm JOIN ident USING (record_id) GROUP BY i),
+shared AS (SELECT c, kind, value, count(*) AS n FROM comp JOIN ia USING (i) GROUP BY ALL),
+most AS (SELECT c, coalesce(max(n) FILTER (kind = 'device'), 0) AS d, coalesce(max(n) FILTER (kind = 'phone'), 0) AS p, coalesce(max(n) FILTER (kind = 'address'), 0) AS a FROM shared GROUP BY c),
+g AS (SELECT c, count(*) AS n, date_diff('microsecond', min(seen), max(seen)) / 8.64e10::DOUBLE AS span, avg(kyc) AS kyc, string_agg(i, ',' ORDER BY i) AS identity_ids FROM comp JOIN prof USING (i)
+    GROUP BY c HAVING count(*) >= {SETTINGS.min_ring}),
+r AS (SELECT *, a / n AS share FROM g JOIN most USING (c)),
+risky AS (SELECT *, ({" + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p, _ in _RULES)})::DOUBLE AS risk,
+    list_filter([{", ".join(f"CASE WHEN {c} THEN {why} END" for c, _, why in _RULES)}], lambda x: x IS NOT NULL) AS reasons FROM r),
+report AS (SELECT *, row_number() OVER (ORDER BY -risk, -n, c) AS component_id, CASE WHEN risk >= 4 THEN 'SUSPICIOUS_RING' WHEN risk <= 0 THEN 'LIKELY_FAMILY' ELSE 'REVIEW' END AS label FROM risky)"""
+_RINGS = f"""{_REPORT} SELECT component_id, risk AS risk_score, label, identity_ids, array_to_string(reasons, '; ') AS reasons, n::INT AS size, {half_even_sql("span", 1)} AS first_seen_span_days,
+    {half_even_sql("kyc", 2)} AS kyc_fraction, d::INT AS max_identities_per_device, p::INT AS max_identities_per_phone, {half_even_sql("share", 2)} AS address_share FROM report"""
+#: Family and ring of each record, empty for none.
+_TRUTH = """truth AS (SELECT record_id, person_id AS p, 'F' || floor(person_id / 3.0)::BIGINT AS fam, CASE WHEN c_nationkey = 7 THEN 'R' || floor(c_custkey / 5.0)::BIGINT ELSE '' END AS ring
+    FROM norm JOIN customer ON c_custkey = person_id)"""
+#: Metrics of m(i, record_id).
+_ACCURACY = f"""{_TRUTH}, marked AS (SELECT * FROM m JOIN truth USING (record_id)),
+cells AS (SELECT i, p, count(*) AS n FROM marked GROUP BY ALL), found AS (SELECT i, sum(n) AS n FROM cells GROUP BY i), people AS (SELECT p, sum(n) AS n, count(*) AS ids FROM cells GROUP BY p),
+x AS (SELECT (SELECT sum(n) FROM cells) AS records, (SELECT sum(n * (n - 1) / 2) FROM cells) AS tp, (SELECT sum(n * (n - 1) / 2) FROM found) AS pp, (SELECT sum(n * (n - 1) / 2) FROM people) AS ap),
+y AS (SELECT *, CASE WHEN pp > 0 THEN tp / pp ELSE 1.0 END::DOUBLE AS pre, CASE WHEN ap > 0 THEN tp / ap ELSE 1.0 END::DOUBLE AS rec FROM x),
+mixed AS (SELECT i, CASE WHEN count(DISTINCT fam) = 1 THEN 'family' WHEN count(DISTINCT ring) = 1 AND max(ring) <> '' THEN 'ring' ELSE 'unrelated' END AS kind FROM marked GROUP BY i HAVING count(DISTINCT p) > 1)
+SELECT records::BIGINT AS records, (SELECT count(*) FROM people) AS true_people, (SELECT count(*) FROM found) AS predicted_identities,
+    {half_even_sql("pre", 4)} AS precision, {half_even_sql("rec", 4)} AS recall, {half_even_sql("CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END", 4)} AS f1,
+    (SELECT count(*) FROM mixed) AS over_merged_identities, (SELECT count(*) FROM mixed WHERE kind = 'family') AS merged_same_family,
+    (SELECT count(*) FROM mixed WHERE kind = 'ring') AS merged_same_ring, (SELECT count(*) FROM mixed WHERE kind = 'unrelated') AS merged_unrelated,
+    (SELECT count(*) FROM people WHERE ids > 1) AS people_split_across_identities FROM y"""
+
+
 # --- shared frames ------------------------------------------------------------------------
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,12 +219,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(canonical(spark, sf_dir))
 
 
-_resolved: dict[tuple[str, str], res.Resolution] = {}
+_resolved: dict[tuple, res.Resolution] = {}
 
 
 def resolution(spark: SparkSession, sf_dir: str) -> res.Resolution:
-    """The resolved tables of a folder, made once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The resolved tables of a folder, made once a session unless its table changes."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/customer.parquet")
+    state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, state.getModificationTime(), state.getLen())
     if key not in _resolved:
         _resolved[key] = res.resolve(canonical(spark, sf_dir))
     return _resolved[key]
@@ -236,13 +327,8 @@ def k2_attributes(spark, sf_dir):
 
 # --- blocking and scoring -----------------------------------------------------------------
 
-#: The cap in the SQL of five queries, which are held against it on whole tables. Each has a
-#: twin ``..._whole`` with the resolver's own cap, as has ``m7_scored_pairs``, without SQL.
-SQL_CAP = 20
-
-
-def _candidates(recs, cap):
-    return res.candidate_pairs(blocking_keys(recs), cap)
+def _candidates(recs):
+    return res.candidate_pairs(blocking_keys(recs), SETTINGS.block_cap)
 
 
 @query(f"{NORM} SELECT record_id, k AS key FROM keys")
@@ -250,144 +336,105 @@ def m8_blocking_keys(spark, sf_dir):
     return blocking_keys(records(spark, sf_dir)).select("record_id", "key")
 
 
-@query(f"{NORM} SELECT k AS key, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20")
+@query(f"{NORM} SELECT k AS key, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= {SETTINGS.block_cap}")
 def w1_block_rank(spark, sf_dir):
-    return _ranks(spark, sf_dir, SQL_CAP)
-
-
-@query()
-def w1_block_rank_whole(spark, sf_dir):
-    return _ranks(spark, sf_dir, SETTINGS.block_cap)
+    ranked = res.ranked_keys(blocking_keys(records(spark, sf_dir)), SETTINGS.block_cap)
+    return ranked.select("key", "record_id", F.col("rank").cast("long").alias("rank"))
 
 
-def _ranks(spark, sf_dir, cap):
-    return res.ranked_keys(blocking_keys(records(spark, sf_dir)), cap).select("key", "record_id", F.col("rank").cast("long").alias("rank"))
-
-
-@query(f"""{NORM}, ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20)
+@query(f"""{NORM}, ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= {SETTINGS.block_cap})
 SELECT DISTINCT a.record_id AS newer, b.record_id AS older FROM ranked a JOIN ranked b ON a.k = b.k AND b.rank < a.rank""")
 def j1_candidate_pairs(spark, sf_dir):
-    return _candidates(records(spark, sf_dir), SQL_CAP)
-
-
-@query()
-def j1_candidate_pairs_whole(spark, sf_dir):
-    return _candidates(records(spark, sf_dir), SETTINGS.block_cap)
+    return _candidates(records(spark, sf_dir))
 
 
-def _scored(spark, sf_dir, cap):
-    recs = records(spark, sf_dir)
-    return res.scored(_candidates(recs, cap), recs)
+_JOINED = "array_to_string(reasons, '; ')"
 
 
-@query()
+@query(f"{SCORED} SELECT newer, older, score, name_similarity, {_JOINED} AS reasons, is_match, linked_at FROM points")
 def m7_scored_pairs(spark, sf_dir):
-    return _scored(spark, sf_dir, SETTINGS.block_cap)
-
-
-@query(f"""{PAIRS}, {_NAMES}, both_sides AS (
-    SELECT newer, older, name_sim, a.id_hash AS ai, b.id_hash AS bi, a.email = b.email AS email, a.phone = b.phone AS phone, a.dob AS ad, b.dob AS bd, a.pincode = b.pincode AS pin, a.device_id = b.device_id AS device,
-        CASE WHEN a.address IS NULL OR b.address IS NULL THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a.address, ' ')), list_distinct(string_split(b.address, ' ')))) * 1.0
-            / len(list_distinct(list_concat(string_split(a.address, ' '), string_split(b.address, ' ')))) END AS overlap
-    FROM named JOIN alike USING (few, many) JOIN norm a ON a.record_id = newer JOIN norm b ON b.record_id = older
-), points AS (
-    SELECT newer, older, round(name_sim, 3) AS name_similarity,
-        round((CASE WHEN name_sim >= 0.92 THEN 3 WHEN name_sim >= 0.85 THEN 2 WHEN name_sim >= {SETTINGS.name_floor} THEN 1 WHEN name_sim < 0.7 THEN -3 ELSE 0 END
-        + CASE WHEN ai = bi THEN 5 WHEN ai <> bi THEN -6 ELSE 0 END + CASE WHEN email THEN 4 ELSE 0 END + CASE WHEN phone THEN 2.5 ELSE 0 END
-        + CASE WHEN ad = bd THEN 2.5 WHEN year(ad) = year(bd) AND month(ad) = day(bd) AND day(ad) = month(bd) THEN 1.5 WHEN ad <> bd THEN -4 ELSE 0 END
-        + CASE WHEN overlap >= 0.6 THEN 1 ELSE 0 END + CASE WHEN pin THEN 0.5 ELSE 0 END + CASE WHEN device THEN 1 ELSE 0 END)::DOUBLE, 2) AS score FROM both_sides
-) SELECT newer, older, score, name_similarity, score >= {SETTINGS.match_threshold} AND name_similarity >= {SETTINGS.name_floor} AS is_match FROM points""")
-def m7_pair_scores(spark, sf_dir):
-    return _scored(spark, sf_dir, SQL_CAP).select("newer", "older", "score", "name_similarity", "is_match")
-
-
-@query()
-def m7_pair_scores_whole(spark, sf_dir):
-    return m7_scored_pairs(spark, sf_dir).select("newer", "older", "score", "name_similarity", "is_match")
+    recs = records(spark, sf_dir)
+    return res.scored(_candidates(recs), recs).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query(f"""{PAIRS}, tp AS (SELECT DISTINCT x.tk AS a, y.tk AS b FROM pairs JOIN tok x ON x.record_id = newer JOIN tok y ON y.record_id = older), {_JARO}
 SELECT a, b, round(jaro, 9) AS jaro, round(jaro_winkler, 9) AS jaro_winkler FROM sims""")
 def m1_jaro_winkler(spark, sf_dir):
     """Tokens of names that blocking brings together; their number is bounded by the block cap."""
-    return _token_pairs(spark, sf_dir, SQL_CAP)
-
-
-@query()
-def m1_jaro_winkler_whole(spark, sf_dir):
-    return _token_pairs(spark, sf_dir, SETTINGS.block_cap)
-
-
-def _token_pairs(spark, sf_dir, cap):
     recs = records(spark, sf_dir)
     side = lambda key, name: recs.select(F.col("record_id").alias(key), F.explode(F.array_distinct("name_tokens")).alias(name))
-    pairs = _candidates(recs, cap)
-    met = pairs.join(side("newer", "a"), "newer").join(side("older", "b"), "older").select("a", "b").distinct()
+    met = _candidates(recs).join(side("newer", "a"), "newer").join(side("older", "b"), "older").select("a", "b").distinct()
     return met.select(
         "a", "b", F.round(similarity.jaro_udf("a", "b"), 9).alias("jaro"), F.round(similarity.jaro_winkler_udf("a", "b"), 9).alias("jaro_winkler")
     )
 
 
-@query(f"""{NORM}, ranked AS (SELECT k, record_id, row_number() OVER (PARTITION BY k ORDER BY ingested_at, record_id) - 1 AS rank FROM keys QUALIFY rank <= 20),
-pairs AS (SELECT DISTINCT a.record_id AS newer, b.record_id AS older FROM ranked a JOIN ranked b ON a.k = b.k AND b.rank < a.rank)
+@query(f"""{PAIRS}
 SELECT newer, older, round(CASE WHEN a.address IS NULL OR b.address IS NULL THEN 0.0 ELSE len(list_intersect(list_distinct(string_split(a.address, ' ')), list_distinct(string_split(b.address, ' ')))) * 1.0
     / len(list_distinct(list_concat(string_split(a.address, ' '), string_split(b.address, ' ')))) END, 6) AS overlap,
     CASE WHEN a.dob = b.dob THEN 'same' WHEN year(a.dob) = year(b.dob) AND month(a.dob) = day(b.dob) AND day(a.dob) = month(b.dob) THEN 'swapped'
          WHEN a.dob IS NOT NULL AND b.dob IS NOT NULL THEN 'different' END AS relation
 FROM pairs JOIN norm a ON a.record_id = newer JOIN norm b ON b.record_id = older""")
 def m5_m6_pair_features(spark, sf_dir):
-    return _features(spark, sf_dir, SQL_CAP)
-
-
-@query()
-def m5_m6_pair_features_whole(spark, sf_dir):
-    return _features(spark, sf_dir, SETTINGS.block_cap)
-
-
-def _features(spark, sf_dir, cap):
     recs = records(spark, sf_dir)
-    pairs = _candidates(recs, cap)
     side = lambda p, k: recs.select(F.col("record_id").alias(k), F.col("address").alias(f"{p}_address"), F.col("dob").alias(f"{p}_dob"))
-    return pairs.join(side("a", "newer"), "newer").join(side("b", "older"), "older").select(
+    return _candidates(recs).join(side("a", "newer"), "newer").join(side("b", "older"), "older").select(
         "newer", "older", F.round(t.word_overlap(F.col("a_address"), F.col("b_address")), 6).alias("overlap"), t.date_relation(F.col("a_dob"), F.col("b_dob")).alias("relation")
     )
 
 
 # --- resolved tables ----------------------------------------------------------------------
 
-@query()
+@query(f"{RESOLVED} SELECT record_id, identity_id, valid_from, valid_to, reason FROM assignments")
 def g2_assignments(spark, sf_dir):
     return resolution(spark, sf_dir).assignments
 
 
-@query()
+@query(f"{RESOLVED} SELECT identity_id, created_at, merged_into, merged_at FROM identities")
 def g2_identities(spark, sf_dir):
     return resolution(spark, sf_dir).identities
 
 
-@query()
+@query(f"""{RESOLVED} SELECT record_id, identity_id, CASE len(touched) WHEN 0 THEN 'new' WHEN 1 THEN 'joined' ELSE 'merged' END AS action, n_older::INT AS matched_records,
+CASE WHEN len(touched) > 1 THEN len(touched) ELSE 0 END::INT AS merged_identities FROM played JOIN titles ON titles.c = played.c AND titles.f = keeper""")
 def g2_outcomes(spark, sf_dir):
     return resolution(spark, sf_dir).outcomes
 
 
-@query()
+@query(f"{RESOLVED} SELECT older AS record_a, newer AS record_b, score, name_similarity, {_JOINED} AS reasons, linked_at AS created_at FROM points WHERE is_match")
 def k6_links(spark, sf_dir):
-    return resolution(spark, sf_dir).links
+    return resolution(spark, sf_dir).links.withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query()
+@query(f"{RESOLVED}, m AS (SELECT identity_id AS i, record_id FROM assignments WHERE valid_to IS NULL), {_ACCURACY}")
 def a12_resolved_accuracy(spark, sf_dir):
     return evaluate.pairwise_metrics(resolution(spark, sf_dir).assignments.where("valid_to is null"), bridge.truth(spark, sf_dir))
 
 
-@query()
+@query(f"""{RESOLVED}, spoken AS (
+    SELECT identity_id, record_id, source, ingested_at, toks, trim(regexp_replace(regexp_replace(display_name, '[._]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name
+    FROM assignments JOIN norm USING (record_id) WHERE valid_to IS NULL
+), times AS (SELECT *, count(*) OVER (PARTITION BY identity_id, lower(name)) AS n FROM spoken),
+best AS (SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY n DESC, len(toks) DESC, length(name) DESC, ingested_at, record_id) AS k FROM times)
+SELECT identity_id, array_to_string(list_transform(regexp_extract_all(max(name) FILTER (k = 1), '[A-Za-z]+|[^A-Za-z]+'), lambda p: upper(left(p, 1)) || lower(substr(p, 2))), '') AS display_name,
+    count(*) AS record_count, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min(ingested_at) AS first_seen,
+    CASE WHEN merged_into IS NULL THEN 'active' ELSE 'merged' END AS status, merged_into
+FROM best JOIN identities USING (identity_id) GROUP BY identity_id, merged_into""")
 def q13_identity_summaries(spark, sf_dir):
-    return read.summaries(resolution(spark, sf_dir))
+    return read.summaries(resolution(spark, sf_dir)).withColumn("sources", F.array_join("sources", ","))
 
 
-@query()
+def _flat_report(report):
+    f = lambda n: F.col(f"features.{n}").alias(n)
+    return report.select(
+        "component_id", "risk_score", "label", F.array_join("identity_ids", ",").alias("identity_ids"), F.array_join("reasons", "; ").alias("reasons"),
+        *[f(n) for n in ("size", "first_seen_span_days", "kyc_fraction", "max_identities_per_device", "max_identities_per_phone", "address_share")],
+    )
+
+
+@query(f"{RESOLVED}, ident AS (SELECT record_id, identity_id AS i FROM assignments WHERE valid_to IS NULL), {_GRAPH}, {_RINGS}")
 def m15_resolved_rings(spark, sf_dir):
-    return rings.ring_report(resolution(spark, sf_dir))
+    return _flat_report(rings.ring_report(resolution(spark, sf_dir)))
 
 
 # --- history ------------------------------------------------------------------------------
@@ -425,45 +472,33 @@ def p18_current(spark, sf_dir):
 
 # --- graph --------------------------------------------------------------------------------
 
-_GRAPH = f"""{NORM.replace('WITH person', 'WITH RECURSIVE person', 1)},
-ia AS (SELECT DISTINCT person_id AS i, kind, value FROM attrs JOIN norm USING (record_id) WHERE kind IN ('phone', 'device', 'address')),
-heads AS (SELECT kind, value, min(i) AS u FROM ia GROUP BY kind, value HAVING count(*) > 1 AND count(*) <= 50),
-e AS (SELECT DISTINCT u, i AS v FROM ia JOIN heads USING (kind, value) WHERE i <> u),
-both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-walk AS (SELECT u AS i, u AS r FROM both_ways UNION SELECT b.v, w.r FROM walk w JOIN both_ways b ON b.u = w.i),
-comp AS (SELECT i, min(r) AS c FROM walk GROUP BY i)"""
-
-
-@query(f"{_GRAPH} SELECT printf('PID%07d', i) AS node, printf('PID%07d', c) AS component FROM comp")
+@query(f"{_PERSONS} SELECT i AS node, c AS component FROM comp")
 def g1_components(spark, sf_dir):
     edges = rings.star_edges(rings.identity_attributes(by_person(spark, sf_dir)), SETTINGS.hub_limit)
     return connected_components(edges, Workspace(spark, "g1"))
 
 
-@query(f"""{_GRAPH}, prof AS (SELECT person_id AS i, min(ingested_at) AS seen, max((source = 'bank_kyc')::INT) AS kyc FROM norm GROUP BY person_id),
-shared AS (SELECT c, kind, value, count(*) AS n FROM comp JOIN ia USING (i) GROUP BY ALL),
-most AS (SELECT c, coalesce(max(n) FILTER (kind = 'device'), 0) AS d, coalesce(max(n) FILTER (kind = 'phone'), 0) AS p, coalesce(max(n) FILTER (kind = 'address'), 0) AS a FROM shared GROUP BY c),
-g AS (SELECT c, count(*) AS n, date_diff('microsecond', min(seen), max(seen)) / 8.64e10 AS span, avg(kyc) AS kyc FROM comp JOIN prof USING (i) GROUP BY c HAVING count(*) >= 3),
-r AS (SELECT c, n, span, kyc, d, p, a / n AS share, (CASE WHEN span <= 21 THEN 2 ELSE 0 END + CASE WHEN kyc < 0.3 THEN 2 ELSE 0 END + CASE WHEN d >= 4 THEN 2 ELSE 0 END + CASE WHEN p >= 4 THEN 1 ELSE 0 END
-    - CASE WHEN a / n >= 0.6 AND kyc >= 0.5 THEN 2 ELSE 0 END - CASE WHEN span > 60 THEN 1 ELSE 0 END)::DOUBLE AS risk FROM g JOIN most USING (c))
-SELECT row_number() OVER (ORDER BY -risk, -n, c) AS component_id, risk AS risk_score, n::INT AS size,
-    CASE WHEN risk >= 4 THEN 'SUSPICIOUS_RING' WHEN risk <= 0 THEN 'LIKELY_FAMILY' ELSE 'REVIEW' END AS label, d::INT AS per_device, p::INT AS per_phone FROM r""")
+@query(f"{_PERSONS}, {_RINGS}")
 def m15_ring_report(spark, sf_dir):
-    return rings.ring_report(by_person(spark, sf_dir)).select(
-        "component_id", "risk_score", F.col("features.size").alias("size"), "label",
-        F.col("features.max_identities_per_device").alias("per_device"), F.col("features.max_identities_per_phone").alias("per_phone"),
-    )
+    return _flat_report(rings.ring_report(by_person(spark, sf_dir)))
 
 
-@query(f"""{_GRAPH}, big AS (SELECT c FROM comp GROUP BY c HAVING count(*) >= 3), own AS (SELECT c, i, kind, value FROM comp JOIN ia USING (i) WHERE c IN (SELECT c FROM big))
-SELECT printf('PID%07d', a.i) AS a, printf('PID%07d', b.i) AS b, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS kinds
+@query(f"""{_PERSONS}, big AS (SELECT c FROM comp GROUP BY c HAVING count(*) >= {SETTINGS.min_ring}), own AS (SELECT c, i, kind, value FROM comp JOIN ia USING (i) WHERE c IN (SELECT c FROM big))
+SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS kinds
 FROM own a JOIN own b ON a.c = b.c AND a.kind = b.kind AND a.value = b.value AND a.i < b.i GROUP BY ALL""")
 def j11_component_edges(spark, sf_dir):
     r = by_person(spark, sf_dir)
     return rings.shared_edges(rings.ring_report(r), rings.identity_attributes(r)).select("a", "b", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query()
+@query(f"""{_PERSONS}, {_REPORT}, {_TRUTH},
+votes AS (SELECT i, ring <> '' AS is_ring, CASE WHEN ring <> '' THEN ring ELSE fam END AS grp, count(*) AS n FROM ident JOIN truth USING (record_id) GROUP BY ALL),
+modes AS (SELECT i, is_ring, grp FROM votes QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, is_ring DESC, grp) = 1),
+seconds AS (SELECT component_id, label, report.n AS size, is_ring, grp, count(*) AS n FROM report JOIN comp USING (c) JOIN modes USING (i) GROUP BY ALL),
+top AS (SELECT * FROM seconds QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY n DESC, is_ring DESC, grp) = 1),
+sums AS (SELECT (SELECT count(DISTINCT ring) FROM truth WHERE ring <> '') AS planted_rings, count(DISTINCT grp) FILTER (is_ring AND label = 'SUSPICIOUS_RING' AND n * 2 >= size) AS rings_flagged,
+    count(*) FILTER (NOT is_ring AND grp <> '') AS family_groups_analyzed, count(*) FILTER (NOT is_ring AND grp <> '' AND label = 'SUSPICIOUS_RING') AS families_falsely_flagged FROM top)
+SELECT *, CASE WHEN planted_rings > 0 THEN {half_even_sql("rings_flagged / planted_rings", 3)} END AS ring_recall FROM sums""")
 def a19_ring_evaluation(spark, sf_dir):
     r = by_person(spark, sf_dir)
     return rings.evaluate_rings(rings.ring_report(r), r.assignments, bridge.truth(spark, sf_dir))
@@ -471,26 +506,18 @@ def a19_ring_evaluation(spark, sf_dir):
 
 # --- evaluation ---------------------------------------------------------------------------
 
-@query(f"""{NORM}, m AS (SELECT coalesce(phone, record_id) AS i, person_id AS p, floor(person_id / 3.0) AS f FROM norm),
-cells AS (SELECT i, p, count(*) AS n FROM m GROUP BY ALL), found AS (SELECT i, sum(n) AS n FROM cells GROUP BY i), people AS (SELECT p, sum(n) AS n, count(*) AS ids FROM cells GROUP BY p),
-x AS (SELECT (SELECT sum(n) FROM cells) AS records, (SELECT sum(n * (n - 1) / 2) FROM cells) AS tp, (SELECT sum(n * (n - 1) / 2) FROM found) AS pp, (SELECT sum(n * (n - 1) / 2) FROM people) AS ap),
-mixed AS (SELECT i, count(DISTINCT p) AS people, count(DISTINCT f) AS fams FROM m GROUP BY i HAVING count(DISTINCT p) > 1)
-SELECT records::BIGINT AS records, (SELECT count(*) FROM people) AS true_people, (SELECT count(*) FROM found) AS predicted_identities,
-    round(CASE WHEN pp > 0 THEN tp / pp ELSE 1.0 END, 4) AS precision, round(CASE WHEN ap > 0 THEN tp / ap ELSE 1.0 END, 4) AS recall,
-    (SELECT count(*) FROM mixed) AS over_merged_identities, (SELECT count(*) FROM people WHERE ids > 1) AS people_split_across_identities FROM x""")
+@query(f"{NORM}, m AS (SELECT coalesce(phone, record_id) AS i, record_id FROM norm), {_ACCURACY}")
 def a12_pairwise_metrics(spark, sf_dir):
     now = records(spark, sf_dir).select("record_id", F.coalesce(F.get("phones", F.lit(0)), F.col("record_id")).alias("identity_id"))
-    return evaluate.pairwise_metrics(now, bridge.truth(spark, sf_dir)).select(
-        "records", "true_people", "predicted_identities", "precision", "recall", "over_merged_identities", "people_split_across_identities"
-    )
+    return evaluate.pairwise_metrics(now, bridge.truth(spark, sf_dir))
 
 
-@query(f"""{NORM}, m AS (SELECT coalesce(address, record_id) AS i, person_id AS p, floor(person_id / 3.0) AS f FROM norm)
-SELECT i AS identity_id, count(DISTINCT p) AS people, CASE WHEN count(DISTINCT f) = 1 THEN 'same family' ELSE 'other' END AS kind FROM m GROUP BY i HAVING count(DISTINCT p) > 1""")
+@query(f"""{NORM}, {_TRUTH}, m AS (SELECT coalesce(address, record_id) AS i, p, fam, ring FROM norm JOIN truth USING (record_id))
+SELECT i AS identity_id, count(DISTINCT p) AS people, CASE WHEN count(DISTINCT fam) = 1 THEN 'same family' WHEN count(DISTINCT ring) = 1 AND max(ring) <> '' THEN 'same fraud ring' ELSE 'unrelated people' END AS kind
+FROM m GROUP BY i HAVING count(DISTINCT p) > 1""")
 def a15_over_merged(spark, sf_dir):
     now = records(spark, sf_dir).select("record_id", F.coalesce("address", "record_id").alias("identity_id"))
-    out = evaluate.over_merged(now.join(bridge.truth(spark, sf_dir), "record_id"))
-    return out.withColumn("kind", F.when(F.col("kind") == "same family", F.col("kind")).otherwise("other"))
+    return evaluate.over_merged(now.join(bridge.truth(spark, sf_dir), "record_id"))
 
 
 # --- reading ------------------------------------------------------------------------------
@@ -521,10 +548,10 @@ def q9_search_phone(spark, sf_dir):
     return read.smart_search(by_person(spark, sf_dir), "090001 70725").select("identity_id")
 
 
-@query(f"""{NORM}, hit AS (SELECT record_id FROM attrs WHERE kind = 'nkey' AND value IN ({_sound("'lakshmi'")}, {_sound("'sharma'")}) GROUP BY record_id HAVING count(DISTINCT value) = 2)
+@query(f"""{NORM}, hit AS (SELECT record_id FROM attrs WHERE kind = 'nkey' AND value IN ({_sound("'chitra'")}, {_sound("'mehta'")}) GROUP BY record_id HAVING count(DISTINCT value) = 2)
 SELECT DISTINCT printf('PID%07d', person_id) AS identity_id FROM norm WHERE record_id IN (SELECT record_id FROM hit) ORDER BY 1 LIMIT 50""")
 def a5_search_all_sounds(spark, sf_dir):
-    return read.smart_search(by_person(spark, sf_dir), "Laxmi  Sharma").select("identity_id")
+    return read.smart_search(by_person(spark, sf_dir), "Chithra  Mehtha").select("identity_id")
 
 
 @query(f"{NORM} SELECT printf('PID%07d', person_id) AS identity_id, count(*) AS record_count, min(ingested_at) AS first_seen, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM norm GROUP BY person_id")

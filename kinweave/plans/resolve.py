@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinweave.config import SETTINGS, Settings
 from kinweave.functions import text as t
+from kinweave.functions.numbers import fixed, half_even
 from kinweave.functions.similarity import name_similarity_udf
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import blocking_keys, normalized
@@ -23,7 +24,9 @@ from kinweave.workspace import Workspace
 
 
 def first_deliveries(records: DataFrame) -> DataFrame:
-    w = Window.partitionBy("record_id").orderBy("ingested_at", "source")
+    """One row for each record id: the one that came first, by ``arrival`` where there is such a column."""
+    first = [c for c in ("arrival",) if c in records.columns]
+    w = Window.partitionBy("record_id").orderBy(*first, "ingested_at", "source", F.xxhash64(*[c for c in records.columns if c not in first]))
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -40,7 +43,12 @@ def ranked_keys(keys: DataFrame, cap: int) -> DataFrame:
 def candidate_pairs(keys: DataFrame, cap: int) -> DataFrame:
     """Distinct (newer, older) pairs; a key gives at most cap * (cap + 1) / 2."""
     ranked = ranked_keys(keys, cap)
-    a, b = ranked.alias("a"), ranked.alias("b")
+    return candidate_pairs_of(ranked, ranked)
+
+
+def candidate_pairs_of(newer: DataFrame, older: DataFrame) -> DataFrame:
+    """Distinct pairs of (key, record_id, rank) rows of the same key with the lower rank in ``older``."""
+    a, b = newer.alias("a"), older.alias("b")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("b.rank") < F.col("a.rank"))).select(
         F.col("a.record_id").alias("newer"), F.col("b.record_id").alias("older")
     ).distinct()
@@ -56,14 +64,15 @@ def evidence(s: Settings = SETTINGS) -> list[tuple[Column, float, Column]]:
 
     sim, addr = F.col("name_sim"), F.col("addr_sim")
     dates = F.col("dob_relation")
-    said = lambda what, v: F.concat(F.lit(f"{what} ("), F.format_string("%.2f", v), F.lit(")"))
+    said = lambda what, v: F.concat(F.lit(f"{what} ("), F.col(v), F.lit(")"))
     same = lambda name: F.coalesce(both(name)[0] == both(name)[1], F.lit(False))
     ids = both("id_hash")
+    # Points and texts are part of the answer.
     return [
-        (sim >= 0.92, 3.0, said("names agree strongly", sim)),
-        ((sim >= 0.85) & (sim < 0.92), 2.0, said("names agree", sim)),
-        ((sim >= s.name_floor) & (sim < 0.85), 1.0, said("names roughly agree", sim)),
-        ((sim < 0.7) & (sim < s.name_floor), -3.0, said("names disagree", sim)),
+        (sim >= 0.92, 3.0, said("names agree strongly", "sim_text")),
+        ((sim >= 0.85) & (sim < 0.92), 2.0, said("names agree", "sim_text")),
+        ((sim >= s.name_floor) & (sim < 0.85), 1.0, said("names roughly agree", "sim_text")),
+        ((sim < 0.7) & (sim < s.name_floor), -3.0, said("names disagree", "sim_text")),
         (same("id_hash"), 5.0, F.lit("same government ID")),
         (F.coalesce(ids[0] != ids[1], F.lit(False)), -6.0, F.lit("different government IDs")),
         (same("email"), 4.0, F.lit("same email")),
@@ -71,7 +80,7 @@ def evidence(s: Settings = SETTINGS) -> list[tuple[Column, float, Column]]:
         (dates == "same", 2.5, F.lit("same date of birth")),
         (dates == "swapped", 1.5, F.lit("date of birth matches with day/month swapped")),
         (dates == "different", -4.0, F.lit("different dates of birth")),
-        (addr >= 0.6, 1.0, said("similar address", addr)),
+        (addr >= 0.6, 1.0, said("similar address", "addr_text")),
         (same("pincode"), 0.5, F.lit("same pincode")),
         (same("device_id"), 1.0, F.lit("shared device")),
     ]
@@ -87,26 +96,29 @@ def scored(pairs: DataFrame, records: DataFrame, s: Settings = SETTINGS, matches
     With ``matches_only``, pairs that no agreement of names could lift to the threshold go
     before names are compared, and so do the other pairs that are no match.
     """
-    used = ["name_tokens", "dob", "phones", "email", "address", "pincode", "id_hash", "device_id", "ingested_at"]
-    side = lambda p, key: records.select(F.col("record_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in used])
-    rows = pairs.join(side("a", "newer"), "newer").join(side("b", "older"), "older").select(
-        "*", t.word_overlap(F.col("a_address"), F.col("b_address")).alias("addr_sim"),
-        t.date_relation(F.col("a_dob"), F.col("b_dob")).alias("dob_relation"),
-    )
+    used = ["name_tokens", "dob", "phones", "email", "pincode", "id_hash", "device_id", "ingested_at"]
+    worded = records.select("record_id", *used, t.word_set(F.col("address")).alias("words"))
+    side = lambda p, key: worded.select(F.col("record_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in [*used, "words"]])
+    rows = pairs.join(side("a", "newer"), "newer").join(side("b", "older"), "older")
+    rows = rows.withColumn("addr_sim", t.set_overlap(F.col("a_words"), F.col("b_words")))
+    rows = rows.withColumn("dob_relation", t.date_relation(F.col("a_dob"), F.col("b_dob")))
     parts = evidence(s)
     zero = F.lit(0.0)
     points = lambda some: sum((F.when(c, F.lit(p)).otherwise(zero) for c, p, _ in some), zero)
+    rows = rows.withColumn("_other", points(parts[NAME_RULES:]))
     if matches_only:
-        rows = rows.where(points(parts[NAME_RULES:]) + BEST_NAME >= s.match_threshold)
+        rows = rows.where(F.col("_other") + BEST_NAME >= s.match_threshold)
     rows = rows.withColumn("name_sim", name_similarity_udf("a_name_tokens", "b_name_tokens"))
-    total = points(parts)
+    rows = rows.withColumn("score", F.col("_other") + points(parts[:NAME_RULES]))
+    rows = rows.withColumn("name_similarity", half_even(F.col("name_sim"), 3))
+    rows = rows.withColumn("is_match", (F.col("score") >= s.match_threshold) & (F.col("name_similarity") >= s.name_floor))
+    if matches_only:
+        rows = rows.where("is_match")
+    rows = rows.withColumn("sim_text", fixed(F.col("name_sim"), 2)).withColumn("addr_text", fixed(F.col("addr_sim"), 2))
     reasons = F.array_compact(F.array(*[F.when(c, F.concat(r, F.lit(f" ({p:+.1f})"))) for c, p, r in parts]))
-    out = rows.select(
-        "newer", "older", F.round(total, 2).alias("score"), F.round("name_sim", 3).alias("name_similarity"),
-        reasons.alias("reasons"), F.col("a_ingested_at").alias("linked_at"),
+    return rows.select(
+        "newer", "older", "score", "name_similarity", reasons.alias("reasons"), "is_match", F.col("a_ingested_at").alias("linked_at")
     )
-    out = out.withColumn("is_match", (F.col("score") >= s.match_threshold) & (F.col("name_similarity") >= s.name_floor))
-    return out.where("is_match") if matches_only else out
 
 
 def replay_component(rows: list[tuple]) -> list[tuple]:
@@ -205,7 +217,7 @@ def history(events: DataFrame) -> DataFrame:
 def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None = None) -> Resolution:
     """Identities of canonical records. Tables are written to the shared folder."""
     work = work or Workspace(canonical.sparkSession, "resolve")
-    records = work.table(first_deliveries(normalized(canonical)), "records")
+    records = work.table(first_deliveries(normalized(canonical)).drop("arrival"), "records")
     pairs = candidate_pairs(blocking_keys(records), s.block_cap)
     links = work.table(
         scored(pairs, records, s, matches_only=True).select(
@@ -249,3 +261,13 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
         F.when(F.col("kind") == "merged", F.col("other").cast("int")).otherwise(0).alias("merged_identities"),
     )
     return Resolution(records, links, assignments, identities, outcomes)
+
+
+def all_outcomes(canonical: DataFrame, r: Resolution) -> DataFrame:
+    """Outcomes of every delivery: a record's first one, and ``duplicate`` for each further one."""
+    times = normalized(canonical).groupBy("record_id").agg((F.count("*") - 1).cast("int").alias("more")).where("more > 0")
+    now = r.assignments.where("valid_to is null").select("record_id", "identity_id")
+    again = times.withColumn("action", F.explode(F.array_repeat(F.lit("duplicate"), F.col("more")))).join(now, "record_id")
+    return r.outcomes.unionByName(again.select(
+        "record_id", "identity_id", "action", F.lit(0).alias("matched_records"), F.lit(0).alias("merged_identities")
+    ))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinweave.config import SETTINGS, Settings
+from kinweave.functions.numbers import half_even, scaled
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import attributes
 from kinweave.plans.resolve import Resolution, numbered
@@ -13,6 +14,13 @@ from kinweave.workspace import Workspace
 KINDS = ["phone", "device", "address"]
 
 
+def identity_rows(r: Resolution) -> DataFrame:
+    """Current records with their attributes; a record without any has one row, with nulls."""
+    now = r.assignments.where("valid_to is null").select("record_id", "identity_id")
+    seen = r.records.select("record_id", "source", "ingested_at")
+    return now.join(seen, "record_id").join(attributes(r.records), "record_id", "left")
+
+
 def identity_attributes(r: Resolution) -> DataFrame:
     """(identity_id, kind, value) of current records, each once."""
     now = r.assignments.where("valid_to is null").select("record_id", "identity_id")
@@ -50,8 +58,9 @@ def ring_report(r: Resolution, s: Settings = SETTINGS, work: Workspace | None =
         F.array_sort(F.collect_list("identity_id")).alias("identity_ids"),
     ).where(F.col("n") >= s.min_ring).join(shared, "component")
     groups = groups.withColumn("share", F.col("per_address") / F.col("n"))
-    pct = lambda c: F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
-    days = F.round("span").cast("int").cast("string")
+    pct = lambda c: F.concat(scaled(F.col(c) * 100, 0).cast("string"), F.lit("%"))
+    days = scaled(F.col("span"), 0).cast("string")
+    # Points and texts are part of the answer.
     rules = [
         (F.col("span") <= 21, 2, F.concat(F.col("n").cast("string"), F.lit(" identities first seen within "), days, F.lit(" days (burst)"))),
         (F.col("kyc") < 0.3, 2, F.concat(F.lit("only "), pct("kyc"), F.lit(" have bank KYC"))),
@@ -65,9 +74,9 @@ def ring_report(r: Resolution, s: Settings = SETTINGS, work: Workspace | None =
         F.lit(run_id).alias("run_id"), "component", "identity_ids", risk.alias("risk_score"),
         F.array_compact(F.array(*[F.when(c, why) for c, _, why in rules])).alias("reasons"),
         F.struct(
-            F.col("n").cast("int").alias("size"), F.round("span", 1).alias("first_seen_span_days"), F.round("kyc", 2).alias("kyc_fraction"),
+            F.col("n").cast("int").alias("size"), half_even(F.col("span"), 1).alias("first_seen_span_days"), half_even(F.col("kyc"), 2).alias("kyc_fraction"),
             F.col("per_device").cast("int").alias("max_identities_per_device"), F.col("per_phone").cast("int").alias("max_identities_per_phone"),
-            F.round("share", 2).alias("address_share"),
+            half_even(F.col("share"), 2).alias("address_share"),
         ).alias("features"),
         (-risk).alias("_risk"), (-F.col("n")).alias("_n"),
     ).withColumn("label", F.when(F.col("risk_score") >= 4, "SUSPICIOUS_RING").when(F.col("risk_score") <= 0, "LIKELY_FAMILY").otherwise("REVIEW"))
@@ -101,4 +110,4 @@ def evaluate_rings(report: DataFrame, assignments: DataFrame, truth: DataFrame)
         F.count(F.when(family, 1)).alias("family_groups_analyzed"), F.count(F.when(family & suspicious, 1)).alias("families_falsely_flagged"),
     )
     planted = truth.agg(F.count_distinct(F.when(F.col("ring_id") != "", F.col("ring_id"))).alias("planted_rings"))
-    return planted.crossJoin(found).withColumn("ring_recall", F.when(F.col("planted_rings") > 0, F.round(F.col("rings_flagged") / F.col("planted_rings"), 3)))
+    return planted.crossJoin(found).withColumn("ring_recall", F.when(F.col("planted_rings") > 0, half_even(F.col("rings_flagged") / F.col("planted_rings"), 3)))

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-FIRST = "anand,karthik,lakshmi,ramesh,suresh,divya,mohammed,fatima,vikram,sneha,arjun,kavitha,deepak,geetha,harish,meena,naveen,pooja,rahul,swathi,prakash,radhika,vijay,zoya"
-LAST = "sharma,iyer,reddy,khan,patel,nair,gupta,rao,das,menon,joshi,shetty,pillai,verma,bose,kulkarni,mishra,naidu,singh,thomas"
+FIRST = "aarti,bhaskar,chitra,dinesh,ekta,faisal,girish,hema,ishita,jatin,kamala,lokesh,madhavi,nitin,omkar,pallavi,rajiv,sarita,tarun,uma,vimala,wasim,yamini,zubin"
+LAST = "apte,bhandari,chatterjee,dixit,gokhale,hegde,jain,kamat,lele,mehta,nambiar,oberoi,pandey,qureshi,rastogi,sethi,thakur,upadhyay,vaidya,wagle"
 STREETS = "temple,station,lake,market,garden,school,river,hill,church,park"
 
 _PERSON = """

@@ -17,6 +17,7 @@ class Contract:
     phones: tuple[str, ...] = field(default=())
 
 
+# Names of sources and fields, and the texts of errors below.
 CONTRACTS = [
     Contract(
         "bank_kyc", "kyc_ref", ("kyc_ref", "full_name", "dob", "pan_number"), ("address_line", "pincode", "mobile"),
@@ -39,20 +40,30 @@ ENVELOPE = T.StructType([
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Envelopes of a JSON Lines folder or file, with the raw line and what was wrong with it."""
-    return parse(spark.read.text(path).select(F.col("value").alias("raw")))
+    """Envelopes of a JSON Lines folder or file, with the raw line and what was wrong with it.
+
+    ``arrival`` is the order of the lines; of several files, that in which they are read.
+    """
+    return parse(spark.read.text(path).select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("arrival")))
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """(raw, source, ingested_at, payload, broken) from a column ``raw`` of JSON text.
 
     A line that is no JSON object is broken. A payload that is no object is null.
+    ``not_text`` lists the fields of the payload that a contract knows and whose value is no
+    JSON text; an optional one of them is taken as the text it is written as.
     """
+    known = sorted({f for c in CONTRACTS for f in c.required + c.optional})
+    tree = F.try_parse_json(F.col("_e.payload"))
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(tree, f"$.{f}", "variant"))
+    other = F.array_compact(F.array(*[F.when(kind(f).isNotNull() & (kind(f) != "STRING"), F.lit(f)) for f in known]))
     body = F.from_json("raw", T.StructType([T.StructField("source", T.StringType()), T.StructField("ingested_at", T.StringType()), T.StructField("payload", T.StringType())]))
     is_object = F.get_json_object("raw", "$").rlike("^\\s*\\{")
     return lines.withColumn("_e", body).select(
         *lines.columns, F.col("_e.source").alias("source"), F.col("_e.ingested_at").alias("ingested_at"),
         F.when(F.col("_e.payload").rlike("^\\s*\\{"), F.from_json("_e.payload", "map<string,string>")).alias("payload"),
+        F.when(F.col("_e.payload").rlike("^\\s*\\{"), other).alias("not_text"),
         (~F.coalesce(is_object, F.lit(False))).alias("broken"),
     )
 
@@ -80,11 +91,17 @@ def unexpected_fields() -> Column:
     return _by_source(lambda c: F.array_sort(F.array_except(F.map_keys("payload"), _names(c.required + c.optional))))
 
 
-def contract_error() -> Column:
-    """The first broken rule as text, or null."""
+def _empty(value: Column) -> Column:
+    """Whether a text has nothing but white space, of Unicode too, or is null."""
+    return F.regexp_replace(F.coalesce(value, F.lit("")), "(?U)[\\s\\x1c-\\x1f]+", "") == ""
+
+
+def contract_error(not_text: Column | None = None) -> Column:
+    """The first broken rule as text, or null; ``not_text`` lists fields whose value is no text."""
+    other = F.coalesce(not_text, F.array().cast("array<string>")) if not_text is not None else F.array().cast("array<string>")
     missing, extra = missing_fields(), unexpected_fields()
     drift = F.when(F.size(extra) > 0, F.concat(F.lit("; unexpected field(s) "), _listed(extra), F.lit(" - possible schema drift"))).otherwise(F.lit(""))
-    blank = _by_source(lambda c: F.get(F.filter(_names(c.required), lambda f: F.coalesce(F.trim(F.try_element_at("payload", f)), F.lit("")) == ""), F.lit(0)))
+    blank = _by_source(lambda c: F.get(F.filter(_names(c.required), lambda f: _empty(F.try_element_at("payload", f)) | F.array_contains(other, f)), F.lit(0)))
     return F.coalesce(
         F.when(~F.coalesce(F.col("source").isin([c.source for c in CONTRACTS]), F.lit(False)),
                F.concat(F.lit("unknown source: "), F.coalesce(F.concat(F.lit("'"), "source", F.lit("'")), F.lit("None")))),
@@ -96,7 +113,7 @@ def contract_error() -> Column:
 
 
 def validated(envelopes: DataFrame) -> DataFrame:
-    return envelopes.withColumn("error", contract_error())
+    return envelopes.withColumn("error", contract_error(F.col("not_text") if "not_text" in envelopes.columns else None))
 
 
 def canonical(valid: DataFrame) -> DataFrame:
@@ -108,5 +125,5 @@ def canonical(valid: DataFrame) -> DataFrame:
     phones = _by_source(lambda c: F.filter(F.array(*[at(p) for p in c.phones]), lambda p: F.coalesce(p, F.lit("")) != ""))
     return valid.where("error is null").select(
         _by_source(lambda c: at(c.id_field)).alias("record_id"), "source", "ingested_at", *cols,
-        phones.alias("phones"), unexpected_fields().alias("unexpected_fields"),
+        phones.alias("phones"), unexpected_fields().alias("unexpected_fields"), *[c for c in ("arrival",) if c in valid.columns],
     )

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinweave.sources.bridge import FIRST, LAST, STREETS
 
-#: Other spellings of first names.
-VARIANTS = {
-    "karthik": "kartik,karthick", "lakshmi": "laxmi,lakshmy", "suresh": "sureesh,suresh", "divya": "divya,divyaa", "mohammed": "mohammad,muhammad",
-    "fatima": "fathima,fatema", "vikram": "vickram,vikram", "kavitha": "kavita,kavitha", "geetha": "gita,geeta", "swathi": "swati,svathi", "deepak": "dipak,deepak",
-}
+#: How letters after the first of a name may be spelled in another way; a name has a spelling
+#: for each that changes it.
+RESPELLED = [("v", "w"), ("t", "th"), ("d", "dh"), ("i", "ee"), ("a", "aa"), ("u", "oo"), ("k", "kh"), ("j", "z")]
 SPAN_DAYS, BURST_DAYS = 180, 14
 FAMILY_SHARE, MEAN_FAMILY = 0.35, 3.35
 _UNIT = 1 << 30
@@ -89,8 +87,9 @@ def _records(people: DataFrame, d: _Draws) -> DataFrame:
 def _spelled(rows: DataFrame, d: _Draws) -> DataFrame:
     """Adds the first name as ``spelled``: mostly as it is, else another spelling, and now and then a typing error."""
     keys = ("number", "source", "nth")
-    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for n, o in VARIANTS.items() for x in (n, o.split(","))])
-    others = F.try_element_at(table, F.col("first"))
+    rest = F.substring("first", 2, 40)
+    tries = F.array(*[F.concat(F.substring("first", 1, 1), F.replace(rest, F.lit(old), F.lit(new))) for old, new in RESPELLED])
+    others = F.filter(tries, lambda x: x != F.col("first"))
     other = F.get(others, F.floor(d.share("spelling", *keys) * F.size(others)).cast("int"))
     rows = rows.withColumn("word", F.when(d.share("canonical", *keys) < 0.6, F.col("first")).otherwise(F.coalesce(other, "first")))
     rows = rows.withColumn("at", F.lit(2) + F.floor(d.share("place", *keys) * (F.char_length("word") - 2)).cast("int"))
@@ -164,6 +163,18 @@ def generate(spark: SparkSession, persons: int, rings: int, seed: int = 42) -> t
     return rows.select("source", "ingested_at", payload.alias("payload")), truth
 
 
-def write_jsonl(envelopes: DataFrame, path: str) -> None:
-    """One JSON object a line, as ``contracts.read_jsonl`` and the stream read them."""
-    envelopes.select(F.to_json(F.struct("source", "ingested_at", "payload")).alias("value")).write.mode("overwrite").text(path)
+def write_jsonl(envelopes: DataFrame, path: str, ordered: bool = False) -> None:
+    """One JSON object a line, as ``contracts.read_jsonl`` and the stream read them; by arrival if ``ordered``."""
+    rows = envelopes.orderBy("ingested_at") if ordered else envelopes
+    rows.select(F.to_json(F.struct("source", "ingested_at", "payload")).alias("value")).write.mode("overwrite").text(path)
+
+
+def summary(envelopes: DataFrame, truth: DataFrame) -> dict:
+    """How many people, families and records were made, and records of each source."""
+    people = truth.agg(
+        F.count_distinct("person_id").alias("people"), F.count_distinct(F.when(F.col("ring_id") != "", F.col("person_id"))).alias("ring_people"),
+        F.count_distinct(F.when(F.col("ring_id") != "", F.col("ring_id"))).alias("rings"),
+        F.count_distinct(F.when(F.col("family_id") != "", F.col("family_id"))).alias("families"), F.count("*").alias("records"),
+    ).first()
+    by = {r.source: r["count"] for r in envelopes.groupBy("source").count().collect()}
+    return {**people.asDict(), "by_source": by}

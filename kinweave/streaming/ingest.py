@@ -24,7 +24,7 @@ def _batch(lake: str):
     def run(lines: DataFrame, batch_id: int) -> None:
         spark = lines.sparkSession
         parsed = parse(lines)
-        error = F.when(F.col("broken"), F.lit("not a JSON object")).otherwise(contract_error())
+        error = F.when(F.col("broken"), F.lit("not a JSON object")).otherwise(contract_error(F.col("not_text")))
         checked = parsed.withColumn("error", error).persist()
         try:
             good = first_deliveries(canonical(checked))

@@ -33,11 +33,11 @@ def test_whole_blocks(spark, blocks):
     names, members = blocks
     assert max(map(len, members.values())) > 200
     run = lambda name: registry.QUERIES[name](spark, "").collect()
-    assert {(r.key, r.record_id, r["rank"]) for r in run("w1_block_rank_whole")} == {(k, r, i) for k, v in members.items() for i, r in enumerate(v)}
+    assert {(r.key, r.record_id, r["rank"]) for r in run("w1_block_rank")} == {(k, r, i) for k, v in members.items() for i, r in enumerate(v)}
     want = {(a, b) for v in members.values() for i, a in enumerate(v) for b in v[:i]}
-    for name in ("j1_candidate_pairs_whole", "m7_scored_pairs", "m7_pair_scores_whole", "m5_m6_pair_features_whole"):
+    for name in ("j1_candidate_pairs", "m7_scored_pairs", "m5_m6_pair_features"):
         got = [(r.newer, r.older) for r in run(name)]
         assert len(got) == len(want) and set(got) == want, name
-    for r in run("m7_pair_scores_whole"):
+    for r in run("m7_scored_pairs"):
         assert r.name_similarity == pytest.approx(name_similarity(names[r.newer].split(), names[r.older].split()), abs=6e-4)
-    assert {(r.a, r.b) for r in run("m1_jaro_winkler_whole")} == {(x, y) for a, b in want for x in names[a].split() for y in names[b].split()}
+    assert {(r.a, r.b) for r in run("m1_jaro_winkler")} == {(x, y) for a, b in want for x in names[a].split() for y in names[b].split()}

@@ -184,7 +184,7 @@ def test_rings_reviews_overview(spark):
     b = read.checked_review(report, "run", 1, "false_alarm", "", "2026-02-02")
     assert read.rings_view(report, a.union(b), "suspicious_ring").first().decision == "false_alarm"
     seen = read.overview(report, a.union(b)).first()
-    assert (seen.suspicious_total, seen.suspicious_open, seen.false_alarm) == (1, 0, 1)
+    assert (seen.suspicious_total, seen.suspicious_open, seen.decisions) == (1, 0, {"false_alarm": 1})
     with pytest.raises(read.BadRequest):
         read.checked_review(report, "run", 1, "maybe", "", "x")
     with pytest.raises(read.NotFound):
