@@ -9,28 +9,29 @@ pairs of bytes, so that a position costs two look-ups.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kinweave.llm.bytetok import to_bytes
-from kinweave.llm.sampling import Adam, bounded, fold
+from kinweave.llm.sampling import Adam, fold
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
 PLACES = WINDOW - max(WIDTHS) + 1
-#: Texts that teach, at most about, and windows taken from each, evenly spaced.
+#: Texts that teach, at most about, the same number of each language; all their windows do.
 MAX_TAUGHT = 4000
-TAUGHT_WINDOWS = 4
 EPOCHS = 3
 BATCH = 128
 #: Windows held at a time when the network is applied.
 HELD = 1024
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character's category is letter; numerals such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text))
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -39,12 +40,6 @@ def windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW), np.uint8).reshape(n, WINDOW)
 
 
-def _some(data: bytes, most: int) -> list[bytes]:
-    all_windows = windows(data)
-    at = np.unique(np.linspace(0, len(all_windows) - 1, most).round().astype(int))
-    return [all_windows[i].tobytes() for i in at]
-
-
 def train(x: np.ndarray, y: np.ndarray, n_classes: int, seed: int = 1) -> dict[str, np.ndarray]:
     """Cross-entropy training on windows ``x`` (n, WINDOW) with classes ``y``."""
     rng = np.random.default_rng(seed)
@@ -125,7 +120,7 @@ class Network:
 def _teaching(batches):
     for batch in batches:
         langs, texts = (c.to_pylist() for c in batch.columns)
-        found = [(lang, w) for lang, t in zip(langs, texts) if _LETTER.search(t) for w in _some(to_bytes(t), TAUGHT_WINDOWS)]
+        found = [(lang, w.tobytes()) for lang, t in zip(langs, texts) if has_letter(t) for w in windows(to_bytes(t))]
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.binary())], ["lang", "window"])
@@ -153,7 +148,7 @@ def _predicting(held):
                 rows, parts, size = [], [], 0
 
             for row, text in enumerate(texts):
-                if network and text is not None and _LETTER.search(text):
+                if network and text is not None and has_letter(text):
                     rows.append(row)
                     parts.append(windows(to_bytes(text)))
                     size += len(parts[-1])
@@ -173,8 +168,9 @@ def identify(
 ) -> DataFrame:
     """``(id, held_out, lang_pred, score)`` for each row.
 
-    Rows of the held fold, by the crc32 of the id, teach nothing. Of the others a bounded
-    sample with a text and a language does. ``und`` with score 0 is given to null texts and
+    Rows of the held fold, by the crc32 of the id, teach nothing; a null id is in fold 0. Of the
+    others with a text and a language a bounded sample does, taken of each language by hash, so
+    that every language is learned. ``und`` with score 0 is given to null texts and
     to texts without a letter, and to all if nothing could be learned. Windows are bytes of
     the whole text, and a character may be cut between two. Repeated rows repeat their result.
     """
@@ -184,7 +180,11 @@ def identify(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
     )
     taught = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    taught = bounded(taught.select("id", "lang", "text"), MAX_TAUGHT).select("lang", "text")
+    sizes = taught.groupBy("lang").agg(F.count("*").alias("n"))
+    each = F.greatest(F.lit(float(MAX_TAUGHT)) / F.count("*").over(Window.partitionBy()), F.lit(1.0))
+    shares = sizes.select(F.col("lang").alias("known"), F.least(each / F.col("n"), F.lit(1.0)).alias("share"))
+    draw = F.pmod(F.xxhash64("id", "lang", "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    taught = taught.join(F.broadcast(shares), F.col("lang") == F.col("known")).where(draw < F.col("share")).select("lang", "text")
     found = sorted((r.lang, bytes(r.window)) for r in taught.mapInArrow(_teaching, "lang string, window binary").collect())
     classes = sorted({lang for lang, _ in found})
     params: dict[str, np.ndarray] = {}

@@ -10,16 +10,20 @@ that brings the totals no nearer is halved and tried again.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinweave.workspace import Workspace
 
+log = logging.getLogger(__name__)
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 #: At most about this many labelled documents teach the classifier, chosen by hash.
 MAX_LABELLED = 20_000
-#: Words whose counts tell most about the domain; this bounds what is broadcast.
-MAX_WORDS = 4096
+#: Words that the classifier may know, those that tell most first; this bounds what is broadcast
+#: (some 60 bytes a word).
+MAX_WORDS = 1 << 16
 MIN_WORD_DOCS = 5
 #: Least sum of squared deviations from the domains' shares of all words, in variances.
 MIN_CHI2 = 40.0
@@ -114,8 +118,11 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -> Column:
-    """The rate of each row of a posterior table, as an expression of its posteriors."""
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[Column, float]:
+    """The rate of each row of a posterior table, as an expression of its posteriors.
+
+    And how far the furthest domain total is from its target, as a share of all tokens.
+    """
     n = len(domains)
     weight = F.col("copies") * F.col("tokens")
     pairs = [(a, b) for a in range(n) for b in range(a + 1)]
@@ -135,7 +142,7 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -
 
     have, metric, total = measure(F.lit(1.0))
     if not n or not total:
-        return F.lit(1.0)
+        return F.lit(1.0), 0.0
     wanted = np.array([targets.get(d, 0.0) for d in domains])
     wanted = total * wanted / wanted.sum()
     steps: list[np.ndarray] = []
@@ -151,7 +158,9 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -
             continue
         steps.append(step)
         have, metric, worst, size = now_have, now_metric, now, min(1.0, 2 * size)
-    return _rate(steps)
+    if worst >= TOLERANCE:
+        log.warning("rates leave a domain %.2g of all tokens from its target after %d steps", worst, len(steps))
+    return _rate(steps), worst
 
 
 def mix(
@@ -168,7 +177,8 @@ def mix(
     labelled table that it leaves out has weight zero. Returns one row for each input row: id,
     the columns named in ``keep``, ``tokens``, ``posterior`` (an array ordered as the sorted
     domain names), ``rate`` (how often the document is to be read on average) and ``copies``
-    (the rate rounded down or up by a hash of the document, so that copies add up to rates).
+    (the rate rounded down or up by a hash of the document, so that copies add up to rates), and
+    ``residual``, how far the furthest domain total is from its target, as a share of all tokens.
 
     A null or empty text has no tokens; its posterior is that of a text without told words. Repeated rows count as
     often as they occur and share a rate. A label for a null id, or a null domain, teaches
@@ -185,11 +195,12 @@ def mix(
     if domains and (missing := {d for d, w in targets.items() if w} - set(domains)):
         raise ValueError(f"no labelled document of {sorted(missing)}")
     n = len(domains)
+    rate, residual = fit_rates(table, domains, targets)
     part = F.pmod(F.xxhash64("_id", "_hash", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     rated = table.select(
         F.col("_id").alias("_rated_id"), F.col("_hash").alias("_rated_hash"), "tokens",
         F.array(*[F.col(f"p{i}") for i in range(n)]).cast("array<double>").alias("posterior"),
-        fit_rates(table, domains, targets).alias("rate"), part.alias("_part"),
+        rate.alias("rate"), part.alias("_part"),
     )
     rows = docs.select(
         F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"),
@@ -199,6 +210,7 @@ def mix(
     return out.select(
         F.col("_id").alias(id_col), *[F.col(f"_carried.{c}").alias(c) for c in carried], "tokens", "posterior", "rate",
         (F.floor("rate") + (F.col("_part") < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
+        F.lit(residual).alias("residual"),
     )
 
 

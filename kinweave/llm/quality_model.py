@@ -19,9 +19,8 @@ BUCKETS = 1 << 14
 EMBED = 8
 HIDDEN = 16
 GATE = 8
-#: Labelled texts that teach, at most about, and passages taken from each, evenly spaced.
+#: Labelled texts that teach, at most about; all their passages do.
 MAX_TAUGHT = 6000
-TAUGHT_PASSAGES = 32
 EPOCHS = 4
 BATCH = 64
 
@@ -156,7 +155,7 @@ def _gradients(p: dict, part: list[tuple], y: np.ndarray) -> dict[str, np.ndarra
 
 
 def _teaching(batches):
-    """A row for each labelled text: its label and some passages, as bytes."""
+    """A row for each labelled text: its label and its passages, as bytes."""
     for batch in batches:
         labels, texts = batch.column(0).to_pylist(), [to_bytes(t) for t in batch.column(1).to_pylist()]
         found = []
@@ -164,7 +163,7 @@ def _teaching(batches):
             passages = Passages(chunk)
             for i in range(chunk.n_texts):
                 lo, hi = passages.bounds[i : i + 2]
-                at = lo + np.unique(np.linspace(0, hi - lo - 1, min(hi - lo, TAUGHT_PASSAGES)).round().astype(int))
+                at = np.arange(lo, hi)
                 buckets = [passages.buckets[f : f + n] for f, n in zip(passages.first[at], passages.sizes[at])]
                 found.append((
                     labels[chunk.first + i], np.concatenate(buckets).tobytes(),

@@ -1,12 +1,16 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source.
 
 All of it is DataFrame and SQL expressions. The outlier test is a deterministic
-minimum-covariance-determinant estimate: from coordinate-wise medians and spreads,
-concentration steps repeat "estimate mean and covariance of the closest share of the
-group, measure Mahalanobis distances again"; a last step re-estimates from everything
-within a chi-square cutoff. A group is one (language, source). What a step needs from a
-group is a histogram of distances and the sums of a row's products, so that both are
-aggregated before the shuffle and a source with a third of all rows is no single task.
+minimum-covariance-determinant estimate for each (language, source). From each of STARTS
+starts, concentration steps repeat "estimate mean and covariance of the closest share of the
+group, measure Mahalanobis distances again", and the start whose covariance has the least
+determinant counts; a last step re-estimates from everything within a chi-square cutoff.
+
+To the sums of a group are added those of PRIOR rows like its language's, and to these of
+PRIOR rows like all: one rule for groups of every size, which counts for little in a large
+one. What a step needs from a group is sums of a row's products for each bin of distances, so
+that they are aggregated before the shuffle and a source with a third of all rows is no
+single task.
 """
 
 from __future__ import annotations
@@ -27,19 +31,21 @@ GRID = 4096
 #: Histogram bins for each doubling of a squared distance.
 BINS = 32
 N_FEATURES = 4
-#: Least standard deviation of each feature that an estimate may have.
-FLOOR = (0.05, 0.02, 0.05, 0.05)
+#: Least standard deviation of each feature: what differs by less is ordinary variation. Most
+#: texts have no symbols, no repeated lines and no repeated words, so three of the four may have
+#: no spread of their own.
+FLOOR = (0.16, 0.065, 0.16, 0.16)
 #: Share of a group that a concentration step keeps.
 CORE = 0.75
 STEPS = 6
 #: Median of the chi-square distribution with four degrees of freedom, its 0.75 and 0.975
 #: quantiles, and the chi-square mass with six degrees below the 0.75 quantile.
 CHI2_CORE, CHI2_WEIGHT, CORE_MASS6 = 5.385269, 11.143287, 0.504800
-#: Squared distance beyond which a document is rejected.
-REJECT = 200.0
-#: Groups with fewer rows are joined with the other small ones of their language, then
-#: with all small ones; if these are still too few, nothing is rejected among them.
-MIN_GROUP = 100
+STARTS = 3
+#: Rows like the language's, or like all, that count with those of a group.
+PRIOR = 30.0
+#: A document is rejected beyond the 0.999 quantile of chi-square with four degrees of freedom.
+REJECT = 18.466827
 MAX_BROADCAST, SALTS = 8 << 20, 32
 
 
@@ -101,24 +107,38 @@ def _sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+SUMS = ["n", *[f"s{a}" for a in range(N_FEATURES)], *[f"s{a}{b}" for a, b in _pairs()]]
+PARAMS = [*[f"m{a}" for a in range(N_FEATURES)], *[f"l{a}{b}" for a, b in _pairs()]]
+
+
 def _moments() -> list[Column]:
     x = [F.col(f"x{a}") for a in range(N_FEATURES)]
     return [
-        F.count("*").alias("n"),
+        F.count("*").cast("double").alias("n"),
         *[F.sum(x[a]).alias(f"s{a}") for a in range(N_FEATURES)],
         *[F.sum(x[a] * x[b]).alias(f"s{a}{b}") for a, b in _pairs()],
     ]
 
 
+def _with_prior(moments: DataFrame) -> DataFrame:
+    """Sums of (lang_key, grp, start) with PRIOR rows like the language's and like all."""
+    total = lambda prefix: [F.sum(c).alias(f"{prefix}{c}") for c in SUMS]
+    add = lambda own, more: [(F.col(f"{own}{c}") + F.col(f"{more}{c}") * F.coalesce(F.try_divide(F.lit(PRIOR), F.col(f"{more}n")), F.lit(0.0))).alias(f"{own}{c}") for c in SUMS]
+    whole = moments.groupBy("start").agg(*total("w_"))
+    langs = moments.groupBy("lang_key", "start").agg(*total("g_"))
+    langs = langs.join(F.broadcast(whole), "start").select("lang_key", "start", *add("g_", "w_"))
+    return moments.join(langs, ["lang_key", "start"]).select("lang_key", "grp", "start", *add("", "g_"))
+
+
 def _estimate(moments: DataFrame, widen: float) -> DataFrame:
-    """Mean and inverse Cholesky factor for each group.
+    """Mean and inverse Cholesky factor for each group and start.
 
     Covariances are multiplied by ``widen``, the consistency factor for the share that was
     kept, and the squared FLOOR is added to the variances.
     """
-    out = moments.withColumns({f"m{a}": F.col(f"s{a}") / F.col("n") for a in range(N_FEATURES)})
+    out = _with_prior(moments).withColumns({f"m{a}": F.try_divide(F.col(f"s{a}"), F.col("n")) for a in range(N_FEATURES)})
     out = out.withColumns({
-        f"c{a}{b}": F.lit(widen) * (F.col(f"s{a}{b}") / F.col("n") - F.col(f"m{a}") * F.col(f"m{b}"))
+        f"c{a}{b}": F.lit(widen) * (F.try_divide(F.col(f"s{a}{b}"), F.col("n")) - F.col(f"m{a}") * F.col(f"m{b}"))
         + F.lit(FLOOR[a] ** 2 if a == b else 0.0)
         for a, b in _pairs()
     })
@@ -127,7 +147,7 @@ def _estimate(moments: DataFrame, widen: float) -> DataFrame:
         out = out.withColumn(
             f"l{a}{b}", F.sqrt(F.greatest(left, F.lit(1e-9))) if a == b else left / F.col(f"l{b}{b}")
         )
-    return out.select("grp", *[f"m{a}" for a in range(N_FEATURES)], *[f"l{a}{b}" for a, b in _pairs()])
+    return out.select("lang_key", "grp", "start", *PARAMS)
 
 
 def _pairs_by_column() -> list[tuple[int, int]]:
@@ -146,37 +166,36 @@ def _bin(value: Column) -> Column:
     return F.floor(F.log2(F.greatest(value, F.lit(2.0**-20))) * BINS).cast("int")
 
 
-def _cut(rows: DataFrame, share: float) -> DataFrame:
-    """For each group the first distance bin by which ``share`` of its rows have come.
+def _core(rows: DataFrame, share: float) -> DataFrame:
+    """For each group and start the sums over the closest ``share`` of its rows.
 
-    A group has some 1,500 bins at most, whatever its size.
+    Rows are taken by bins of distance, up to the first by which the share has come. A group
+    has some 1,500 bins at most, whatever its size.
     """
-    counts = rows.groupBy("grp", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("grp")
-    counts = counts.select(
-        "grp", "bin",
-        F.sum("n").over(by.orderBy("bin")).alias("upto"),
-        F.sum("n").over(by).alias("all"),
-    )
-    return counts.where(F.col("upto") >= F.col("all") * share).groupBy("grp").agg(F.min("bin").alias("cut"))
+    bins = rows.groupBy("lang_key", "grp", "start", _bin(F.col("d2")).alias("bin")).agg(*_moments())
+    by = Window.partitionBy("grp", "start")
+    bins = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
+    near = bins.where(F.col("upto") - F.col("n") < F.col("all") * share)
+    return near.groupBy("lang_key", "grp", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
-def _start(points: DataFrame) -> DataFrame:
+def _medians(points: DataFrame) -> DataFrame:
     """Coordinate-wise medians, spreads from the quartiles, no correlation."""
     long = points.select(
-        "grp", F.posexplode(F.array(*[F.col(f"x{a}") for a in range(N_FEATURES)])).alias("a", "x")
-    ).groupBy("grp", "a", F.floor(F.col("x") * 128).alias("bin")).agg(F.count("*").alias("n"))
+        "lang_key", "grp", F.posexplode(F.array(*[F.col(f"x{a}") for a in range(N_FEATURES)])).alias("a", "x")
+    ).groupBy("lang_key", "grp", "a", F.floor(F.col("x") * 128).alias("bin")).agg(F.count("*").alias("n"))
     by = Window.partitionBy("grp", "a")
     placed = long.select(
-        "grp", "a", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("all")
+        "lang_key", "grp", "a", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("all")
     )
 
     def at(share: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bin"))) / F.lit(128.0)
 
-    found = placed.groupBy("grp", "a").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("wide"))
+    found = placed.groupBy("lang_key", "grp", "a").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("wide"))
     one = lambda a, c: F.max(F.when(F.col("a") == a, F.col(c)))
-    return found.groupBy("grp").agg(
+    return found.groupBy("lang_key", "grp").agg(
+        F.lit(0).alias("start"),
         *[one(a, "mid").alias(f"m{a}") for a in range(N_FEATURES)],
         *[
             (F.sqrt(one(a, "wide") * one(a, "wide") + FLOOR[a] ** 2) if a == b else F.lit(0.0)).alias(f"l{a}{b}")
@@ -185,21 +204,12 @@ def _start(points: DataFrame) -> DataFrame:
     )
 
 
-def _groups(points: DataFrame) -> DataFrame:
-    """Which group each (language, source) is estimated in; null for none."""
-    count = points.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
-    small = F.col("n") < MIN_GROUP
-    language = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang_key"))
-    placed = count.withColumn("in_lang", language).withColumn(
-        "level", F.when(~small, 0).when(F.col("in_lang") >= MIN_GROUP, 1).otherwise(2)
-    )
-    rest = placed.where("level = 2").agg(F.sum("n").alias("in_rest"))
-    return placed.crossJoin(F.broadcast(rest)).select(
-        "lang_key", "source_key",
-        F.when(F.col("level") == 0, F.to_json(F.array("lang_key", "source_key")))
-        .when(F.col("level") == 1, F.to_json(F.array("lang_key")))
-        .when(F.col("in_rest") >= MIN_GROUP, F.lit("[]")).alias("grp"),
-    )
+def _starts(points: DataFrame, looked: _Looked, work: Workspace) -> DataFrame:
+    """Estimates to start from: medians and quartiles, the half closest to these, and all rows."""
+    medians = work.table(_medians(points), "medians")
+    half = _estimate(_core(_distance(looked.join(points, medians.drop("lang_key"), ["grp"])), 0.5).withColumn("start", F.lit(1)), 1.0)
+    every = _estimate(points.groupBy("lang_key", "grp").agg(F.lit(2).alias("start"), *_moments()), 1.0)
+    return medians.unionByName(half).unionByName(every)
 
 
 class _Looked:
@@ -211,8 +221,7 @@ class _Looked:
     """
 
     def __init__(self, groups: DataFrame) -> None:
-        names = F.octet_length("lang_key") + F.octet_length("source_key")
-        size = groups.agg(F.sum(2 * names + 8 * 20)).first()[0] or 0
+        size = groups.agg(F.sum(F.lit(STARTS) * (F.octet_length("grp") + 8 * 20))).first()[0] or 0
         self.small = size <= MAX_BROADCAST
 
     def join(self, rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -235,12 +244,12 @@ def quality_rules(
 
     ``keep`` names input columns to carry along. Words are maximal runs without ASCII white
     space. ``base_failed`` holds under 20 words or if over 30 % of the words lie in 8-word
-    windows that occur twice in the text. Of the other rows, those whose statistics lie
-    further than REJECT from their group's robust centre are not kept.
+    windows that occur twice in the text. Of the other rows, those whose statistics lie further
+    than REJECT from their group's robust centre are not kept.
 
     A null or empty text has no words and fails. Null languages and sources are values like
-    any other. Repeated rows count as often as they occur. Small groups: see MIN_GROUP.
-    An empty table gives no rows.
+    any other. Repeated rows count as often as they occur. Quartiles and shares are taken at
+    whole bins, and rows that tie in a bin are taken together. An empty table gives no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "quality")
@@ -261,24 +270,25 @@ def quality_rules(
     ).withColumns({f"x{a}": x for a, x in enumerate(features())})
     rows = work.table(rows, "counts")
 
-    cells = ["lang_key", "source_key", *[f"x{a}" for a in range(N_FEATURES)]]
-    points = rows.where("not base_failed").select(*cells)
-    groups = work.table(_groups(points), "groups")
-    looked = _Looked(groups)
-    points = looked.join(points, groups, ["lang_key", "source_key"]).where("grp is not null").drop("lang_key", "source_key")
+    rows = rows.withColumn("grp", F.concat("lang_key", "source_key"))
+    points = rows.where("not base_failed").select("lang_key", "grp", *[f"x{a}" for a in range(N_FEATURES)])
     points = work.table(points, "points")
-    params = work.table(_start(points), "start")
+    groups = work.table(points.select("lang_key", "grp").distinct(), "groups")
+    looked = _Looked(groups)
+    measure = lambda params: _distance(looked.join(points, params.drop("lang_key"), ["grp"]))
+    params = work.table(_starts(points, looked, work), "starts")
     widen = CORE / CORE_MASS6
     for k in range(STEPS):
-        measured = _distance(looked.join(points, params, ["grp"]))
-        cut = _cut(measured, CORE)
-        near = looked.join(measured, cut, ["grp"]).where(_bin(F.col("d2")) <= F.col("cut"))
-        params = work.table(_estimate(near.groupBy("grp").agg(*_moments()), widen), f"step-{k}")
-    near = _distance(looked.join(points, params, ["grp"])).where(F.col("d2") <= CHI2_WEIGHT)
-    params = work.table(_estimate(near.groupBy("grp").agg(*_moments()), 1.0), "final")
-
-    judged = groups.join(params, "grp", "left")
-    out = _distance(looked.join(rows, judged, ["lang_key", "source_key"], "left"))
+        params = work.table(_estimate(_core(measure(params), CORE), widen), f"step-{k}")
+    spread = _sum([F.log(F.col(f"l{a}{a}")) for a in range(N_FEATURES)])
+    least = params.groupBy("lang_key", "grp").agg(F.min_by(F.struct("start", *PARAMS), F.struct(F.round(spread, 9), "start")).alias("p"))
+    params = least.select("lang_key", "grp", "p.*")
+    near = measure(params).where(F.col("d2") <= CHI2_WEIGHT).groupBy("lang_key", "grp").agg(*_moments())
+    far = groups.join(near.select("grp"), "grp", "left_anti").select("lang_key", "grp", *[F.lit(0.0).alias(c) for c in SUMS])  # the prior alone
+    params = _estimate(near.unionByName(far).withColumn("start", F.lit(0)), 1.0)
+    params = work.table(params, "final").drop("lang_key", "start")
+
+    out = _distance(looked.join(rows, params, ["grp"], "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2"))
     return out.select(
         F.col("_id").alias(id_col),

@@ -9,7 +9,9 @@ found twice again to the full length, where the verdict falls on every full wind
 Whether a hash occurs twice is settled by exchange. A task sends, for its share of the
 texts, each hash once with a mark if it met it more than once itself. Shares meet in
 buckets by hash, so a hash that a third of all texts hold comes once from each share and
-buckets are even. What occurs twice goes back to the shares that asked.
+buckets are even; how many there are follows the size of the texts, so each holds a bounded
+number of hashes, and each is a partition of its own. What occurs twice goes back to the
+shares that asked.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from kinweave.workspace import Workspace
 
 #: A task sends what it holds when it has gathered this many hashes (32 MB).
 HELD_HASHES = 1 << 22
+#: Bytes of text for each bucket. A level sends a hash for 40 bytes at most: the first one for
+#: about one word in thirteen, the later ones for a window's start where windows repeat.
+BUCKET_BYTES, LEAST_BUCKETS = 128 << 20, 16
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,20 +179,22 @@ def _asking(level: int, window: int, buckets: int, replies: str | None):
     return run
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    """For one bucket, what occurs twice of the hashes that each share sent."""
-    sent = [np.frombuffer(b, np.uint64) for b in group["hashes"].to_pylist()]
-    marks = [
-        np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool)
-        for h, m in zip(sent, group["twice"].to_pylist())
-    ]
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For one bucket, which is a partition, what occurs twice of the hashes that each share sent."""
+    sent, marks, shares = [], [], []
+    for batch in batches:
+        for h, m, share in zip(*(batch.column(c).to_pylist() for c in ("hashes", "twice", "share"))):
+            sent.append(np.frombuffer(h, np.uint64))
+            marks.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(sent[-1])).astype(bool))
+            shares.append(share)
+    if not sent:
+        return
     values, counts = np.unique(np.concatenate(sent), return_counts=True)
     repeated = np.union1d(values[counts > 1], np.concatenate([h[m] for h, m in zip(sent, marks)]))
-    back = [h[_among(h, repeated)] for h in sent]
-    return pa.table({
-        "share": group["share"],
-        "hashes": pa.array([b.tobytes() for b in back], pa.binary()),
-    }).filter(pa.array([len(b) > 0 for b in back]))
+    for share, h in zip(shares, sent):
+        back = h[_among(h, repeated)]
+        if len(back):
+            yield pa.RecordBatch.from_arrays([pa.array([share], pa.int32()), pa.array([back.tobytes()], pa.binary())], ["share", "hashes"])
 
 
 def _removing(window: int, replies: str):
@@ -228,8 +235,9 @@ def remove_repeated(
 
     A null or empty text has no words and an empty ``kept``. Repeated rows repeat their
     windows and lose them. Null ids are kept; other input columns are ignored. Windows are
-    compared by a 64-bit hash of their words: among n windows about n*n/2**65 pairs are
-    equal by chance, under 0.001 for 10**8.
+    compared by a 64-bit hash of their words, the shorter windows inside first, so a full
+    window is asked about only where those inside it repeat: among n such windows about
+    n*n/2**65 pairs are equal by chance, under 0.001 for 10**8.
     """
     if window < 4:
         raise ValueError("window must be at least 4")
@@ -240,22 +248,20 @@ def remove_repeated(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("share")),
         "texts",
     )
-    top = shares.agg(F.max("share")).first()[0]
-    buckets = 1 if top is None else top + 1
+    top, size = shares.agg(F.coalesce(F.max("share"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     replies = None
     for level in range(len(_ASKS)):
         asked = shares.mapInArrow(
             _asking(level, window, buckets, replies), "bucket int, share int, hashes binary, twice binary"
         )
-        settled = asked.groupBy("bucket").applyInArrow(_settle, "share int, hashes binary")
-        work.table(settled.repartition(buckets, "share"), f"level-{level}", partition_by="share")
+        settled = asked.repartitionById(buckets, "bucket").mapInArrow(_settle, "share int, hashes binary")
+        work.table(settled.repartitionById(top + 1, "share"), f"level-{level}", partition_by="share")
         replies = work.folder(f"level-{level}")
     out = shares.mapInArrow(_removing(window, replies), f"id {id_type}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
 
 
-
-
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

@@ -17,9 +17,8 @@ from kinweave.llm.bytetok import chunks, mix, powers, to_bytes, word_hashes
 from kinweave.llm.sampling import Adam, bounded, fold
 
 BITS = 18
-#: Labelled texts that teach, at most about, and sentences taken from each, evenly spaced.
+#: Labelled texts that teach, at most about; all their sentences do.
 MAX_TAUGHT = 4000
-TAUGHT_SENTENCES = 64
 #: Lengths in bytes of beginnings; each counts for words that are longer.
 STARTS = (4, 5, 6, 7, 8)
 #: A feature has a weight if this many taught texts hold it and the share of toxic ones among
@@ -57,7 +56,7 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         sums += (data[np.minimum(starts + j, len(data) - 1)].astype(np.uint64) + np.uint64(1)) * table[j]
         if j + 1 in STARTS:
             longer = np.flatnonzero(ends - starts > j + 1)
-            bucket = mix(sums[longer] + np.uint64(j + 1) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - BITS)
+            bucket = mix(sums[longer] + np.uint64((j + 1) * 0x632BE59BD9B4E019 % (1 << 64))) >> np.uint64(64 - BITS)
             out[longer, 1 + STARTS.index(j + 1)] = bucket
     return out
 
@@ -150,9 +149,7 @@ def _teaching(batches):
         for buckets, first, bounds in sentences(texts):
             last = np.append(first[1:], len(buckets))
             for i in range(len(bounds) - 1):
-                n = bounds[i + 1] - bounds[i]
-                some = bounds[i] + np.unique(np.linspace(0, n - 1, min(n, TAUGHT_SENTENCES)).round().astype(int)) if n else []
-                parts = [buckets[first[k] : last[k]] for k in some]
+                parts = [buckets[first[k] : last[k]] for k in range(bounds[i], bounds[i + 1])]
                 found.append((
                     labels[at], b"".join(x.tobytes() for x in parts),
                     np.array([len(x) for x in parts], np.int32).tobytes(),

@@ -15,11 +15,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinweave.llm.tiles import join_one
 from kinweave.workspace import Workspace
 
 PIECE = 1 << 18
@@ -28,7 +30,14 @@ ARCHIVE_BYTES = 64 << 20
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_URN = "<urn:x-page:{}>"
+#: Up to so many digests that several pages share, some 60 bytes each, are broadcast.
+MAX_BROADCAST = 100_000
+
+
+def _urn(page_id) -> str:
+    """A page's name: nothing for a null id, one percent sign for an empty one."""
+    inner = "" if page_id is None else quote(str(page_id), safe="") or "%"
+    return f"<urn:x-page:{inner}>"
 
 
 def _file(path: str, mode: str):
@@ -50,7 +59,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_URN.format('' if page_id is None else page_id)}",
+        f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response",
@@ -59,7 +68,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {_URN.format(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogatepass"), body
 
 
@@ -152,9 +161,9 @@ def _member(data: bytes) -> tuple[dict[str, str], bytes]:
     return names, raw[at : at + int(names["content-length"])]
 
 
-def _id(urn: str):
+def _id(urn: str) -> str | None:
     inner = urn[len("<urn:x-page:") : -1]
-    return int(inner) if inner else None
+    return None if not inner else "" if inner == "%" else unquote(inner)
 
 
 def _page(names: dict[str, str], body: bytes) -> tuple:
@@ -207,8 +216,8 @@ def _normaliser(batches):
 
 
 _PAGE = pa.schema([
-    ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-    ("record_type", pa.string()), ("refers_to", pa.int64()),
+    ("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.string()),
 ])
 
 
@@ -231,18 +240,23 @@ def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", u
     Among equal payloads of at least ``least`` bytes the page with the largest id is the
     response and the others are revisits of it. A page without an id is a revisit where such a
     page has one; rows that share the largest id are all responses. A null payload is empty.
+    Payloads stay where they are if few digests are shared, else only large ones are exchanged.
     """
     folder = work.folder("archives")
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-        F.sha1(payload).alias("digest"),
-    )
-    sized = rows.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least)
-    best = sized.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
-    to_write = rows.join(best.select("digest", "best"), "digest", "left").select(
-        "page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to")
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(payload).alias("digest"),
     )
+    large = F.coalesce(F.octet_length("html"), F.lit(0)) >= least
+    digests = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
+    best = work.table(digests.where("n > 1").select("digest", "best"), "best")
+    if best.count() <= MAX_BROADCAST:
+        met = rows.join(F.broadcast(best), "digest", "left")
+    else:  # small payloads, and the empty ones that are all alike, stay out of the exchange
+        small = rows.where(~large).withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+        met = join_one(rows.where(large), digests.select("digest", F.when(F.col("n") > 1, F.col("best")).alias("best")), "digest").unionByName(small)
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best"))
+    to_write = met.select(F.col("page_id").cast("string"), "url", "html", "digest", refers_to.cast("string").alias("refers_to"))
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
     return work.table(to_write.mapInArrow(_writer(folder), "archive string"), "written")
@@ -252,7 +266,7 @@ def round_trip(pages: DataFrame, **names) -> DataFrame:
     """Write pages to archives, normalise these, and read every record by its index entry.
 
     Returns ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``, one row for
-    each page; an empty table gives none. Each file has a name of its own, and a path is only
+    each page, whose id may be a number or a text; an empty table gives none. Each file has a name of its own, and a path is only
     passed on by the task that ended well, so a task that runs again leaves a stray file and
     no record twice.
     """
@@ -261,9 +275,11 @@ def round_trip(pages: DataFrame, **names) -> DataFrame:
     spread = written.repartition(max(1, written.count()), "archive")
     normalised = work.table(spread.mapInArrow(_normaliser, "archive string, records long"), "normalised")
     spread = normalised.select("archive").repartition(max(1, normalised.count()), "archive")
-    return spread.mapInArrow(
-        _reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    read = spread.mapInArrow(
+        _reader, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     )
+    kind = pages.schema[names.get("id_col", "page_id")].dataType
+    return read.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

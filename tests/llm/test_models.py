@@ -126,6 +126,14 @@ def test_language_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in got if r.held_out]) > 0.99
 
 
+def test_every_language_is_learned_and_numerals_are_no_letters(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_TAUGHT", 60)
+    rows = [(i, "ab ba " * 30, "aa", "s", 1) for i in range(4000)] + [(5000 + i, "xyz zyx " * 30, "zz", "s", 1) for i in range(20)]
+    rows += [(6000, "½ ² ① Ⅷ 12", "aa", "s", 1)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, rows)).collect()}
+    assert {got[5000 + i] for i in range(20)} == {"zz"} and got[3] == "aa" and got[6000] == "und"
+
+
 def test_network_tables_equal_the_convolution():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8)

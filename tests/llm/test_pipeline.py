@@ -1,5 +1,6 @@
 import random
 import sys
+from collections import Counter
 
 import pytest
 
@@ -76,7 +77,9 @@ def test_repeated_passages_match_brute_force(steps):
 
 def test_leaks_go_and_the_rest_stays(spark, steps):
     before, after = (as_rows(x) for x in steps[3])
-    seeds = decontaminate.Seeds([tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()], 0.01, 3, 8)
+    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    found = Counter(w for _, text in items for w in set(decontaminate.tokens(text)))
+    seeds = decontaminate.Seeds(items, found, max(2, int(0.01 * len(items))), 3)
     assert {r[0] for r in after} == {r[0] for r in before if not seeds.matches(r[1], 0.5, 8)}
 
 

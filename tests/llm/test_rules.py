@@ -41,33 +41,47 @@ def test_base_counts_match_brute_force(spark):
 def slow_mcd(x):
     """The estimate with numpy, from sorted values in place of histograms."""
     floor = np.diag(np.square(qr.FLOOR))
+    bins = lambda d: np.floor(np.log2(np.maximum(d, 2.0**-20)) * qr.BINS)
+    far = lambda mean, cov: np.einsum("na,ab,nb->n", x - mean, np.linalg.inv(cov), x - mean)
+    core = lambda d, share: x[bins(d) <= np.sort(bins(d))[int(np.ceil(share * len(x))) - 1]]
+    estimate = lambda y, widen: (y.mean(axis=0), widen * np.cov(y.T, bias=True) + floor)
     q = lambda share: np.sort(x, axis=0)[int(np.ceil(share * len(x))) - 1]
     low, mid, high = (np.floor(q(s) * 128) / 128 for s in (0.25, 0.5, 0.75))
-    mean, cov = mid, np.diag(((high - low) / 1.349) ** 2) + floor
-    for k in range(qr.STEPS + 1):
-        d = np.einsum("na,ab,nb->n", x - mean, np.linalg.inv(cov), x - mean)
-        if k < qr.STEPS:
-            bins = np.floor(np.log2(np.maximum(d, 2.0**-20)) * qr.BINS)
-            near = x[bins <= np.sort(bins)[int(np.ceil(qr.CORE * len(x))) - 1]]
-            widen = qr.CORE / qr.CORE_MASS6
-        else:
-            near, widen = x[d <= qr.CHI2_WEIGHT], 1.0
-        mean, cov = near.mean(axis=0), widen * np.cov(near.T, bias=True) + floor
-    return np.einsum("na,ab,nb->n", x - mean, np.linalg.inv(cov), x - mean)
+    plain = (mid, np.diag(((high - low) / 1.349) ** 2) + floor)
+    found = []
+    for start in (plain, estimate(core(far(*plain), 0.5), 1.0), estimate(x, 1.0)):
+        for _ in range(qr.STEPS):
+            start = estimate(core(far(*start), qr.CORE), qr.CORE / qr.CORE_MASS6)
+        found.append(start)
+    best = min(found, key=lambda p: round(np.log(np.linalg.det(p[1])) / 2, 9))
+    return far(*estimate(x[far(*best) <= qr.CHI2_WEIGHT], 1.0))
 
 
-def test_robust_distance_matches_numpy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and source = 'src0'")
-    got = [r for r in qr.quality_rules(docs).collect() if not r.base_failed]
-    assert len(got) > qr.MIN_GROUP
-    grid = lambda v: np.round(v * qr.GRID) / qr.GRID
+def points(rows):
     x = np.array([
         (np.log(r.word_chars / r.n_words), np.sqrt(r.n_symbols / r.word_chars), np.sqrt(r.n_dup_lines / (r.n_dup_lines + 10)), np.sqrt(r.n_repeat_words / r.n_words))
-        for r in got
+        for r in rows
     ])
-    want = slow_mcd(grid(x))
+    return np.round(x * qr.GRID) / qr.GRID
+
+
+def test_robust_distance_matches_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and source = 'src0'")
+    got = [r for r in qr.quality_rules(docs).collect() if not r.base_failed]
+    want = slow_mcd(points(got))
     assert np.allclose([r.distance2 for r in got], want, rtol=1e-6, atol=1e-9)
-    assert [r.kept for r in got] == list(want <= qr.REJECT)
+    assert [r.kept for r in got] == list(want <= qr.REJECT) and not all(r.kept for r in got)
+
+
+def test_outliers_go_from_small_groups_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' and source = 'src0'")
+    judged = {r.doc_id: r for r in qr.quality_rules(docs).collect() if not r.base_failed}
+    bad = [d for d, r in judged.items() if not r.kept][:12]
+    good = [d for d, r in judged.items() if r.kept][:60]
+    few = docs.where(F.col("doc_id").isin(bad + good))
+    for split in (few, few.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 9).cast("string")))):
+        kept = {r.doc_id: r.kept for r in qr.quality_rules(split).collect()}
+        assert sum(kept[d] for d in bad) <= 1 and sum(kept[d] for d in good) >= 58
 
 
 def test_salted_and_broadcast_look_ups_agree(spark, monkeypatch):
@@ -117,6 +131,46 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.score) for r in dec.contaminated(docs, bench).collect()} == one
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "Which river?"), (2, "seven bridges of old Oslo town here"), (3, "天地玄黃宇宙洪荒日月盈昃"), (4, "9 words with one that differs are still found")], "item_id long, text string")
+    rows = [
+        (1, "so which RIVER, then", "en", "a", 1), (2, "which big river", "en", "a", 1), (3, "see: seven bridges of old Oslo town, here.", "en", "a", 1),
+        (4, "seven bridges of new Oslo town here", "en", "a", 1), (5, "千字文 天地玄黃宇宙洪荒日月盈昃 辰宿", "zh", "a", 1), (6, "天地宇宙", "zh", "a", 1),
+        (7, "9 words with one which differs are still found", "en", "a", 1),
+    ]
+    got = {(r.doc_id, r.item_id) for r in dec.contaminated(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 4)}
+
+
+def test_found_pairs_are_those_of_all_alignments(spark):
+    """Every text against every item: what has a rare seed in common and aligns well, and nothing else."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(120)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(8, 30)))) for i in range(25)]
+    rows = []
+    for k in range(150):
+        said = items[rng.integers(25)][1].split()
+        edited = [str(rng.choice(words)) if rng.random() < rng.choice([0.05, 0.2, 0.4]) else w for w in said if rng.random() > 0.05]
+        rows.append((k, " ".join([*rng.choice(words, 10), *edited, *rng.choice(words, 10)]), "en", "a", 1))
+    got = {(r.doc_id, r.item_id): r.score for r in dec.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    has = {w: sum(w in t.split() for _, t in items) for w in words}
+    grams = lambda t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    missed = 0
+    for d, text, *_ in rows:
+        for i, item in items:
+            code = {w: c for c, w in enumerate(words)}
+            a, b = (np.array([code[w] for w in t.split()]) for t in (item, text))
+            score, same, _ = dec.align(a, b)
+            good = score >= len(a) and same >= min(8, len(a))
+            rare = {g for g in grams(item) if min(has[w] for w in g) <= 2} or grams(item)
+            if (d, i) in got:
+                assert good
+            elif good:
+                missed += 1
+                assert not rare & grams(text)
+    assert missed <= 0.2 * len(got) and len(got) > 60
+
+
 def labelled(spark):
     return mixing.label_domains(spark, DATA)
 
@@ -129,7 +183,7 @@ def test_mixing_meets_targets(spark):
     total = sum(r.tokens for r in rows)
     for i, d in enumerate(sorted(targets)):
         assert sum(r.tokens * r.rate * r.posterior[i] for r in rows) / total == pytest.approx(targets[d], abs=1e-4)
-    assert all(abs(r.copies - r.rate) < 1 for r in rows)
+    assert all(abs(r.copies - r.rate) < 1 and r.residual < 1e-6 for r in rows)
     assert {r.doc_id: len((r.text or "").split()) for r in docs.collect()} == {r.doc_id: r.tokens for r in rows}
 
 
@@ -140,7 +194,8 @@ def test_mixing_rates_solve_least_squares(spark):
     p = rng.dirichlet([1, 1, 1], 300)
     t = rng.integers(1, 500, 300)
     table = spark.createDataFrame([(int(n), 1, *map(float, q)) for n, q in zip(t, p)], "tokens long, copies long, p0 double, p1 double, p2 double")
-    rate = mixing.fit_rates(table, ["a", "b", "c"], {"a": 6, "b": 3, "c": 1})
+    rate, residual = mixing.fit_rates(table, ["a", "b", "c"], {"a": 6, "b": 3, "c": 1})
+    assert residual < mixing.TOLERANCE
     r = np.array([x[0] for x in table.select(rate).collect()])
     assert (r >= 0).all() and np.allclose((t * r) @ p / t.sum(), [0.6, 0.3, 0.1], atol=1e-6)
     assert Workspace

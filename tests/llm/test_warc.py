@@ -35,9 +35,10 @@ def expected(data):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("size", [1 << 26, 500])
-def test_round_trip(spark, monkeypatch, size):
+@pytest.mark.parametrize("size,most", [(1 << 26, 100), (500, -1)])
+def test_round_trip(spark, monkeypatch, size, most):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
+    monkeypatch.setattr(warc, "MAX_BROADCAST", most)
     df = spark.createDataFrame(rows(), PAGES).withColumn("digest", F.lit("x")).withColumn("n", F.lit(1)).repartition(3)
     assert sorted((tuple(r) for r in warc.round_trip(df).collect()), key=repr) == expected(rows())
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
@@ -65,7 +66,7 @@ def test_normaliser_makes_members_that_add_up(monkeypatch, piece):
     assert gzip.decompress(out) == gzip.decompress(source.getvalue())
     for e, (i, _, h) in zip(entries, data + data[:2]):
         page = warc._page(*warc._member(out[e["offset"] : e["offset"] + e["length"]]))
-        assert page[0] == i and page[2] == hashlib.sha1((h or "").encode()).hexdigest()
+        assert page[0] == (None if i is None else str(i)) and page[2] == hashlib.sha1((h or "").encode()).hexdigest()
 
 
 def test_damaged_archives_are_refused():
@@ -84,3 +85,9 @@ def test_one_file_holds_one_gzip_stream(spark):
     where, name = fs.FileSystem.from_uri(f"{made}.warc.gz")
     data = where.open_input_stream(name, compression=None).read()
     assert data.count(b"\x1f\x8b\x08") >= 1 and gzip.decompress(data).count(b"WARC/1.1\r\n") == len(rows())
+
+
+def test_text_ids(spark):
+    named = [(x, "u", h) for x, (_, _, h) in zip(["", "a>b", "ü /%", "%", None, "~"], rows())]
+    df = spark.createDataFrame(named, PAGES.replace("long", "string"))
+    assert sorted((tuple(r) for r in warc.round_trip(df).collect()), key=repr) == expected(named)
