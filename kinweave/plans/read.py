@@ -125,11 +125,15 @@ def summaries(r: Resolution) -> DataFrame:
     return out.join(status, "identity_id")
 
 
-def search(r: Resolution, phone: str | None = None, email: str | None = None, name: str | None = None) -> DataFrame:
-    """Identities with the phone, or the email, or all sounds of the name; the first SEARCH_LIMIT."""
+def search(r: Resolution, phone: str | None = None, email: str | None = None, name: str | None = None, attrs: DataFrame | None = None) -> DataFrame:
+    """Identities with the phone, or the email, or all sounds of the name; the first SEARCH_LIMIT.
+
+    ``attrs`` is the attribute table if it has been kept, sorted by kind and value, so that a
+    question reads the few pages it is about; without it attributes are made from all records.
+    """
     if not (phone or email or name):
         raise BadRequest("give a phone, an email or a name")
-    attrs = attributes(r.records)
+    attrs = attributes(r.records) if attrs is None else attrs
     hits = []
     for kind, value, clean in (("phone", phone, t.phone), ("email", email, t.email)):
         if value:
@@ -149,12 +153,12 @@ def search(r: Resolution, phone: str | None = None, email: str | None = None, na
     return top.join(summaries(r), "identity_id").withColumn("truncated", F.lit(ids.count() > SEARCH_LIMIT)).orderBy("identity_id")
 
 
-def smart_search(r: Resolution, q: str) -> DataFrame:
+def smart_search(r: Resolution, q: str, attrs: DataFrame | None = None) -> DataFrame:
     """By email with an @, by phone with ten digits or more, else by name."""
     q = q.strip()
     if "@" in q:
-        return search(r, email=q)
-    return search(r, phone=q) if sum(c.isdigit() for c in q) >= 10 else search(r, name=q)
+        return search(r, email=q, attrs=attrs)
+    return search(r, phone=q, attrs=attrs) if sum(c.isdigit() for c in q) >= 10 else search(r, name=q, attrs=attrs)
 
 
 def stats(r: Resolution) -> DataFrame:

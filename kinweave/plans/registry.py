@@ -11,8 +11,9 @@ from kinweave.functions import similarity, text as t
 from kinweave.functions.numbers import fixed_sql, half_even_sql
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import attributes, blocking_keys, normalized
-from kinweave.plans import evaluate, read, resolve as res, rings
-from kinweave.sources import bridge, contracts, generate
+from kinweave.plans import analysis, evaluate, read, resolve as res, rings
+from kinweave.sources import bridge, contracts, generate, tables
+from kinweave.streaming import resolver
 from kinweave.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +258,28 @@ def s1_envelopes(spark, sf_dir):
     )
 
 
+@query(f"{bridge.flat_sql('VARCHAR')} SELECT record_id, source, ingested_at, name, phone, email FROM flat")
+def s1_json_lines(spark, sf_dir):
+    """Envelopes written as JSON Lines and read as a source sends them."""
+    folder = Workspace(spark, "s1").folder("lines")
+    generate.write_jsonl(bridge.envelopes(spark, sf_dir), folder)
+    rows = contracts.canonical(contracts.validated(contracts.read_jsonl(spark, folder)))
+    return rows.select("record_id", "source", "ingested_at", "name", F.get("phones", F.lit(0)).alias("phone"), "email")
+
+
+@query(f"{NORM}, {_TRUTH} SELECT record_id, p::VARCHAR AS person_id, fam AS family_id, ring AS ring_id FROM truth")
+def s4_truth_csv(spark, sf_dir):
+    folder = Workspace(spark, "s4").folder("truth")
+    tables.write_truth(bridge.truth(spark, sf_dir), folder)
+    return tables.read_truth(spark, folder)
+
+
+@query(f"{bridge.flat_sql('VARCHAR')} SELECT 'raw.' || source AS topic, record_id AS key FROM flat")
+def k9_messages(spark, sf_dir):
+    lines = bridge.envelopes(spark, sf_dir).select(F.to_json(F.struct("source", "ingested_at", "payload")).alias("raw"))
+    return tables.messages(lines).select("topic", F.col("key").cast("string").alias("key"))
+
+
 @query()
 def s8_generated_envelopes(spark, sf_dir):
     """As many people as there are customers, and a ring for every 200."""
@@ -395,6 +418,25 @@ def g2_identities(spark, sf_dir):
     return resolution(spark, sf_dir).identities
 
 
+@query(f"{RESOLVED} SELECT record_id, identity_id, valid_from, valid_to, reason FROM assignments")
+def r4_streamed_assignments(spark, sf_dir):
+    """The same records in three micro-batches, a source each, which is their order of arrival."""
+    lake = resolver.Lake(spark, Workspace(spark, "r4").folder("lake"))
+    sent = bridge.envelopes(spark, sf_dir)
+    for batch, source in enumerate(("bank_kyc", "telecom", "ecommerce")):
+        lines = sent.where(F.col("source") == source).select(F.to_json(F.struct("source", "ingested_at", "payload")).alias("raw"))
+        resolver.resolve_batch(lake, batch, lines)
+    return resolver.state(spark, lake.path).assignments
+
+
+@query(f"{RESOLVED} SELECT CASE len(touched) WHEN 0 THEN 'new' WHEN 1 THEN 'joined' ELSE 'merged' END AS action, count(*) AS n FROM played GROUP BY 1 UNION ALL SELECT 'duplicate', count(*) FROM norm WHERE source = 'telecom'")
+def a20_actions(spark, sf_dir):
+    """Outcomes if every telecom record is delivered twice."""
+    once = canonical(spark, sf_dir)
+    every = res.all_outcomes(once.union(once.where("source = 'telecom'")), resolution(spark, sf_dir))
+    return every.groupBy("action").agg(F.count("*").alias("n"))
+
+
 @query(f"""{RESOLVED} SELECT record_id, identity_id, CASE len(touched) WHEN 0 THEN 'new' WHEN 1 THEN 'joined' ELSE 'merged' END AS action, n_older::INT AS matched_records,
 CASE WHEN len(touched) > 1 THEN len(touched) ELSE 0 END::INT AS merged_identities FROM played JOIN titles ON titles.c = played.c AND titles.f = keeper""")
 def g2_outcomes(spark, sf_dir):
@@ -483,6 +525,12 @@ def m15_ring_report(spark, sf_dir):
     return _flat_report(rings.ring_report(by_person(spark, sf_dir)))
 
 
+@query(f"{_PERSONS}, {_REPORT} SELECT component_id, label, risk AS risk_score, array_to_string(reasons, '; ') AS reasons FROM report WHERE label = 'SUSPICIOUS_RING' ORDER BY component_id LIMIT 3")
+def t8_top_suspicious(spark, sf_dir):
+    top = analysis.top_suspicious(rings.ring_report(by_person(spark, sf_dir)))
+    return top.drop("features").withColumn("reasons", F.array_join("reasons", "; "))
+
+
 @query(f"""{_PERSONS}, big AS (SELECT c FROM comp GROUP BY c HAVING count(*) >= {SETTINGS.min_ring}), own AS (SELECT c, i, kind, value FROM comp JOIN ia USING (i) WHERE c IN (SELECT c FROM big))
 SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS kinds
 FROM own a JOIN own b ON a.c = b.c AND a.kind = b.kind AND a.value = b.value AND a.i < b.i GROUP BY ALL""")

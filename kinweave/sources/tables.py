@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kinweave.operators.normalize import attributes
 from kinweave.plans.resolve import Resolution
 from kinweave.sources.contracts import CONTRACTS, parse
 
@@ -57,6 +58,19 @@ class Store:
             else:
                 to_json(rows, _nested(schema)).write.jdbc(self.where, name, "overwrite", self.properties)
 
+    def save_attributes(self, r: Resolution) -> None:
+        """The table that searches read, in order of kind and value."""
+        rows = attributes(r.records).repartitionByRange("kind", "value").sortWithinPartitions("kind", "value")
+        if self.kind == "parquet":
+            rows.write.mode("overwrite").parquet(f"{self.where}/attributes")
+        else:
+            rows.write.jdbc(self.where, "attributes", "overwrite", self.properties)
+
+    def attributes(self) -> DataFrame:
+        if self.kind == "parquet":
+            return self.spark.read.parquet(f"{self.where}/attributes")
+        return self.spark.read.jdbc(self.where, "attributes", properties=self.properties)
+
     def create(self) -> None:
         """Empty tables where there are none."""
         for name, schema in RESOLVED.items():

@@ -7,12 +7,14 @@ used only where the setting is absent, which is the case in local tests.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_scopes: list[list[Workspace]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,18 +30,34 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+@contextlib.contextmanager
+def scope():
+    """Drop at the end all workspaces that were opened inside, whose results must be written by then."""
+    opened: list[Workspace] = []
+    _scopes.append(opened)
+    try:
+        yield
+    finally:
+        _scopes.remove(opened)
+        for work in opened:
+            work.drop()
+
+
 class Workspace:
     """A folder of intermediate tables for one call of an operator.
 
     Tables are plain Parquet, so a lost executor costs the tasks it ran and not the
-    lineage before the table. The folder goes when the session's process ends, or with
-    :meth:`drop`, which may be called once the operator's result has been written.
+    lineage before the table. The folder goes when the session's process ends, with
+    :meth:`drop`, which may be called once the operator's result has been written, or at the
+    end of the :func:`scope` it was opened in.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.path = f"{shared_root(spark)}/kinweave/{label}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"

@@ -58,6 +58,9 @@ def test_tables_at_rest(spark, group, tmp_path):
     store.save(group)
     got = store.load()
     assert sorted(got.links.collect()) == sorted(group.links.collect()) and got.records.count() == 4
+    store.save_attributes(group)
+    one = lambda attrs: [r.identity_id for r in read.smart_search(group, "divya iyer", attrs).collect()]
+    assert one(store.attributes()) == one(None) == ["PID0000002"]
     path = tmp_path / "truth.csv"
     path.write_text("record_id,person_id,family_id,ring_id\nA,1,,\nB,2,F1,R1\nA,3,F2,\n")
     assert sorted(tuple(r) for r in tables.read_truth(spark, str(path)).collect()) == [("A", "3", "F2", ""), ("B", "2", "F1", "R1")]
