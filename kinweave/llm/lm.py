@@ -1,14 +1,16 @@
 """Log-bilinear language model with noise-contrastive estimation, and unigram base scores.
 
-The model predicts a token's class from the classes of the two tokens before it. The most
-frequent words and the end of a text are classes of their own; all other words share classes
-by a hash of their last bytes, and within a class a word has its smoothed share of the
-class's count, so every token, known or not, has a probability and these sum to one.
-
-Counts are of all training texts. Noise-contrastive training goes over all training tokens:
-each task starts from the same parameters, sees its texts once, and the results are averaged
-with the tasks' tokens as weights. To score, batched matrix products give the log-probability
-of each class after each pair of classes, normalised, as one table.
+The model predicts a token from the two before it. The MODELLED most frequent words and the end
+of a text have vectors of their own; they are dealt into groups, and the probability of a word
+is that of its group, given the two tokens before, times its own within the group, given the
+same. So a token costs a product with the groups and one with a group's words, and both are
+normalised. All other words share classes by a hash of their last bytes, as contexts and as
+outcomes, and within a class a word has its smoothed share of the class's count: every token,
+known or not, has a probability and these sum to one.
+
+Counts are of all training texts. Noise-contrastive training, of groups and of words within
+their group, goes over all training tokens: each task starts from the same parameters, sees its
+texts once, and the results are averaged with the tasks' tokens as weights.
 
 Words that are not among the FREQUENT ones leave the task with their text's row and meet
 their counts in a join.
@@ -29,20 +31,26 @@ from kinweave.llm.sampling import fold
 from kinweave.workspace import Workspace
 
 ALPHA = 0.1
-#: Words with classes of their own, and classes that the others share.
-HEAD, SHARED = 191, 64
-END = HEAD + SHARED  # the class of a text's end, and the context before its start
+#: Words with vectors of their own, at most; this bounds the parameters (some 140 bytes a word).
+MODELLED = 1 << 14
+#: Groups of these words, and classes that the other words share.
+GROUPS, SHARED = 191, 64
+END = GROUPS + SHARED  # the class of a text's end
 CLASSES = END + 1
 DIM = 16
-BATCH, NOISE, RATE = 1024, 48, 0.1
-#: At most so many words, of FREQUENT_BYTES at most each, are sent to every task with counts.
+BATCH, NOISE, WORD_NOISE, RATE = 2048, 32, 3, 0.1
+#: Tokens scored at a time, and those whose classes are.
+HELD_TOKENS, SLICE = 1 << 16, 1 << 12
+#: At most so many words, of FREQUENT_BYTES on average at most, are sent to every task with counts.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 40
 #: A task passes on its counts when it holds so many different words.
 HELD_WORDS = 200_000
+#: Parameters leave a task in pieces of so many numbers; tasks meet in so many sums first.
+PIECE, FIRST_SUMS = 1 << 13, 64
 
 
 def shared_class(word: bytes) -> int:
-    return HEAD + zlib.crc32(word[-2:]) % SHARED
+    return GROUPS + zlib.crc32(word[-2:]) % SHARED
 
 
 def _counting(batches):
@@ -62,104 +70,146 @@ def _counting(batches):
 
 
 class Vocabulary:
-    """Frequent words with counts and classes, and the totals of each class."""
+    """Frequent words with counts, the ids of tokens, and the totals of each class.
+
+    Ids are 0 .. n_words - 1 for modelled words, then the SHARED classes, then the end.
+    """
 
     def __init__(self, frequent: list[tuple[bytes, int]], shared: dict[int, tuple[int, int]], n_end: int, total: int, distinct: int) -> None:
         ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))
         self.counts = dict(ranked)
-        self.head = {w: k for k, (w, _) in enumerate(ranked[:HEAD])}
+        self.head = {w: k for k, (w, _) in enumerate(ranked[:MODELLED])}
+        self.n_words = len(self.head)
         self.total, self.distinct, self.n_end = total, distinct, n_end
-        self.class_count = np.zeros(CLASSES)
-        self.class_words = np.zeros(CLASSES)
+        self.word_count = np.array([n for _, n in ranked[:MODELLED]], float)
+        self.class_count, self.class_words = np.zeros(CLASSES), np.zeros(CLASSES)
         for k, (n, words) in shared.items():
-            self.class_count[HEAD + k], self.class_words[HEAD + k] = n, words
-        for w, k in self.head.items():
+            self.class_count[GROUPS + k], self.class_words[GROUPS + k] = n, words
+        for w in self.head:
             s = shared_class(w)
             self.class_count[s] -= self.counts[w]
             self.class_words[s] -= 1
-            self.class_count[k] = self.counts[w]
+        group = np.arange(self.n_words) % GROUPS
+        self.class_count[:GROUPS] = np.bincount(group, self.word_count, GROUPS)
         self.class_count[END] = n_end
-        own = np.r_[np.ones(HEAD, bool), np.zeros(SHARED, bool), True]
-        # what a word's log10(c + ALPHA) loses within its class; nothing for a class of one
-        self.within = np.where(own, 0.0, np.log10(np.maximum(self.class_count, 0) + ALPHA * (self.class_words + 1)))
+        self.class_of = np.concatenate((group, np.arange(GROUPS, CLASSES))).astype(np.int32)
+        # what a word's log10(c + ALPHA) loses within its class; nothing for a modelled one
+        self.within = np.zeros(CLASSES)
+        self.within[GROUPS:END] = np.log10(np.maximum(self.class_count[GROUPS:END], 0) + ALPHA * (self.class_words[GROUPS:END] + 1))
         self.noise = (self.class_count + 1.0) / (self.class_count + 1.0).sum()
-
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        """The classes of a text's tokens, the end among them."""
-        head, crc = self.head, zlib.crc32
-        out = [head[w] if w in head else HEAD + crc(w[-2:]) % SHARED for w in words]
-        out.append(END)
+        # within its group, a word's share, and the shares up to it with the group's number added
+        self.share = (self.word_count + 1.0) / np.maximum(np.bincount(group, self.word_count + 1.0, GROUPS), 1.0)[group]
+        self.by_group = np.lexsort((np.arange(self.n_words), group))
+        self.group_start = np.searchsorted(group[self.by_group], np.arange(GROUPS + 1))
+        self.upto = np.cumsum(self.share[self.by_group]) if self.n_words else np.zeros(0)
+
+    def end(self) -> int:
+        return self.n_words + SHARED
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """The ids of a text's tokens, the end among them."""
+        head, crc, first = self.head, zlib.crc32, self.n_words
+        out = [head[w] if w in head else first + crc(w[-2:]) % SHARED for w in words]
+        out.append(first + SHARED)
         return np.array(out, np.int32)
 
+    def draw(self, groups: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """A word of each group, drawn by the words' shares."""
+        low = self.group_start[groups]
+        # groups before add one each, so one search serves them all
+        before = np.concatenate(([0.0], self.upto))[low]
+        at = np.searchsorted(self.upto, before + rng.random(groups.shape) * (1 - 1e-9))
+        return self.by_group[np.clip(at, low, self.group_start[groups + 1] - 1)]
+
 
 def start_parameters(vocabulary: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-    eye = np.eye(DIM, dtype=np.float32)
+    eye, n = np.eye(DIM, dtype=np.float32), vocabulary.n_words
     return {
-        "context": draw(CLASSES, DIM), "target": draw(CLASSES, DIM) * 0.1, "mix1": eye.copy(), "mix2": eye.copy() * 0.5,
-        "bias": np.log(vocabulary.noise).astype(np.float32),
+        "context": draw(n + SHARED + 1, DIM), "target": draw(CLASSES, DIM) * 0.1, "mix1": eye.copy(), "mix2": eye.copy() * 0.5,
+        "bias": np.log(vocabulary.noise).astype(np.float32), "word": draw(n, DIM) * 0.1, "word_bias": np.log(vocabulary.share).astype(np.float32),
     }
 
 
-def _scatter(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows with the same index, an entry for each class."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")
+def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different indices and the sums of their rows."""
+    order = np.argsort(index, kind="stable")
     at = index[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Trainer:
     """Noise-contrastive Adagrad steps from shared start parameters."""
 
-    def __init__(self, params: dict[str, np.ndarray], noise: np.ndarray, seed: int) -> None:
+    def __init__(self, params: dict[str, np.ndarray], vocabulary: Vocabulary, seed: int) -> None:
         self.p = {k: v.copy() for k, v in params.items()}
         self.squares = {k: np.full_like(v, 1e-2) for k, v in params.items()}
-        self.log_noise = np.log(NOISE * noise).astype(np.float32)
-        self.upto = np.cumsum(noise)
+        self.v = vocabulary
+        self.log_noise = np.log(NOISE * vocabulary.noise).astype(np.float32)
+        self.log_share = np.log(WORD_NOISE * vocabulary.share).astype(np.float32)
+        self.upto = np.cumsum(vocabulary.noise)
         self.rng = np.random.default_rng(seed)
         self.seen = 0
 
+    def _move(self, name: str, gradient: np.ndarray, n: int, at: np.ndarray | slice = slice(None)) -> None:
+        g = gradient.astype(np.float32) / n * 16
+        squares = self.squares[name][at] + g * g
+        self.squares[name][at] = squares
+        self.p[name][at] -= RATE * g / np.sqrt(squares)
+
     def step(self, c1: np.ndarray, c2: np.ndarray, y: np.ndarray) -> None:
         p, n = self.p, len(y)
+        k = self.v.class_of[y]
         drawn = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
         x1, x2 = p["context"][c1], p["context"][c2]
         q = x1 @ p["mix1"] + x2 @ p["mix2"]
-        ry, rn = p["target"][y], p["target"][drawn]
-        d_true = (q * ry).sum(axis=1) + p["bias"][y] - self.log_noise[y]
-        g_true = -1 / (1 + np.exp(np.clip(d_true, -30, 30)))
-        d_noise = q @ rn.T + p["bias"][drawn] - self.log_noise[drawn]
-        g_noise = 1 / (1 + np.exp(-np.clip(d_noise, -30, 30)))
+        ry, rn = p["target"][k], p["target"][drawn]
+        g_true = -_sigmoid(self.log_noise[k] - (q * ry).sum(axis=1) - p["bias"][k])
+        g_noise = _sigmoid(q @ rn.T + p["bias"][drawn] - self.log_noise[drawn])
         dq = g_true[:, None] * ry + g_noise @ rn
-        target = _scatter(y, g_true[:, None] * q)
+        target = np.zeros_like(p["target"])
+        at, rows = _summed(k, g_true[:, None] * q)
+        target[at] = rows
         np.add.at(target, drawn, g_noise.T @ q)
-        bias = np.bincount(y, g_true, CLASSES)
-        bias += np.bincount(drawn, g_noise.sum(axis=0), CLASSES)
-        grads = {
-            "target": target, "bias": bias.astype(np.float32), "mix1": x1.T @ dq, "mix2": x2.T @ dq,
-            "context": _scatter(c1, dq @ p["mix1"].T) + _scatter(c2, dq @ p["mix2"].T),
-        }
-        for k, g in grads.items():
-            g = g / n * 16
-            self.squares[k] += g * g
-            p[k] -= RATE * g / np.sqrt(self.squares[k])
+        bias = np.bincount(k, g_true, CLASSES) + np.bincount(drawn, g_noise.sum(axis=0), CLASSES)
+        own = np.flatnonzero(y < self.v.n_words)
+        if len(own):  # the word within its group
+            qw, w = q[own], y[own]
+            other = self.v.draw(np.repeat(k[own], WORD_NOISE).reshape(-1, WORD_NOISE), self.rng)
+            both = np.concatenate((w[:, None], other), axis=1)
+            vectors = p["word"][both]
+            z = np.einsum("nkd,nd->nk", vectors, qw) + p["word_bias"][both] - self.log_share[both]
+            g = _sigmoid(z)
+            g[:, 0] -= 1
+            dq[own] += np.einsum("nk,nkd->nd", g, vectors)
+            at, rows = _summed(both.ravel(), np.concatenate(((g[:, :, None] * qw[:, None]), g[:, :, None]), axis=2).reshape(-1, DIM + 1))
+            self._move("word", rows[:, :DIM], n, at)
+            self._move("word_bias", rows[:, DIM], n, at)
+        at, rows = _summed(np.concatenate((c1, c2)), np.concatenate((dq @ p["mix1"].T, dq @ p["mix2"].T)))
+        mix1, mix2 = x1.T @ dq, x2.T @ dq
+        self._move("context", rows, n, at)
+        for name, gradient in (("target", target), ("bias", bias), ("mix1", mix1), ("mix2", mix2)):
+            self._move(name, gradient, n)
         self.seen += n
 
 
-def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two places before each token; END before the start."""
-    c1 = np.concatenate(([END], classes[:-1])).astype(np.int32)
-    c2 = np.concatenate(([END], c1[:-1])).astype(np.int32)
+def contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two places before each token; the end before the start."""
+    c1 = np.concatenate(([end], ids[:-1])).astype(np.int32)
+    c2 = np.concatenate(([end], c1[:-1])).astype(np.int32)
     return c1, c2
 
 
 def _training(held):
     def run(batches):
         vocabulary, params = held.value
-        trainer = Trainer(params, vocabulary.noise, 7)
+        trainer = Trainer(params, vocabulary, 7)
         parts, size = [], 0
 
         def flush(all_of_it: bool):
@@ -174,58 +224,124 @@ def _training(held):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                classes = vocabulary.classes(to_bytes(text).lower().split())
-                parts.append((*contexts(classes), classes))
-                size += len(classes)
+                ids = vocabulary.ids(to_bytes(text).lower().split())
+                parts.append((*contexts(ids, vocabulary.end()), ids))
+                size += len(ids)
                 if size >= 64 * BATCH:
                     flush(False)
         flush(True)
         if trainer.seen:
-            flat = np.concatenate([trainer.p[k].ravel() for k in sorted(trainer.p)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([float(trainer.seen)]), pa.array([flat.tolist()], pa.list_(pa.float32()))], ["weight", "params"]
-            )
+            flat = np.concatenate([trainer.p[k].ravel() for k in sorted(trainer.p)]).astype(np.float64) * trainer.seen
+            cut = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+            cols = [pa.array(range(len(cut)), pa.int32()), pa.array([float(trainer.seen)] * len(cut)), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["piece", "weight", "sums"])
 
     return run
 
 
-def log_table(params: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 probability of each class (column) after c1 and, before that, c2 (row c1 * CLASSES + c2)."""
-    one, two = params["context"] @ params["mix1"], params["context"] @ params["mix2"]
-    out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-    for c1 in range(CLASSES):
-        logits = (one[c1] + two) @ params["target"].T + params["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        out[c1 * CLASSES : (c1 + 1) * CLASSES] = logits / math.log(10)
+def _added(group: pa.Table) -> pa.Table:
+    """The sum of the pieces of a group; each is added in turn."""
+    total = None
+    for batch in group.select(["sums"]).to_batches():
+        for blob in batch.column(0):
+            part = np.frombuffer(blob.as_py(), np.float64)
+            total = part.copy() if total is None else total + part
+    keys = [c for c in ("piece", "part") if c in group.column_names]
+    weight = float(np.sum(group["weight"].to_numpy()))
+    return pa.table({**{k: group[k].slice(0, 1) for k in keys}, "weight": [weight], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def averaged(trained: DataFrame, params: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean of the tasks' parameters by their tokens, summed in two rounds; ``params`` if there are none."""
+    first = trained.withColumn("part", F.pmod(F.xxhash64("sums"), F.lit(FIRST_SUMS)).cast("int")).groupBy("piece", "part")
+    sums = first.applyInArrow(_added, "piece int, part int, weight double, sums binary").drop("part")
+    found = sums.groupBy("piece").applyInArrow(_added, "piece int, weight double, sums binary").collect()
+    if not found:
+        return params
+    flat = np.concatenate([np.frombuffer(r.sums, np.float64) / r.weight for r in sorted(found, key=lambda r: r.piece)])
+    out, at = {}, 0
+    for k in sorted(params):
+        out[k] = flat[at : at + params[k].size].reshape(params[k].shape).astype(np.float32)
+        at += params[k].size
     return out
 
 
+class Model:
+    """Normalised log10 probabilities of tokens after pairs of tokens."""
+
+    def __init__(self, vocabulary: Vocabulary, params: dict[str, np.ndarray]) -> None:
+        self.v, self.p = vocabulary, params
+        self.one, self.two = params["context"] @ params["mix1"], params["context"] @ params["mix2"]
+        self.place = np.zeros(vocabulary.n_words, np.int64)  # of a word in its group
+        group = np.arange(vocabulary.n_words) % GROUPS
+        self.place[vocabulary.by_group] = np.arange(vocabulary.n_words) - vocabulary.group_start[group[vocabulary.by_group]]
+
+    def log10(self, c1: np.ndarray, c2: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the class, and for a modelled word of the word."""
+        v, p = self.v, self.p
+        q, k = self.one[c1] + self.two[c2], v.class_of[y]
+        out = np.empty(len(y))
+        for at in range(0, len(y), SLICE):
+            part = slice(at, at + SLICE)
+            out[part] = _log_softmax(q[part] @ p["target"].T + p["bias"], k[part])
+        own = np.flatnonzero(y < v.n_words)
+        own = own[np.argsort(k[own], kind="stable")]
+        cuts = np.searchsorted(k[own], np.arange(GROUPS + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            rows, words = own[cuts[g] : cuts[g + 1]], v.by_group[v.group_start[g] : v.group_start[g + 1]]
+            for at in range(0, len(rows), SLICE):
+                some = rows[at : at + SLICE]
+                out[some] += _log_softmax(q[some] @ p["word"][words].T + p["word_bias"][words], self.place[y[some]])
+        return out / math.log(10)
+
+
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    picked = logits[np.arange(len(chosen)), chosen].astype(np.float64)
+    return picked - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
+
+
 def _scoring(held):
     def run(batches):
         vocabulary, params = held.value
-        table, known = log_table(params), vocabulary.counts
+        model, known = Model(vocabulary, params), vocabulary.counts
         norm = math.log10(vocabulary.total + ALPHA * (vocabulary.distinct + 1))
         end = math.log10(vocabulary.n_end + ALPHA)
         end_known = vocabulary.n_end > 0
         logs = {w: math.log10(n + ALPHA) for w, n in known.items()}
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
+            parts: list[tuple] = []
+            size, done = 0, []
+
+            def flush():
+                nonlocal parts, size
+                if parts:
+                    c1, c2, y = (np.concatenate(x) for x in zip(*parts))
+                    value = model.log10(c1, c2, y) - vocabulary.within[vocabulary.class_of[y]]
+                    starts = np.concatenate(([0], np.cumsum([len(x[2]) for x in parts])[:-1]))
+                    done.extend(np.add.reduceat(value, starts).tolist())
+                parts, size = [], 0
+
             for text in batch.column(2).to_pylist():
                 words = to_bytes(text).lower().split()
-                classes = vocabulary.classes(words)
-                c1, c2 = contexts(classes)
-                model = float(table[c1 * CLASSES + c2, classes].sum(dtype=np.float64)) - float(vocabulary.within[classes].sum())
-                rare = [w for w in words if w not in logs]
+                ids = vocabulary.ids(words)
+                parts.append((*contexts(ids, vocabulary.end()), ids))
+                size += len(ids)
                 found = [logs[w] for w in words if w in logs]
                 shared = float(sum(logs[w] for w in words if w in logs and w not in vocabulary.head))
-                counted = Counter(rare)
+                counted = Counter(w for w in words if w not in logs)
                 values = (
-                    len(words) + 1, len(found) + end_known, sum(found) + end - norm * (len(words) + 1), model + shared,
+                    len(words) + 1, len(found) + end_known, sum(found) + end - norm * (len(words) + 1), shared,
                     list(counted), list(counted.values()),
                 )
                 for c, v in zip(cols, values):
                     c.append(v)
+                if size >= HELD_TOKENS:
+                    flush()
+            flush()
+            cols[3] = [a + b for a, b in zip(cols[3], done)]
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types)]],
@@ -236,19 +352,18 @@ def _scoring(held):
 
 
 def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """All words above a count that at most FREQUENT words reach."""
-    short = counts.where(F.octet_length("word") <= FREQUENT_BYTES)
+    """All words above a count that at most FREQUENT words of FREQUENT_BYTES on average reach."""
     level = F.floor(F.log2("n") * 16).cast("int")
-    bins = short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
-    least, held = None, 0
-    for b in bins:  # a few hundred rows, whatever the vocabulary
-        held += b["count"]
-        if held > FREQUENT:
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes"))
+    least, words, size = None, 0, 0
+    for b in bins.orderBy(F.desc("level")).collect():  # a few hundred rows, whatever the vocabulary
+        words, size = words + b.words, size + b.bytes
+        if words > FREQUENT or size > FREQUENT * FREQUENT_BYTES:
             break
-        least = b["level"]
+        least = b.level
     if least is None:
         return []
-    return [(bytes(r.word), r.n) for r in short.where(level >= least).toArrow().to_pandas().itertuples(index=False)]
+    return [(bytes(r.word), r.n) for r in counts.where(level >= least).toArrow().to_pandas().itertuples(index=False)]
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0) -> DataFrame:
@@ -279,19 +394,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (totals[0] or 0) + n_end, totals[1] + (n_end > 0),
     )
     params = start_parameters(vocabulary)
-    trained = taught.select("text").mapInArrow(_training(spark.sparkContext.broadcast((vocabulary, params))), "weight double, params array<float>")
-    averaged = (
-        trained.select("weight", F.posexplode("params").alias("at", "value"))
-        .groupBy("at").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-    )
-    flat = np.zeros(sum(v.size for v in params.values()), np.float32)
-    found = averaged.collect()
-    if found:
-        flat[[r.at for r in found]] = [r.value for r in found]
-        at = 0
-        for k in sorted(params):
-            params[k] = flat[at : at + params[k].size].reshape(params[k].shape)
-            at += params[k].size
+    sent = spark.sparkContext.broadcast((vocabulary, params))
+    trained = taught.select("text").mapInArrow(_training(sent), "piece int, weight double, sums binary")
+    params = averaged(trained, params)
     scored = rows.withColumn("row", F.monotonically_increasing_id()).select(
         F.struct("id", "row").alias("id"), "held_out", "text"
     ).mapInArrow(

@@ -176,19 +176,93 @@ def test_language_model_base_scores(spark, monkeypatch, frequent):
     assert all(r.score < 0 for r in got)
 
 
-def test_language_model_is_normalised_and_better(spark):
+def test_language_model_is_better_than_the_unigram(spark):
     got = [r for r in lm.score_texts(docs(spark)).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    v = lm.Vocabulary([(b"a", 5), (b"b", 3)], {lm.shared_class(b"a") - lm.HEAD: (5, 1), lm.shared_class(b"b") - lm.HEAD: (3, 1)}, 2, 10, 3)
-    table = lm.log_table(lm.start_parameters(v))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert v.classes([b"a", b"zz"]).tolist() == [0, lm.shared_class(b"zz"), lm.END]
+    gain = (sum(r.score for r in got) - sum(r.base_score for r in got)) / sum(r.n_tokens for r in got)
+    print("log10 a token above the unigram", gain)
+
+
+def small_vocabulary(n=400):
+    words = [(f"w{i}".encode(), 1000 // (i + 1) + 1) for i in range(n)]
+    shared = Counter()
+    for w, c in words:
+        shared[lm.shared_class(w) - lm.GROUPS] += c
+    kinds = Counter(lm.shared_class(w) - lm.GROUPS for w, _ in words)
+    total = sum(c for _, c in words)
+    return lm.Vocabulary(words, {k: (shared[k], kinds[k]) for k in shared}, 50, total + 50, n + 1), words
+
+
+def test_language_model_is_normalised(monkeypatch):
+    monkeypatch.setattr(lm, "MODELLED", 300)
+    v, words = small_vocabulary()
+    model = lm.Model(v, lm.start_parameters(v))
+    assert v.ids([b"w0", b"zz"]).tolist() == [0, 300 + lm.shared_class(b"zz") - lm.GROUPS, v.end()]
+    for c1, c2 in ((0, 1), (v.end(), v.end()), (310, 250)):
+        tokens = np.arange(v.end() + 1)  # modelled words, whole shared classes, the end
+        p = 10.0 ** model.log10(np.full(len(tokens), c1), np.full(len(tokens), c2), tokens)
+        assert p.sum() == pytest.approx(1, abs=1e-5)
+    for k in range(lm.GROUPS, lm.END):  # words of a shared class, and one never seen, make up the class
+        rest = [c for w, c in words if w not in v.head and lm.shared_class(w) == k]
+        assert sum(c + lm.ALPHA for c in rest) + lm.ALPHA == pytest.approx(10 ** v.within[k])
+
+
+def test_language_model_draws_by_share_and_learns(monkeypatch):
+    v, _ = small_vocabulary()
+    rng = np.random.default_rng(1)
+    drawn = v.draw(np.full(20000, 3), rng)
+    assert set(drawn.tolist()) == set(range(3, 400, lm.GROUPS))
+    for w in range(3, 400, lm.GROUPS):
+        assert (drawn == w).mean() == pytest.approx(v.share[w], abs=0.02)
+    trainer = lm.Trainer(lm.start_parameters(v), v, 1)
+    chain = np.tile([5, 196, 7, 300], 15000).astype(np.int32)  # 5 and 196 are of one group
+    c1, c2 = lm.contexts(chain, v.end())
+    for at in range(0, len(chain), lm.BATCH):
+        trainer.step(c1[at : at + lm.BATCH], c2[at : at + lm.BATCH], chain[at : at + lm.BATCH])
+    model = lm.Model(v, trainer.p)
+    ask = lambda y: 10.0 ** model.log10(np.array([5]), np.array([300]), np.array([y]))[0]
+    assert ask(196) > 0.5 and ask(196) > 20 * ask(5)
+
+
+def test_language_model_scores_match_the_definition(spark):
+    """score against softmaxes written out, a token at a time, with the parameters of one task."""
+    rows = [r for r in awkward() if r[0] is not None and r[0] < 50]
+    got = {r.doc_id: r.score for r in lm.score_texts(frame(spark, rows).coalesce(1)).collect()}
+    words = {r[0]: (r[1] or "").encode().lower().split() for r in rows}
+    taught = [d for d in words if not held(d, 10, 0)]
+    count = Counter(w for d in taught for w in words[d])
+    suffix = lambda k: [w for w in count if lm.shared_class(w) - lm.GROUPS == k]
+    shared = {k: (sum(count[w] for w in suffix(k)), len(suffix(k))) for k in range(lm.SHARED) if suffix(k)}
+    v = lm.Vocabulary(list(count.items()), shared, len(taught), sum(count.values()) + len(taught), len(count) + 1)
+    trainer = lm.Trainer(lm.start_parameters(v), v, 7)
+    ids = [v.ids(words[r[0]]) for r in rows if not held(r[0], 10, 0)]
+    parts = [(*lm.contexts(i, v.end()), i) for i in ids]
+    c1, c2, y = (np.concatenate(x) for x in zip(*parts))
+    for at in range(0, len(y), lm.BATCH):
+        trainer.step(c1[at : at + lm.BATCH], c2[at : at + lm.BATCH], y[at : at + lm.BATCH])
+    p = {k: x.astype(float) for k, x in trainer.p.items()}
+    for r in rows:
+        ids = v.ids(words[r[0]])
+        want = 0.0
+        for i, token in enumerate(ids):
+            a, b = (ids[i - k] if i >= k else v.end() for k in (1, 2))
+            q = p["context"][a] @ p["mix1"] + p["context"][b] @ p["mix2"]
+            z = np.exp(p["target"] @ q + p["bias"])
+            k = v.class_of[token]
+            want += math.log10(z[k] / z.sum())
+            if token < v.n_words:
+                group = range(k, v.n_words, lm.GROUPS)
+                e = {w: math.exp(p["word"][w] @ q + p["word_bias"][w]) for w in group}
+                want += math.log10(e[token] / sum(e.values()))
+            elif token < v.end():
+                want += math.log10((count[words[r[0]][i]] + lm.ALPHA) / 10 ** v.within[k])
+        assert got[r[0]] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
 def test_shared_classes_agree_with_sql(spark):
     words = [b"a", b"ab", b"abc", "né".encode(), b"\xff", b"\x00\x01\x02"]
     df = spark.createDataFrame([(w,) for w in words], "word binary").select("word", F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(lm.SHARED)).alias("k"))
-    assert all(lm.shared_class(bytes(r.word)) == lm.HEAD + r.k for r in df.collect())
+    assert all(lm.shared_class(bytes(r.word)) == lm.GROUPS + r.k for r in df.collect())
 
 
 def test_awkward_inputs(spark):
