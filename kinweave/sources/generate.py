@@ -18,6 +18,10 @@ FAMILY_SHARE, MEAN_FAMILY = 0.35, 3.35
 _UNIT = 1 << 30
 
 
+#: Telecom circles, as areas of service are called.
+CIRCLES = ["north", "south", "east", "west", "central"]
+
+
 class _Draws:
     def __init__(self, seed: int) -> None:
         self.seed = seed
@@ -33,6 +37,14 @@ class _Draws:
     def one_of(self, options: list, name: str, *keys: str) -> Column:
         return F.get(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), self.upto(len(options), name, *keys))
 
+    def weighted(self, options: list[tuple[Column, float]], name: str, *keys: str) -> Column:
+        """One of the options, each with its probability; the last takes what is left."""
+        drawn, upto, out = self.share(name, *keys), 0.0, None
+        for value, weight in options[:-1]:
+            upto += weight
+            out = F.when(drawn < upto, value) if out is None else out.when(drawn < upto, value)
+        return out.otherwise(options[-1][0])
+
 
 def _people(spark: SparkSession, persons: int, rings: int, d: _Draws) -> DataFrame:
     """One row for each person; ``number`` is unique, ``unit`` that of the first of a family or ring."""
@@ -106,9 +118,13 @@ def _written(d: _Draws) -> dict[str, Column]:
     keys = ("number", "source", "nth")
     first, last = F.initcap("spelled"), F.initcap("last")
     full = F.concat(first, F.lit(" "), last)
-    formal = d.one_of([full, F.upper(full), F.concat(last, F.lit(" "), first)], "style", *keys)
-    telecom = d.one_of([F.upper(full), F.concat(F.substring("first", 1, 1), F.lit(". "), last), full], "style", *keys)
-    shop = d.one_of([F.concat("spelled", F.lit("."), "last"), F.concat("spelled", F.lit("_"), "last", (F.col("number") % 90).cast("string")), full], "style", *keys)
+    initial = F.concat(F.substring("first", 1, 1), F.lit(". "), last)
+    formal = d.weighted([(full, 0.55), (F.upper(full), 0.25), (F.concat(last, F.lit(" "), first), 0.2)], "style", *keys)
+    telecom = d.weighted([(F.upper(full), 0.4), (initial, 0.2), (F.concat(F.upper(last), F.lit(" "), F.upper(first)), 0.1), (full, 0.3)], "style", *keys)
+    shop = d.weighted([
+        (F.concat("spelled", F.lit("."), "last"), 0.3), (F.concat("spelled", F.lit("_"), "last", (F.col("number") % 90).cast("string")), 0.3),
+        (F.lower(full), 0.1), (full, 0.3),
+    ], "style", *keys)
     m = F.col("mobile")
     halves = (F.substring(m, 1, 5), F.substring(m, 6, 5))
     phone = d.one_of([
@@ -154,7 +170,8 @@ def generate(spark: SparkSession, persons: int, rings: int, seed: int = 42) -> t
 
     payload = (
         F.when(F.col("source") == "bank_kyc", fields(kyc_ref="record_id", full_name="name", dob="dob", pan_number="pan", address_line="place", pincode="pin", mobile=likely("mobile", 0.9, F.col("phone"))))
-        .when(F.col("source") == "telecom", fields(connection_id="record_id", msisdn="phone", subscriber_name="name", date_of_birth=likely("dob", 0.4, F.col("dob"))))
+        .when(F.col("source") == "telecom", fields(connection_id="record_id", msisdn="phone", subscriber_name="name", date_of_birth=likely("dob", 0.4, F.col("dob")),
+                                                         activation_date=F.substring("ingested_at", 1, 10), circle=d.one_of(CIRCLES, "circle", "number")))
         .otherwise(fields(customer_id="record_id", display_name="name", email="email", phone=likely("mobile", 0.9, F.col("phone")),
                           shipping_address=F.concat("place", F.lit(" "), "pin"), device_id="device"))
     )
