@@ -127,11 +127,11 @@ def test_language_held_out(spark):
 
 
 def test_every_language_is_learned_and_numerals_are_no_letters(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_TAUGHT", 60)
-    rows = [(i, "ab ba " * 30, "aa", "s", 1) for i in range(4000)] + [(5000 + i, "xyz zyx " * 30, "zz", "s", 1) for i in range(20)]
+    monkeypatch.setattr(langid, "MAX_TAUGHT", 200)
+    rows = [(i, "ab ba " * 200, "aa", "s", 1) for i in range(3000)] + [(5000 + i, "xyz zyx " * 200, "zz", "s", 1) for i in range(100)]
     rows += [(6000, "½ ² ① Ⅷ 12", "aa", "s", 1)]
     got = {r.doc_id: r.lang_pred for r in langid.identify(frame(spark, rows)).collect()}
-    assert {got[5000 + i] for i in range(20)} == {"zz"} and got[3] == "aa" and got[6000] == "und"
+    assert {got[5000 + i] for i in range(100)} == {"zz"} and got[3] == "aa" and got[6000] == "und"
 
 
 def test_network_tables_equal_the_convolution():
