@@ -120,7 +120,7 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     good = canonical(checked)
     delivered = work.table(normalized(good), "delivered")
     known = lake.read("records", batch)
-    seen = known.select("record_id").join(F.broadcast(delivered.select("record_id").distinct()), "record_id", "left_semi")
+    seen = known.select("record_id").join(delivered.select("record_id").distinct(), "record_id", "left_semi")
     new = lake.write("records", first_deliveries(delivered).join(seen, "record_id", "left_anti"), batch)
 
     keys = work.table(blocking_keys(new), "keys")
