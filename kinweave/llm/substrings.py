@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyarrow import fs, parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm.bytetok import Chunk, Windows, chunks, to_bytes, word_hashes
+from kinweave.llm.bytetok import Chunk, Windows, chunks, mix, to_bytes, word_hashes
 from kinweave.workspace import Workspace
 
 #: A task sends what it holds when it has gathered this many hashes (32 MB).
@@ -96,12 +96,16 @@ class _Texts:
             out.append((part[inside - at] & low).astype(np.int64) + at)
         return np.concatenate(out)
 
+    def told(self, chosen: np.ndarray) -> np.ndarray:
+        """What is sent for level-one windows: their hashes are small ones, scrambled they are even."""
+        return mix(self.hashes.at(chosen, self.short))
+
     def first(self) -> np.ndarray:
-        return self.hashes.at(np.unique(self.chosen()), self.short)
+        return self.told(np.unique(self.chosen()))
 
     def second(self, repeated: np.ndarray) -> np.ndarray:
         chosen = np.unique(self.chosen())
-        chosen = chosen[_among(self.hashes.at(chosen, self.short), repeated)]
+        chosen = chosen[_among(self.told(chosen), repeated)]
         more = self.double - self.short
         right = chosen[chosen + self.double <= self.end[chosen]]
         left = chosen[chosen - more >= self.begin[chosen]] - more
