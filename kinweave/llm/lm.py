@@ -18,6 +18,7 @@ their counts in a join.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -38,7 +39,7 @@ GROUPS, SHARED = 191, 64
 END = GROUPS + SHARED  # the class of a text's end
 CLASSES = END + 1
 DIM = 16
-BATCH, NOISE, WORD_NOISE, RATE = 2048, 32, 3, 0.1
+BATCH, NOISE, WORD_NOISE, RATE = 4096, 32, 2, 0.1
 #: Tokens scored at a time, and those whose classes are.
 HELD_TOKENS, SLICE = 1 << 16, 1 << 12
 #: At most so many words, of FREQUENT_BYTES on average at most, are sent to every task with counts.
@@ -77,18 +78,20 @@ class Vocabulary:
 
     def __init__(self, frequent: list[tuple[bytes, int]], shared: dict[int, tuple[int, int]], n_end: int, total: int, distinct: int) -> None:
         ranked = sorted(frequent, key=lambda x: (-x[1], x[0]))
-        self.counts = dict(ranked)
-        self.head = {w: k for k, (w, _) in enumerate(ranked[:MODELLED])}
-        self.n_words = len(self.head)
+        self.rank = {w: k for k, (w, _) in enumerate(ranked)}
+        self.n_words = min(MODELLED, len(ranked))
+        self.log_count = np.log10(np.array([n for _, n in ranked], float) + ALPHA)
         self.total, self.distinct, self.n_end = total, distinct, n_end
         self.word_count = np.array([n for _, n in ranked[:MODELLED]], float)
         self.class_count, self.class_words = np.zeros(CLASSES), np.zeros(CLASSES)
         for k, (n, words) in shared.items():
             self.class_count[GROUPS + k], self.class_words[GROUPS + k] = n, words
-        for w in self.head:
+        for w, n in ranked[: self.n_words]:
             s = shared_class(w)
-            self.class_count[s] -= self.counts[w]
+            self.class_count[s] -= n
             self.class_words[s] -= 1
+        rest = [self.n_words + shared_class(w) - GROUPS for w, _ in ranked[self.n_words :]]
+        self.id_of = np.concatenate((np.arange(self.n_words), rest)).astype(np.int32)
         group = np.arange(self.n_words) % GROUPS
         self.class_count[:GROUPS] = np.bincount(group, self.word_count, GROUPS)
         self.class_count[END] = n_end
@@ -106,12 +109,20 @@ class Vocabulary:
     def end(self) -> int:
         return self.n_words + SHARED
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Places among the frequent words by count; -1 for other words."""
+        return np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def ids(self, words: list[bytes], ranks: np.ndarray | None = None) -> np.ndarray:
         """The ids of a text's tokens, the end among them."""
-        head, crc, first = self.head, zlib.crc32, self.n_words
-        out = [head[w] if w in head else first + crc(w[-2:]) % SHARED for w in words]
-        out.append(first + SHARED)
-        return np.array(out, np.int32)
+        ranks = self.ranks(words) if ranks is None else ranks
+        out = np.full(len(words) + 1, self.end(), np.int32)
+        known = ranks >= 0
+        out[:-1][known] = self.id_of[ranks[known]]
+        first, crc = self.n_words, zlib.crc32
+        for i in np.flatnonzero(~known).tolist():
+            out[i] = first + crc(words[i][-2:]) % SHARED
+        return out
 
     def draw(self, groups: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """A word of each group, drawn by the words' shares."""
@@ -270,46 +281,51 @@ class Model:
     """Normalised log10 probabilities of tokens after pairs of tokens."""
 
     def __init__(self, vocabulary: Vocabulary, params: dict[str, np.ndarray]) -> None:
-        self.v, self.p = vocabulary, params
-        self.one, self.two = params["context"] @ params["mix1"], params["context"] @ params["mix2"]
+        self.v = vocabulary
+        # the ones that meet a bias come with the nearer context
+        one = params["context"] @ params["mix1"]
+        self.one = np.concatenate((one, np.ones((len(one), 1), np.float32)), axis=1)
+        self.two = np.concatenate((params["context"] @ params["mix2"], np.zeros((len(one), 1), np.float32)), axis=1)
+        self.target = np.concatenate((params["target"], params["bias"][:, None]), axis=1).T.copy()
+        word = np.concatenate((params["word"], params["word_bias"][:, None]), axis=1)[vocabulary.by_group]
+        self.words = [word[a:b].T.copy() for a, b in zip(vocabulary.group_start, vocabulary.group_start[1:])]
         self.place = np.zeros(vocabulary.n_words, np.int64)  # of a word in its group
         group = np.arange(vocabulary.n_words) % GROUPS
         self.place[vocabulary.by_group] = np.arange(vocabulary.n_words) - vocabulary.group_start[group[vocabulary.by_group]]
 
     def log10(self, c1: np.ndarray, c2: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of the class, and for a modelled word of the word."""
-        v, p = self.v, self.p
+        v = self.v
         q, k = self.one[c1] + self.two[c2], v.class_of[y]
         out = np.empty(len(y))
         for at in range(0, len(y), SLICE):
             part = slice(at, at + SLICE)
-            out[part] = _log_softmax(q[part] @ p["target"].T + p["bias"], k[part])
+            out[part] = _log_softmax(q[part] @ self.target, k[part])
         own = np.flatnonzero(y < v.n_words)
         own = own[np.argsort(k[own], kind="stable")]
         cuts = np.searchsorted(k[own], np.arange(GROUPS + 1))
         for g in np.flatnonzero(np.diff(cuts)):
-            rows, words = own[cuts[g] : cuts[g + 1]], v.by_group[v.group_start[g] : v.group_start[g + 1]]
+            rows = own[cuts[g] : cuts[g + 1]]
             for at in range(0, len(rows), SLICE):
                 some = rows[at : at + SLICE]
-                out[some] += _log_softmax(q[some] @ p["word"][words].T + p["word_bias"][words], self.place[y[some]])
+                out[some] += _log_softmax(q[some] @ self.words[g], self.place[y[some]])
         return out / math.log(10)
 
 
 def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    logits -= top[:, None]
+    if logits.max() > 60:  # exponentials stay in range and their sums above zero
+        logits -= logits.max(axis=1, keepdims=True)
     picked = logits[np.arange(len(chosen)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
+    return picked - np.log((np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
 
 
 def _scoring(held):
     def run(batches):
         vocabulary, params = held.value
-        model, known = Model(vocabulary, params), vocabulary.counts
+        model = Model(vocabulary, params)
         norm = math.log10(vocabulary.total + ALPHA * (vocabulary.distinct + 1))
         end = math.log10(vocabulary.n_end + ALPHA)
         end_known = vocabulary.n_end > 0
-        logs = {w: math.log10(n + ALPHA) for w, n in known.items()}
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             parts: list[tuple] = []
@@ -326,14 +342,16 @@ def _scoring(held):
 
             for text in batch.column(2).to_pylist():
                 words = to_bytes(text).lower().split()
-                ids = vocabulary.ids(words)
+                ranks = vocabulary.ranks(words)
+                ids = vocabulary.ids(words, ranks)
                 parts.append((*contexts(ids, vocabulary.end()), ids))
                 size += len(ids)
-                found = [logs[w] for w in words if w in logs]
-                shared = float(sum(logs[w] for w in words if w in logs and w not in vocabulary.head))
-                counted = Counter(w for w in words if w not in logs)
+                found = ranks[ranks >= 0]
+                logs = vocabulary.log_count[found]
+                shared = float(logs[found >= vocabulary.n_words].sum())
+                counted = Counter([words[i] for i in np.flatnonzero(ranks < 0).tolist()])
                 values = (
-                    len(words) + 1, len(found) + end_known, sum(found) + end - norm * (len(words) + 1), shared,
+                    len(words) + 1, len(found) + end_known, float(logs.sum()) + end - norm * (len(words) + 1), shared,
                     list(counted), list(counted.values()),
                 )
                 for c, v in zip(cols, values):
