@@ -24,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id.
 
-    Documents are near-duplicates if they share at least 0.8 of their five-word shingles. A
+    Documents are near-duplicates if they share at least 0.8 of their five-word shingles; pairs
+    are found by SimHash, then compared by their shingles. A
     document is an id and a text, so an id that comes with two texts is two documents, and one
     row stays of rows that repeat both. Null ids come after all others.
     """

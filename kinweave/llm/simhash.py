@@ -126,8 +126,9 @@ def near_duplicates(
     gives no rows.
 
     With ``similarity``, texts are linked that share so much of their sets of shingles, and
-    the result is ``(id, component_id)``: bits of a SimHash tell such texts apart too poorly
-    for blocks, so :func:`kinweave.llm.similar.similar_texts` takes another fingerprint.
+    the result is ``(id, component_id)``: such texts differ in too many of 64 bits for six
+    blocks, so :func:`kinweave.llm.similar.similar_texts` takes a longer SimHash and more keys,
+    and compares the sets of texts whose fingerprints are close.
     """
     if similarity is not None:
         return similar_texts(docs, id_col, text_col, width, similarity)
