@@ -40,8 +40,8 @@ END = GROUPS + SHARED  # the class of a text's end
 CLASSES = END + 1
 DIM = 16
 BATCH, NOISE, WORD_NOISE, RATE = 4096, 32, 2, 0.1
-#: Tokens scored at a time, and those whose classes are.
-HELD_TOKENS, SLICE = 1 << 16, 1 << 12
+#: Tokens scored at a time, and those whose outcomes are, which is what a core's cache holds.
+HELD_TOKENS, SLICE = 1 << 18, 1 << 10
 #: At most so many words, of FREQUENT_BYTES on average at most, are sent to every task with counts.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 40
 #: A task passes on its counts when it holds so many different words.
@@ -129,7 +129,11 @@ class Vocabulary:
         low = self.group_start[groups]
         # groups before add one each, so one search serves them all
         before = np.concatenate(([0.0], self.upto))[low]
-        at = np.searchsorted(self.upto, before + rng.random(groups.shape) * (1 - 1e-9))
+        wanted = (before + rng.random(groups.shape) * (1 - 1e-9)).ravel()
+        order = np.argsort(wanted)  # in order, the search finds its next place close by
+        at = np.empty(len(wanted), np.int64)
+        at[order] = np.searchsorted(self.upto, wanted[order])
+        at = at.reshape(groups.shape)
         return self.by_group[np.clip(at, low, self.group_start[groups + 1] - 1)]
 
 
@@ -143,16 +147,27 @@ def start_parameters(vocabulary: Vocabulary, seed: int = 1) -> dict[str, np.ndar
     }
 
 
-def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different indices and the sums of their rows."""
-    order = np.argsort(index, kind="stable")
+def _by_value(index: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of numbers under ``below``; short ones are sorted by their digits, which is faster."""
+    return np.argsort(index.astype(np.int16) if below <= 1 << 15 else index, kind="stable")
+
+
+def _summed(index: np.ndarray, rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different indices, all under ``below``, and the sums of their rows.
+
+    Rows have an even length: two numbers are added at a time, as parts of a complex one.
+    """
+    order = _by_value(index, below)
     at = index[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    return at[first], np.add.reduceat(rows.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -178,14 +193,14 @@ class Trainer:
         p, n = self.p, len(y)
         k = self.v.class_of[y]
         drawn = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
-        x1, x2 = p["context"][c1], p["context"][c2]
+        x1, x2 = p["context"].take(c1, axis=0), p["context"].take(c2, axis=0)
         q = x1 @ p["mix1"] + x2 @ p["mix2"]
-        ry, rn = p["target"][k], p["target"][drawn]
+        ry, rn = p["target"].take(k, axis=0), p["target"][drawn]
         g_true = -_sigmoid(self.log_noise[k] - (q * ry).sum(axis=1) - p["bias"][k])
         g_noise = _sigmoid(q @ rn.T + p["bias"][drawn] - self.log_noise[drawn])
         dq = g_true[:, None] * ry + g_noise @ rn
         target = np.zeros_like(p["target"])
-        at, rows = _summed(k, g_true[:, None] * q)
+        at, rows = _summed(k, g_true[:, None] * q, CLASSES)
         target[at] = rows
         np.add.at(target, drawn, g_noise.T @ q)
         bias = np.bincount(k, g_true, CLASSES) + np.bincount(drawn, g_noise.sum(axis=0), CLASSES)
@@ -194,15 +209,18 @@ class Trainer:
             qw, w = q[own], y[own]
             other = self.v.draw(np.repeat(k[own], WORD_NOISE).reshape(-1, WORD_NOISE), self.rng)
             both = np.concatenate((w[:, None], other), axis=1)
-            vectors = p["word"][both]
+            vectors = p["word"].take(both, axis=0)
             z = np.einsum("nkd,nd->nk", vectors, qw) + p["word_bias"][both] - self.log_share[both]
             g = _sigmoid(z)
             g[:, 0] -= 1
             dq[own] += np.einsum("nk,nkd->nd", g, vectors)
-            at, rows = _summed(both.ravel(), np.concatenate(((g[:, :, None] * qw[:, None]), g[:, :, None]), axis=2).reshape(-1, DIM + 1))
+            rows = np.zeros((*g.shape, DIM + 2), np.float32)
+            np.multiply(g[:, :, None], qw[:, None], out=rows[:, :, :DIM])
+            rows[:, :, DIM] = g
+            at, rows = _summed(both.ravel(), rows.reshape(-1, DIM + 2), self.v.n_words)
             self._move("word", rows[:, :DIM], n, at)
             self._move("word_bias", rows[:, DIM], n, at)
-        at, rows = _summed(np.concatenate((c1, c2)), np.concatenate((dq @ p["mix1"].T, dq @ p["mix2"].T)))
+        at, rows = _summed(np.concatenate((c1, c2)), np.concatenate((dq @ p["mix1"].T, dq @ p["mix2"].T)), len(p["context"]))
         mix1, mix2 = x1.T @ dq, x2.T @ dq
         self._move("context", rows, n, at)
         for name, gradient in (("target", target), ("bias", bias), ("mix1", mix1), ("mix2", mix2)):
@@ -286,7 +304,8 @@ class Model:
         one = params["context"] @ params["mix1"]
         self.one = np.concatenate((one, np.ones((len(one), 1), np.float32)), axis=1)
         self.two = np.concatenate((params["context"] @ params["mix2"], np.zeros((len(one), 1), np.float32)), axis=1)
-        self.target = np.concatenate((params["target"], params["bias"][:, None]), axis=1).T.copy()
+        self.classes = np.concatenate((params["target"], params["bias"][:, None]), axis=1)
+        self.target = self.classes.T.copy()
         word = np.concatenate((params["word"], params["word_bias"][:, None]), axis=1)[vocabulary.by_group]
         self.words = [word[a:b].T.copy() for a, b in zip(vocabulary.group_start, vocabulary.group_start[1:])]
         self.place = np.zeros(vocabulary.n_words, np.int64)  # of a word in its group
@@ -294,29 +313,36 @@ class Model:
         self.place[vocabulary.by_group] = np.arange(vocabulary.n_words) - vocabulary.group_start[group[vocabulary.by_group]]
 
     def log10(self, c1: np.ndarray, c2: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Of the class, and for a modelled word of the word."""
+        """Of the class, and for a modelled word of the word. Contexts that recur are looked at once."""
         v = self.v
-        q, k = self.one[c1] + self.two[c2], v.class_of[y]
-        out = np.empty(len(y))
-        for at in range(0, len(y), SLICE):
-            part = slice(at, at + SLICE)
-            out[part] = _log_softmax(q[part] @ self.target, k[part])
+        _, first, again = np.unique(c1 * np.int64(len(self.one)) + c2, return_index=True, return_inverse=True)
+        q, k = self.one.take(c1[first], axis=0) + self.two.take(c2[first], axis=0), v.class_of[y]
+        total = np.empty(len(q))
+        for at in range(0, len(q), SLICE):
+            total[at : at + SLICE] = _log_total(q[at : at + SLICE] @ self.target)
+        q = q.take(again, axis=0)
+        out = np.einsum("nd,nd->n", q, self.classes.take(k, axis=0)).astype(np.float64) - total[again]
         own = np.flatnonzero(y < v.n_words)
-        own = own[np.argsort(k[own], kind="stable")]
+        own = own[_by_value(k[own], CLASSES)]
         cuts = np.searchsorted(k[own], np.arange(GROUPS + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             rows = own[cuts[g] : cuts[g + 1]]
             for at in range(0, len(rows), SLICE):
                 some = rows[at : at + SLICE]
-                out[some] += _log_softmax(q[some] @ self.words[g], self.place[y[some]])
+                logits = q.take(some, axis=0) @ self.words[g]
+                picked = logits[np.arange(len(some)), self.place[y[some]]].astype(np.float64)
+                out[some] += picked - _log_total(logits)
         return out / math.log(10)
 
 
-def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def _log_total(logits: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials; overwrites ``logits``."""
+    most = 0.0
     if logits.max() > 60:  # exponentials stay in range and their sums above zero
-        logits -= logits.max(axis=1, keepdims=True)
-    picked = logits[np.arange(len(chosen)), chosen].astype(np.float64)
-    return picked - np.log((np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
+        most = logits.max(axis=1, keepdims=True)
+        logits -= most
+        most = most[:, 0].astype(np.float64)
+    return most + np.log((np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
 
 
 def _scoring(held):
