@@ -234,7 +234,7 @@ def _links(marks: DataFrame) -> DataFrame:
     bits, parallel = key_bits(n), marks.sparkSession.sparkContext.defaultParallelism
     first = min(bits, max(0, math.ceil(math.log2(max(1, n) / SHARE_MARKS))))
     listed = marks.select(*_MARKS).mapInArrow(_listing(first), "t int, share int, marks binary")
-    listed = listed.repartition(max(parallel, TABLES * (1 << first) // 8), "t", "share")
+    listed = listed.repartition(max(parallel, TABLES * (1 << first) // 4), "t", "share")
     return listed.groupBy("t", "share").applyInArrow(_near(bits), "u long, v long").distinct()
 
 
@@ -315,14 +315,14 @@ def similar_texts(
     placed = known.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("part"))
     placed = work.table(placed, "placed")
     several = placed.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
-    met = work.table(placed.join(several.select("part"), "part"), "met")
+    met = work.table(join_one(placed, several.select("part"), "part"), "met")
 
     texts = rows.select("fp", "text", *_MARKS).join(met.select("fp"), "fp", "left_semi")
     texts = work.table(texts.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("text", *_MARKS)]), "texts")
     sizes = texts.select("fp", F.octet_length("text").cast("long").alias("size"))
     whole = met.join(sizes, "fp").groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     whole = whole.select("part", blocks(F.col("n"), F.col("size")).alias("blocks"))
-    tiles = work.table(dealt(met.join(whole, "part"), "fp"), "tiles")
+    tiles = work.table(dealt(join_one(met, whole, "part"), "fp"), "tiles")
     total = tiles.join(sizes, "fp").agg(F.sum("size")).first()[0] or 0
     shares = max(spark.sparkContext.defaultParallelism, int(total // SHARE_BYTES) + 1)
     tile = ["part", "lo", "hi"]
