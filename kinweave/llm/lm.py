@@ -12,8 +12,10 @@ Counts are of all training texts. Noise-contrastive training, of groups and of w
 their group, goes over all training tokens: each task starts from the same parameters, sees its
 texts once, and the results are averaged with the tasks' tokens as weights.
 
-Words that are not among the FREQUENT ones leave the task with their text's row and meet
-their counts in a join.
+Texts are split and looked up once: what training and scoring read is a table of the ids of
+their tokens. A text's different words are looked up, not all its words, some megabytes of text
+at a time. Words that are not among the FREQUENT ones go into that table with their text's row
+and meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinweave.llm.bytetok import to_bytes
 from kinweave.llm.sampling import fold
 from kinweave.workspace import Workspace
 
@@ -44,6 +46,8 @@ BATCH, NOISE, WORD_NOISE, RATE = 4096, 32, 2, 0.1
 HELD_TOKENS, SLICE = 1 << 18, 1 << 10
 #: At most so many words, of FREQUENT_BYTES on average at most, are sent to every task with counts.
 FREQUENT, FREQUENT_BYTES = 1 << 18, 40
+#: Texts are split so many bytes at a time; a longer one by itself.
+HELD_BYTES = 1 << 23
 #: A task passes on its counts when it holds so many different words.
 HELD_WORDS = 200_000
 #: Parameters leave a task in pieces of so many numbers; tasks meet in so many sums first.
@@ -54,20 +58,46 @@ def shared_class(word: bytes) -> int:
     return GROUPS + zlib.crc32(word[-2:]) % SHARED
 
 
+def _split(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Some texts after the other, A-Z lower-cased: their different words, the place of each word
+    among these, and where each text's words begin and end. Null texts have none."""
+    texts = pc.fill_null(column, "")
+    upto = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + HELD_BYTES, "right")) - 1)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        words, place, bounds = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), bounds - bounds[0]
+        empty = pc.index(words, b"").as_py()
+        if empty >= 0:  # white space at an end of a text leaves an empty word there
+            real = place != empty
+            bounds, place = np.concatenate(([0], np.cumsum(real)))[bounds], place[real]
+        yield words, place, bounds
+        at = to
+
+
 def _counting(batches):
-    def rows():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"]
-        )
+    held: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        if len(held) == 1:
+            return held[0]
+        sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"word": sums["word"], "n": sums["n_sum"]})
 
-    held: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update(to_bytes(text).lower().split())
-            if len(held) >= HELD_WORDS:
-                yield from rows()
-                held = Counter()
-    yield from rows()
+        for words, place, _ in _split(batch.column(0)):
+            n = np.bincount(place, minlength=len(words))
+            held.append(pa.table({"word": words, "n": n}).filter(n > 0))
+            if sum(map(len, held)) >= HELD_WORDS:
+                held = [merged()]
+                if 2 * len(held[0]) >= HELD_WORDS:
+                    yield from held[0].to_batches()
+                    held = []
+    if held:
+        yield from merged().to_batches()
 
 
 class Vocabulary:
@@ -100,15 +130,36 @@ class Vocabulary:
         self.within = np.zeros(CLASSES)
         self.within[GROUPS:END] = np.log10(np.maximum(self.class_count[GROUPS:END], 0) + ALPHA * (self.class_words[GROUPS:END] + 1))
         self.noise = (self.class_count + 1.0) / (self.class_count + 1.0).sum()
-        # within its group, a word's share, and the shares up to it with the group's number added
+        # within its group, a word's share
         self.share = (self.word_count + 1.0) / np.maximum(np.bincount(group, self.word_count + 1.0, GROUPS), 1.0)[group]
         self.by_group = np.lexsort((np.arange(self.n_words), group))
         self.group_start = np.searchsorted(group[self.by_group], np.arange(GROUPS + 1))
-        self.upto = np.cumsum(self.share[self.by_group]) if self.n_words else np.zeros(0)
+        self.size = np.diff(self.group_start).astype(np.int32)
+        self.keep, self.other = self._places()
+
+    def _places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Walker's tables: as many equally likely places in a group as words, each of which holds
+        its own word up to ``keep`` and the word ``other`` beyond; a word's parts are its share."""
+        keep, other = np.ones(self.n_words), self.by_group.astype(np.int32)
+        for low, high in zip(self.group_start.tolist(), self.group_start[1:].tolist()):
+            size = (self.share[self.by_group[low:high]] * (high - low)).tolist()
+            small = [i for i, x in enumerate(size) if x < 1]
+            large = [i for i, x in enumerate(size) if x >= 1]
+            while small and large:
+                i, j = small.pop(), large[-1]
+                keep[low + i], other[low + i] = size[i], self.by_group[low + j]
+                size[j] -= 1 - size[i]
+                if size[j] < 1:
+                    small.append(large.pop())
+        return keep, other
 
     def end(self) -> int:
         return self.n_words + SHARED
 
+    def id_type(self) -> np.dtype:
+        """The shortest unsigned number that holds every id."""
+        return np.min_scalar_type(self.end())
+
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Places among the frequent words by count; -1 for other words."""
         return np.fromiter(map(self.rank.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -126,15 +177,11 @@ class Vocabulary:
 
     def draw(self, groups: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """A word of each group, drawn by the words' shares."""
-        low = self.group_start[groups]
-        # groups before add one each, so one search serves them all
-        before = np.concatenate(([0.0], self.upto))[low]
-        wanted = (before + rng.random(groups.shape) * (1 - 1e-9)).ravel()
-        order = np.argsort(wanted)  # in order, the search finds its next place close by
-        at = np.empty(len(wanted), np.int64)
-        at[order] = np.searchsorted(self.upto, wanted[order])
-        at = at.reshape(groups.shape)
-        return self.by_group[np.clip(at, low, self.group_start[groups + 1] - 1)]
+        at = rng.random(groups.shape) * self.size.take(groups)
+        place = at.astype(np.int32)
+        at -= place
+        place += self.group_start.take(groups).astype(np.int32)
+        return np.where(at < self.keep.take(place), self.by_group.take(place), self.other.take(place))
 
 
 def start_parameters(vocabulary: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
@@ -164,18 +211,33 @@ def _summed(index: np.ndarray, rows: np.ndarray, below: int) -> tuple[np.ndarray
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -30, 30)
-    np.exp(np.negative(x, out=x), out=x)
+    """Overwrites ``x``; what lies far below zero has an infinite exponential and gives zero."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
 class Trainer:
-    """Noise-contrastive Adagrad steps from shared start parameters."""
+    """Noise-contrastive Adagrad steps from shared start parameters.
+
+    Vectors of outcomes are held in rows with their bias, which meets a one, and a zero, so that
+    rows have an even length; the two mixing matrices are one under the other. ``p`` has the
+    parameters by name, as views.
+    """
 
     def __init__(self, params: dict[str, np.ndarray], vocabulary: Vocabulary, seed: int) -> None:
-        self.p = {k: v.copy() for k, v in params.items()}
-        self.squares = {k: np.full_like(v, 1e-2) for k, v in params.items()}
+        self.word, self.target = (
+            np.concatenate((params[k], params[b][:, None], np.zeros((len(params[k]), 1))), axis=1).astype(np.float32)
+            for k, b in (("word", "word_bias"), ("target", "bias"))
+        )
+        self.context = params["context"].copy()
+        self.mix = np.concatenate((params["mix1"], params["mix2"]))
+        self.p = {
+            "context": self.context, "target": self.target[:, :DIM], "mix1": self.mix[:DIM], "mix2": self.mix[DIM:],
+            "bias": self.target[:, DIM], "word": self.word[:, :DIM], "word_bias": self.word[:, DIM],
+        }
+        self.squares = {k: np.full_like(getattr(self, k), 1e-2) for k in ("word", "target", "context", "mix")}
         self.v = vocabulary
         self.log_noise = np.log(NOISE * vocabulary.noise).astype(np.float32)
         self.log_share = np.log(WORD_NOISE * vocabulary.share).astype(np.float32)
@@ -183,58 +245,85 @@ class Trainer:
         self.rng = np.random.default_rng(seed)
         self.seen = 0
 
-    def _move(self, name: str, gradient: np.ndarray, n: int, at: np.ndarray | slice = slice(None)) -> None:
-        g = gradient.astype(np.float32) / n * 16
-        squares = self.squares[name][at] + g * g
-        self.squares[name][at] = squares
-        self.p[name][at] -= RATE * g / np.sqrt(squares)
+    def _move(self, name: str, g: np.ndarray, n: int, at: np.ndarray | None = None) -> None:
+        """By a gradient, which is overwritten; of the rows ``at``, or of all."""
+        values, squares = getattr(self, name), self.squares[name]
+        g *= np.float32(16 / n)
+        square = g * g
+        square += squares if at is None else squares.take(at, axis=0)
+        g /= np.sqrt(square)
+        g *= np.float32(RATE)
+        if at is None:
+            squares[:] = square
+            values -= g
+        else:
+            squares[at] = square
+            values[at] = np.subtract(values.take(at, axis=0), g, out=g)
 
     def step(self, c1: np.ndarray, c2: np.ndarray, y: np.ndarray) -> None:
-        p, n = self.p, len(y)
-        k = self.v.class_of[y]
+        n = len(y)
+        k = self.v.class_of.take(y)
         drawn = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), CLASSES - 1)
-        x1, x2 = p["context"].take(c1, axis=0), p["context"].take(c2, axis=0)
-        q = x1 @ p["mix1"] + x2 @ p["mix2"]
-        ry, rn = p["target"].take(k, axis=0), p["target"][drawn]
-        g_true = -_sigmoid(self.log_noise[k] - (q * ry).sum(axis=1) - p["bias"][k])
-        g_noise = _sigmoid(q @ rn.T + p["bias"][drawn] - self.log_noise[drawn])
-        dq = g_true[:, None] * ry + g_noise @ rn
-        target = np.zeros_like(p["target"])
+        both = np.stack((c1, c2), axis=1)
+        x = self.context.take(both, axis=0).reshape(n, 2 * DIM)
+        q = np.zeros((n, DIM + 2), np.float32)
+        np.matmul(x, self.mix, out=q[:, :DIM])
+        q[:, DIM] = 1
+        ry, rn = self.target.take(k, axis=0), self.target.take(drawn, axis=0)
+        g_true = np.negative(_sigmoid(self.log_noise.take(k) - np.einsum("nd,nd->n", q, ry)))
+        offset = rn.copy()
+        offset[:, DIM] -= self.log_noise.take(drawn)
+        g_noise = _sigmoid(q @ offset.T)
+        dq = g_noise @ rn
+        dq += np.multiply(ry, g_true[:, None], out=ry)
+        target = np.zeros_like(self.target)
         at, rows = _summed(k, g_true[:, None] * q, CLASSES)
         target[at] = rows
         np.add.at(target, drawn, g_noise.T @ q)
-        bias = np.bincount(k, g_true, CLASSES) + np.bincount(drawn, g_noise.sum(axis=0), CLASSES)
         own = np.flatnonzero(y < self.v.n_words)
         if len(own):  # the word within its group
-            qw, w = q[own], y[own]
-            other = self.v.draw(np.repeat(k[own], WORD_NOISE).reshape(-1, WORD_NOISE), self.rng)
-            both = np.concatenate((w[:, None], other), axis=1)
-            vectors = p["word"].take(both, axis=0)
-            z = np.einsum("nkd,nd->nk", vectors, qw) + p["word_bias"][both] - self.log_share[both]
-            g = _sigmoid(z)
+            qw, words = q.take(own, axis=0), np.empty((len(own), 1 + WORD_NOISE), np.int32)
+            words[:, 0] = y.take(own)
+            words[:, 1:] = self.v.draw(np.repeat(k.take(own), WORD_NOISE).reshape(-1, WORD_NOISE), self.rng)
+            vectors = self.word.take(words, axis=0)
+            g = _sigmoid(np.einsum("nkd,nd->nk", vectors, qw) - self.log_share.take(words))
             g[:, 0] -= 1
             dq[own] += np.einsum("nk,nkd->nd", g, vectors)
-            rows = np.zeros((*g.shape, DIM + 2), np.float32)
-            np.multiply(g[:, :, None], qw[:, None], out=rows[:, :, :DIM])
-            rows[:, :, DIM] = g
-            at, rows = _summed(both.ravel(), rows.reshape(-1, DIM + 2), self.v.n_words)
-            self._move("word", rows[:, :DIM], n, at)
-            self._move("word_bias", rows[:, DIM], n, at)
-        at, rows = _summed(np.concatenate((c1, c2)), np.concatenate((dq @ p["mix1"].T, dq @ p["mix2"].T)), len(p["context"]))
-        mix1, mix2 = x1.T @ dq, x2.T @ dq
+            rows = np.einsum("nk,nd->nkd", g, qw).reshape(-1, DIM + 2)
+            at, rows = _summed(words.ravel(), rows, self.v.n_words)
+            self._move("word", rows, n, at)
+        dq = dq[:, :DIM]
+        at, rows = _summed(both.ravel(), (dq @ self.mix.T).reshape(-1, DIM), len(self.context))
+        mix = x.T @ dq
         self._move("context", rows, n, at)
-        for name, gradient in (("target", target), ("bias", bias), ("mix1", mix1), ("mix2", mix2)):
-            self._move(name, gradient, n)
+        self._move("target", target, n)
+        self._move("mix", mix, n)
         self.seen += n
 
 
-def contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids one and two places before each token; the end before the start."""
+def contexts(ids: np.ndarray, end: int, starts: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two places before each token; the end before the start.
+
+    Texts may be laid end to end, each with its end, and begin at ``starts``.
+    """
     c1 = np.concatenate(([end], ids[:-1])).astype(np.int32)
     c2 = np.concatenate(([end], c1[:-1])).astype(np.int32)
+    c2[starts] = end
     return c1, c2
 
 
+def _laid(column: pa.Array, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of some texts end to end, HELD_TOKENS at most or one text, and where texts begin."""
+    column = column.cast(pa.large_binary())
+    upto = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, int)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + HELD_TOKENS * kind.itemsize, "right")) - 1)
+        yield data[upto[at] : upto[to]].view(kind).astype(np.int32), (upto[at:to] - upto[at]) // kind.itemsize
+        at = to
+
+
 def _training(held):
     def run(batches):
         vocabulary, params = held.value
@@ -252,9 +341,8 @@ def _training(held):
             parts, size = [(c1[whole:], c2[whole:], y[whole:])], len(y) - whole
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = vocabulary.ids(to_bytes(text).lower().split())
-                parts.append((*contexts(ids, vocabulary.end()), ids))
+            for ids, starts in _laid(batch.column(0), vocabulary.id_type()):
+                parts.append((*contexts(ids, vocabulary.end(), starts), ids))
                 size += len(ids)
                 if size >= 64 * BATCH:
                     flush(False)
@@ -345,52 +433,67 @@ def _log_total(logits: np.ndarray) -> np.ndarray:
     return most + np.log((np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
 
 
-def _scoring(held):
+def _encoding(held):
     def run(batches):
-        vocabulary, params = held.value
-        model = Model(vocabulary, params)
+        vocabulary = held.value
         norm = math.log10(vocabulary.total + ALPHA * (vocabulary.distinct + 1))
         end = math.log10(vocabulary.n_end + ALPHA)
-        end_known = vocabulary.n_end > 0
+        log_count = np.append(vocabulary.log_count, 0.0)  # the last is that of rank -1
+        kind = vocabulary.id_type()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            parts: list[tuple] = []
-            size, done = 0, []
-
-            def flush():
-                nonlocal parts, size
-                if parts:
-                    c1, c2, y = (np.concatenate(x) for x in zip(*parts))
-                    value = model.log10(c1, c2, y) - vocabulary.within[vocabulary.class_of[y]]
-                    starts = np.concatenate(([0], np.cumsum([len(x[2]) for x in parts])[:-1]))
-                    done.extend(np.add.reduceat(value, starts).tolist())
-                parts, size = [], 0
-
-            for text in batch.column(2).to_pylist():
-                words = to_bytes(text).lower().split()
-                ranks = vocabulary.ranks(words)
-                ids = vocabulary.ids(words, ranks)
-                parts.append((*contexts(ids, vocabulary.end()), ids))
-                size += len(ids)
-                found = ranks[ranks >= 0]
-                logs = vocabulary.log_count[found]
-                shared = float(logs[found >= vocabulary.n_words].sum())
-                counted = Counter([words[i] for i in np.flatnonzero(ranks < 0).tolist()])
-                values = (
-                    len(words) + 1, len(found) + end_known, float(logs.sum()) + end - norm * (len(words) + 1), shared,
-                    list(counted), list(counted.values()),
+            at = 0
+            for words, place, bounds in _split(batch.column(2)):
+                n, listed = len(bounds) - 1, words.to_pylist()
+                ranks = vocabulary.ranks(listed)
+                text = np.repeat(np.arange(n), np.diff(bounds))
+                starts = bounds[:-1] + np.arange(n)
+                inner = np.ones(len(place) + n, bool)
+                inner[bounds[1:] + np.arange(n)] = False
+
+                def tokens(of_word: np.ndarray, of_end, kind) -> np.ndarray:
+                    out = np.full(len(inner), of_end, kind)
+                    out[inner] = of_word.astype(kind).take(place)
+                    return out
+
+                sums = lambda *x: np.add.reduceat(tokens(*x), starts)
+                ids = tokens(vocabulary.ids(listed, ranks)[:-1], vocabulary.end(), kind)
+                cuts = np.append(starts, len(ids)).astype(np.int32) * np.int32(kind.itemsize)
+                logs = log_count[ranks]
+                unknown = np.flatnonzero((ranks < 0).take(place)) if len(place) else place
+                found, times = np.unique(text[unknown] * np.int64(len(words)) + place[unknown], return_counts=True)
+                lists = pa.array(np.searchsorted(found, np.arange(n + 1) * len(words)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(np.diff(bounds) + 1),
+                        pa.array(sums(ranks >= 0, vocabulary.n_end > 0, np.int64)),
+                        pa.array(sums(logs, end, float) - norm * (np.diff(bounds) + 1)),
+                        pa.array(sums(np.where(ranks >= vocabulary.n_words, logs, 0.0), 0.0, float)),
+                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(ids)]),
+                        pa.ListArray.from_arrays(lists, words.take(pa.array(found % max(len(words), 1)))),
+                        pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())),
+                    ],
+                    ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "ids", "rare", "rare_n"],
                 )
-                for c, v in zip(cols, values):
-                    c.append(v)
-                if size >= HELD_TOKENS:
-                    flush()
-            flush()
-            cols[3] = [a + b for a, b in zip(cols[3], done)]
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, types)]],
-                ["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_n"],
-            )
+                at += n
+
+    return run
+
+
+def _scoring(held):
+    def run(batches):
+        vocabulary, params = held.value
+        model = Model(vocabulary, params)
+        within = vocabulary.within[vocabulary.class_of]
+        for batch in batches:
+            sums = []
+            for ids, starts in _laid(batch["ids"], vocabulary.id_type()):
+                c1, c2 = contexts(ids, vocabulary.end(), starts)
+                parts = (slice(at, at + HELD_TOKENS) for at in range(0, len(ids), HELD_TOKENS))
+                value = np.concatenate([model.log10(c1[part], c2[part], ids[part]) for part in parts])
+                sums.append(np.add.reduceat(value - within[ids], starts))
+            score = batch["score"].to_numpy() + np.concatenate([*sums, np.zeros(0)])
+            columns = [c for c in batch.schema.names if c not in ("ids", "score")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(score)], [*columns, "score"])
 
     return run
 
@@ -437,19 +540,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _frequent(counts), {r.k: (r.n, r.v) for r in shared.collect()}, n_end,
         (totals[0] or 0) + n_end, totals[1] + (n_end > 0),
     )
+    encoded = rows.withColumn("row", F.monotonically_increasing_id()).select(
+        F.struct("id", "row").alias("id"), "held_out", "text"
+    ).mapInArrow(
+        _encoding(spark.sparkContext.broadcast(vocabulary)),
+        f"id struct<id:{id_type},row:long>, held_out boolean, n_tokens long, n_known long, base_score double, "
+        "score double, ids binary, rare array<binary>, rare_n array<long>",
+    )
+    encoded = work.table(encoded, "encoded")
     params = start_parameters(vocabulary)
     sent = spark.sparkContext.broadcast((vocabulary, params))
-    trained = taught.select("text").mapInArrow(_training(sent), "piece int, weight double, sums binary")
+    trained = encoded.where(~F.col("held_out")).select("ids").mapInArrow(_training(sent), "piece int, weight double, sums binary")
     params = averaged(trained, params)
-    scored = rows.withColumn("row", F.monotonically_increasing_id()).select(
-        F.struct("id", "row").alias("id"), "held_out", "text"
-    ).mapInArrow(
+    scored = encoded.drop("rare", "rare_n").mapInArrow(
         _scoring(spark.sparkContext.broadcast((vocabulary, params))),
-        f"id struct<id:{id_type},row:long>, held_out boolean, n_tokens long, n_known long, base_score double, "
-        "score double, rare array<binary>, rare_n array<long>",
+        f"id struct<id:{id_type},row:long>, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     scored = work.table(scored, "scored")
-    rare = scored.select(F.col("id.row").alias("row"), F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
+    rare = encoded.select(F.col("id.row").alias("row"), F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("times")
     )
     value = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)
