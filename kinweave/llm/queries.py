@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kinweave.llm.bpe import op11_bpe
 from kinweave.llm.decontaminate import op9_decontamination
 from kinweave.llm.langid import op6_langid
 from kinweave.llm.lm import op5_lm
@@ -17,7 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_lm,
-        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings,
+        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings, op11_bpe,
     )
 }
 
