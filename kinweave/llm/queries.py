@@ -13,12 +13,13 @@ from kinweave.llm.simhash import op1_simhash
 from kinweave.llm.substrings import op10_substrings
 from kinweave.llm.toxicity import op3_toxicity
 from kinweave.llm.warc import op7_warc
+from kinweave.llm.whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_lm,
-        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings, op11_bpe,
+        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings, op11_bpe, op13_whitening,
     )
 }
 
