@@ -10,6 +10,7 @@ from kinweave.llm.mixing import op8_mixing
 from kinweave.llm.quality_model import op2_quality
 from kinweave.llm.quality_rules import op4_quality_rules
 from kinweave.llm.simhash import op1_simhash
+from kinweave.llm.spelling import op12_spelling
 from kinweave.llm.substrings import op10_substrings
 from kinweave.llm.toxicity import op3_toxicity
 from kinweave.llm.warc import op7_warc
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_toxicity, op4_quality_rules, op5_lm,
-        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings, op11_bpe, op13_whitening,
+        op6_langid, op7_warc, op8_mixing, op9_decontamination, op10_substrings, op11_bpe, op12_spelling, op13_whitening,
     )
 }
 
