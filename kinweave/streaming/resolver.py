@@ -1,13 +1,16 @@
 """Identities resolved micro-batch by micro-batch, with the answers of one batch over all.
 
-The tables of the lake are appended to, one folder for each batch id, and a batch reads only
-folders of earlier ones, so a batch that runs again after a crash writes the same rows once.
-Arrival order is the batch, then (ingested_at, record_id). A batch meets, of what came before,
-only the records that share a blocking key with it and the identities that these are in now.
+The state is a ledger of tables, each kept by the key that a batch asks it for: records by id,
+blocking keys by key, a record's current identity by record, members by identity. So a batch
+reads the records that share a blocking key with its own and the members of the identities it
+touches, and nothing else of what came before. All tables of a batch become visible by one
+commit; a batch that died before it left nothing, and one that runs again after it does
+nothing. Arrival order is the batch, then (ingested_at, record_id).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,22 +22,33 @@ from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import blocking_keys, normalized
 from kinweave.plans.resolve import Resolution, candidate_pairs_of, first_deliveries, history, numbered, scored
 from kinweave.sources.contracts import canonical, contract_error, parse
+from kinweave.sources.ledger import Change, Kept, Ledger
 from kinweave.workspace import Workspace
 
-SCHEMAS = {
-    "records": "record_id string, source string, ingested_at timestamp_ntz, display_name string, name_tokens array<string>, dob date, "
-    "phones array<string>, email string, address string, pincode string, id_hash string, device_id string, quality_flags array<string>",
-    "keys": "key string, record_id string, rank int",
-    "links": "record_a string, record_b string, score double, name_similarity double, reasons array<string>, created_at timestamp_ntz",
-    "moves": "record_id string, at timestamp_ntz, trigger string, identity_id string, reason string",
-    "identities": "identity_id string, created_at timestamp_ntz",
-    "merges": "identity_id string, merged_into string, merged_at timestamp_ntz",
-    "outcomes": "record_id string, identity_id string, action string, matched_records int, merged_identities int",
-    "dead_letters": "value string",
-    "metrics": "lines long, dead_lettered long, schema_additions long, skipped_hub_blocks long, new long, joined long, merged long, duplicate long",
+TABLES = {
+    "records": Kept(
+        "record_id string, source string, ingested_at timestamp_ntz, display_name string, name_tokens array<string>, dob date, "
+        "phones array<string>, email string, address string, pincode string, id_hash string, device_id string, quality_flags array<string>",
+        ("record_id",),
+    ),
+    "keys": Kept("key string, record_id string, rank int", ("key",)),
+    "current": Kept("record_id string, identity_id string", ("record_id",), latest=True),
+    "members": Kept("identity_id string, record_id string", ("identity_id",)),
+    "links": Kept("record_a string, record_b string, score double, name_similarity double, reasons array<string>, created_at timestamp_ntz"),
+    "moves": Kept("record_id string, at timestamp_ntz, trigger string, identity_id string, reason string, batch long", ("record_id",)),
+    "identities": Kept("identity_id string, created_at timestamp_ntz", ("identity_id",)),
+    "merges": Kept("identity_id string, merged_into string, merged_at timestamp_ntz", ("identity_id",)),
+    "outcomes": Kept("record_id string, identity_id string, action string, matched_records int, merged_identities int"),
+    "dead_letters": Kept("value string"),
+    "metrics": Kept("lines long, dead_lettered long, schema_additions long, skipped_hub_blocks long, new long, joined long, merged long, duplicate long"),
 }
 
 
+def _place(identity: str) -> int:
+    """The number of an identity: the lower, the older."""
+    return int(re.search("[0-9]*$", identity)[0] or 0)
+
+
 def replay_batch(rows: list[tuple], sizes: dict[str, int]) -> Iterator[tuple]:
     """Decide for new records (node, at, older nodes) in arrival order.
 
@@ -44,12 +58,12 @@ def replay_batch(rows: list[tuple], sizes: dict[str, int]) -> Iterator[tuple]:
     """
     holder = {i: i for i in sizes}
     weight, held = dict(sizes), {i: [i] for i in sizes}
-    place = {i: (0, i) for i in sizes}
+    place = {i: (0, _place(i), i) for i in sizes}
     for nth, (node, at, older, matched) in enumerate(rows):
         touched = sorted({holder[o] for o in older}, key=lambda f: (-weight[f], place[f]))
         keeper = touched[0] if touched else node
         if not touched:
-            place[node], weight[node], held[node] = (1, nth), 0, []
+            place[node], weight[node], held[node] = (1, nth, node), 0, []
         for gone in touched[1:]:
             for moved in held.pop(gone):
                 holder[moved] = keeper
@@ -80,68 +94,46 @@ def _replay(batches):
             )
 
 
-class Lake:
-    """The appended tables of a stream."""
+class Lake(Ledger):
+    """The state of a stream and the tables that it fills."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def read(self, name: str, before: int | None = None) -> DataFrame:
-        """Rows with the column ``batch``; of batches before one, or of all."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        schema = f"{SCHEMAS[name]}, batch long"
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return rows if before is None else rows.where(F.col("batch") < before)
-
-    def write(self, name: str, rows: DataFrame, batch: int) -> DataFrame:
-        columns = [f.split()[0] for f in SCHEMAS[name].split(", ")]
-        where = f"{self.path}/{name}/batch={batch}"
-        rows.select(*columns).write.mode("overwrite").parquet(where)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(where)
-
-
-def _now(moves: DataFrame) -> DataFrame:
-    """(record_id, identity_id) after the last move of each record."""
-    return moves.groupBy("record_id").agg(F.max_by("identity_id", F.struct("batch", "at", "trigger")).alias("identity_id"))
+        super().__init__(spark, path, TABLES)
 
 
 def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTINGS) -> None:
-    """Take one micro-batch of lines with a text column ``raw`` into the lake."""
-    spark = lake.spark
-    work = Workspace(spark, "stream")
+    """Take one micro-batch of lines with a text column ``raw`` into the lake, unless it is there."""
+    before = lake.snapshot()
+    if before.facts.get("batch", -1) >= batch:
+        return
+    change = Change(before)
+    work = Workspace(lake.spark, "stream")
     error = F.when(F.col("broken"), F.lit("not a JSON object")).otherwise(contract_error(F.col("not_text")))
     checked = work.table(parse(lines).withColumn("error", error), "checked")
     where = [c for c in ("topic", "partition", "offset") if c in checked.columns]
     letters = checked.where("error is not null").select(F.to_json(F.struct("error", *where, "raw")).alias("value"))
-    letters = lake.write("dead_letters", letters, batch)
+    change.append("dead_letters", letters)
 
     good = canonical(checked)
     delivered = work.table(normalized(good), "delivered")
-    known = lake.read("records", batch)
-    seen = known.select("record_id").join(delivered.select("record_id").distinct(), "record_id", "left_semi")
-    new = lake.write("records", first_deliveries(delivered).join(seen, "record_id", "left_anti"), batch)
+    seen = before.lookup("records", delivered).select("record_id")
+    new = change.append("records", first_deliveries(delivered).join(seen, "record_id", "left_anti"))
 
     keys = work.table(blocking_keys(new), "keys")
-    asked = keys.select("key").distinct()
-    earlier = work.table(lake.read("keys", batch).drop("batch").join(asked, "key", "left_semi"), "earlier")
+    earlier = work.table(before.lookup("keys", keys), "earlier")
     held = earlier.groupBy("key").agg((F.max("rank") + 1).alias("held"))
     w = Window.partitionBy("key").orderBy("ingested_at", "record_id")
     ranked = keys.join(held, "key", "left").withColumn("rank", F.row_number().over(w) - 1 + F.coalesce("held", F.lit(0)))
     skipped = ranked.where(F.col("rank") > s.block_cap)
-    ranked = lake.write("keys", ranked.where(F.col("rank") <= s.block_cap), batch)
-    pairs = candidate_pairs_of(ranked, earlier.unionByName(ranked))
-    needed = pairs.select(F.col("older").alias("record_id")).distinct()
-    met = known.drop("batch").join(needed, "record_id", "left_semi").unionByName(new)
+    ranked = change.append("keys", ranked.where(F.col("rank") <= s.block_cap))
+    pairs = work.table(candidate_pairs_of(ranked, earlier.unionByName(ranked)), "pairs")
+    met = before.lookup("records", pairs.select(F.col("older").alias("record_id"))).unionByName(new)
     links = scored(pairs, met, s, matches_only=True).select(
         F.col("older").alias("record_a"), F.col("newer").alias("record_b"), "score", "name_similarity", "reasons", F.col("linked_at").alias("created_at")
     )
-    links = lake.write("links", links, batch)
+    links = change.append("links", links)
 
-    moves = lake.read("moves", batch)
-    linked = links.select(F.col("record_a").alias("record_id")).distinct()
-    inside = _now(moves.join(linked, "record_id", "left_semi"))
+    inside = before.lookup("current", links.select(F.col("record_a").alias("record_id")))
     edges = links.join(inside.withColumnRenamed("record_id", "record_a"), "record_a", "left").select(
         F.concat(F.lit("R:"), "record_b").alias("node"), F.coalesce(F.concat(F.lit("I:"), "identity_id"), F.concat(F.lit("R:"), "record_a")).alias("older")
     )
@@ -154,17 +146,17 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
         F.coalesce("older", F.array().cast("array<string>")).alias("older"), F.coalesce("matched", F.lit(0)).alias("matched"),
     )
     rows = told.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "node", "older", "matched"))).alias("rows"))
-    touched = edges.where(F.col("older").startswith("I:")).select(F.substring("older", 3, 40).alias("identity_id")).distinct()
-    ever = moves.join(touched, "identity_id", "left_semi").select("record_id").distinct()  # was in one of them at some time
-    members = work.table(_now(moves.join(ever, "record_id", "left_semi")).join(touched, "identity_id", "left_semi"), "members")
+    touched = edges.where(F.col("older").startswith("I:")).select(F.substring("older", 3, 40).alias("identity_id"))
+    members = work.table(before.lookup("members", touched), "members")  # whoever came to an identity is in it until it ends
     sizes = members.groupBy("identity_id").agg(F.count("*").cast("int").alias("n")).select(F.concat(F.lit("I:"), "identity_id").alias("node"), "n")
     sizes = sizes.join(parts, "node").groupBy("component").agg(F.collect_list(F.struct(F.col("node").alias("identity"), "n")).alias("sizes"))
     events = work.table(rows.join(sizes, "component", "left").select("rows", "sizes").mapInArrow(_replay, _EVENTS), "events")
 
-    largest = lake.read("identities", batch).agg(F.max(F.substring("identity_id", 4, 20).cast("long"))).first()[0] or 0
+    largest = before.facts.get("identities", 0)
     fresh = numbered(events.where("kind = 'new'").select("node", "at"), ["at", "node"], work, "numbered")
     fresh = work.table(fresh.select(F.col("node").alias("holder"), F.format_string("PID%07d", F.col("number") + largest).alias("name"), F.col("at").alias("created_at")), "fresh")
-    lake.write("identities", fresh.select(F.col("name").alias("identity_id"), "created_at"), batch)
+    change.facts |= {"batch": batch, "identities": largest + fresh.count()}
+    change.append("identities", fresh.select(F.col("name").alias("identity_id"), "created_at"))
     gone = fresh.select(F.col("holder").alias("gone"), F.col("name").alias("gone_name"))
     called = lambda node, name: F.coalesce(F.col(name), F.substring(node, 3, 40))
     named = events.join(fresh.select("holder", "name"), "holder", "left").join(gone, "gone", "left").select(
@@ -172,7 +164,7 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
         F.when(F.col("gone").isNotNull(), called("gone", "gone_name")).alias("gone"), "matched", "bridged",
     )
     named = work.table(named, "named")
-    lake.write("merges", named.where("kind = 'end'").select(F.col("gone").alias("identity_id"), F.col("identity_id").alias("merged_into"), F.col("at").alias("merged_at")), batch)
+    change.append("merges", named.where("kind = 'end'").select(F.col("gone").alias("identity_id"), F.col("identity_id").alias("merged_into"), F.col("at").alias("merged_at")))
     reason = (
         F.when(F.col("kind") == "new", F.lit("no matching records")).when(F.col("kind") == "joined", F.format_string("matched %d record(s)", "matched"))
         .when(F.col("kind") == "merged", F.format_string("bridged %d identities via %d matching record(s)", "bridged", "matched"))
@@ -183,7 +175,10 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     whole = whole.join(members.select("record_id", F.col("identity_id").alias("was")), "was")
     single = moved.where(F.col("node").startswith("R:")).withColumn("record_id", F.substring("node", 3, 400))
     take = ["record_id", "at", "trigger", "identity_id", "reason"]
-    lake.write("moves", whole.select(*take).unionByName(single.select(*take)), batch)
+    moves = change.append("moves", whole.select(*take).unionByName(single.select(*take)).withColumn("batch", F.lit(batch).cast("long")))
+    last = moves.groupBy("record_id").agg(F.max_by("identity_id", F.struct("at", "trigger")).alias("identity_id"))
+    last = change.append("current", last)
+    change.append("members", last)
     first = named.where("kind in ('new', 'joined', 'merged')").select(
         F.substring("node", 3, 400).alias("record_id"), "identity_id", F.col("kind").alias("action"), F.col("matched").alias("matched_records"),
         F.when(F.col("kind") == "merged", F.col("bridged")).otherwise(0).alias("merged_identities"),
@@ -191,32 +186,33 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     # a delivery of a record that is there already changes nothing and names its identity
     times = delivered.groupBy("record_id").count().join(new.select("record_id", F.lit(1).alias("took")), "record_id", "left")
     again = times.select("record_id", F.explode(F.array_repeat(F.lit("duplicate"), (F.col("count") - F.coalesce("took", F.lit(0))).cast("int"))).alias("action"))
-    inside = _now(moves.join(again.select("record_id").distinct(), "record_id", "left_semi")).unionByName(first.select("record_id", "identity_id"))
+    inside = before.lookup("current", again).unionByName(first.select("record_id", "identity_id"))
     again = again.join(inside, "record_id", "left").select("record_id", "identity_id", "action", F.lit(0).alias("matched_records"), F.lit(0).alias("merged_identities"))
-    outcomes = lake.write("outcomes", first.unionByName(again), batch)
+    outcomes = change.append("outcomes", first.unionByName(again))
     actions = ["new", "joined", "merged", "duplicate"]
     counted = outcomes.agg(*[F.count_if(F.col("action") == a).alias(a) for a in actions])
     counts = checked.agg(F.count("*").alias("lines"), F.count_if(F.col("error").isNotNull()).alias("dead_lettered"))
     counts = counts.crossJoin(good.agg(F.count_if(F.size("unexpected_fields") > 0).alias("schema_additions")))
     counts = counts.crossJoin(skipped.agg(F.count("*").alias("skipped_hub_blocks"))).crossJoin(counted)
-    lake.write("metrics", counts.coalesce(1), batch)
+    change.append("metrics", counts)
+    change.commit()
     work.drop()
 
 
 def state(spark: SparkSession, path: str) -> Resolution:
     """The tables that queries read, of all batches so far."""
-    lake = Lake(spark, path)
-    moves = lake.read("moves").select("record_id", "at", F.struct("batch", "at").alias("trigger_at"), "trigger", "identity_id", "reason")
-    identities = lake.read("identities").drop("batch").join(lake.read("merges").drop("batch"), "identity_id", "left")
+    now = Lake(spark, path).snapshot()
+    moves = now.read("moves").select("record_id", "at", F.struct("batch", "at").alias("trigger_at"), "trigger", "identity_id", "reason")
+    identities = now.read("identities").join(now.read("merges"), "identity_id", "left")
     return Resolution(
-        lake.read("records").drop("batch"), lake.read("links").drop("batch"),
-        history(moves).select("record_id", "identity_id", "valid_from", "valid_to", "reason"), identities, lake.read("outcomes").drop("batch"),
+        now.read("records"), now.read("links"), history(moves).select("record_id", "identity_id", "valid_from", "valid_to", "reason"),
+        identities, now.read("outcomes"),
     )
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """Counters over all batches, one row."""
-    rows = Lake(spark, path).read("metrics").drop("batch")
+    rows = Lake(spark, path).read("metrics")
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
 
 

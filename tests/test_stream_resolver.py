@@ -70,3 +70,38 @@ def test_stream_from_a_folder(spark, tmp_path):
     assert resolver.state(spark, str(tmp_path / "lake")).assignments.where("valid_to is null").count() == 12
     told = resolver.progress(query)
     assert told is None or told["lag"] == 0
+
+
+def test_of_equal_identities_the_lower_number_survives():
+    for few, many in (("PID9999999", "PID10000000"), ("PID0000002", "PID0000010")):
+        rows = [("R:x", datetime(2026, 1, 1), [f"I:{many}", f"I:{few}"], 2)]
+        told = list(resolver.replay_batch(rows, {f"I:{many}": 3, f"I:{few}": 3}))
+        assert [t[4] for t in told if t[0] == "merged"] == [f"I:{few}"] and [t[5] for t in told if t[0] == "end"] == [f"I:{many}"]
+
+
+def test_a_batch_that_dies_between_two_tables(spark, tmp_path, monkeypatch):
+    """Readers see the state before it, and the batch that runs again gives what it would have given."""
+    told = lines(9, 24)
+    batch = lambda lo, hi: spark.createDataFrame([(x,) for x in told[lo:hi]], "raw string")
+    lake = resolver.Lake(spark, str(tmp_path / "lake"))
+    resolver.resolve_batch(lake, 0, batch(0, 12))
+    before = {name: rows(lake.read(name)) for name in resolver.TABLES}
+    append = resolver.Change.append
+
+    def dies(change, name, df):
+        if name == "moves":
+            raise RuntimeError("lost")
+        return append(change, name, df)
+
+    monkeypatch.setattr(resolver.Change, "append", dies)
+    with pytest.raises(RuntimeError):
+        resolver.resolve_batch(lake, 1, batch(12, 24))
+    assert {name: rows(lake.read(name)) for name in resolver.TABLES} == before
+    monkeypatch.setattr(resolver.Change, "append", append)
+    resolver.resolve_batch(lake, 1, batch(12, 24))
+    after = {name: rows(lake.read(name)) for name in resolver.TABLES}
+    resolver.resolve_batch(lake, 1, batch(12, 24))  # delivered again after the commit
+    assert {name: rows(lake.read(name)) for name in resolver.TABLES} == after
+    whole = res.resolve(contracts.canonical(contracts.validated(contracts.parse(batch(0, 24)))))
+    assert rows(resolver.state(spark, lake.path).assignments) == rows(whole.assignments)
+    assert lake.sweep() > 0
