@@ -20,6 +20,7 @@ from kinweave.functions.numbers import fixed, half_even
 from kinweave.functions.similarity import name_similarity_udf
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import blocking_keys, normalized
+from kinweave.plans.replay import replay
 from kinweave.workspace import Workspace
 
 
@@ -161,25 +162,34 @@ def _replay(batches):
             yield pa.RecordBatch.from_arrays(arrays, ["kind", "record_id", "trigger", "at", "founder", "other", "n"])
 
 
-def component_events(linked: DataFrame) -> DataFrame:
+#: A component of up to so many records is replayed as one row.
+ONE_ROW = 10_000
+
+
+def component_events(linked: DataFrame, work: Workspace) -> DataFrame:
     """Events of (component, record_id, at, older), ``older`` listing linked earlier records.
 
     Where one record alone starts an identity, all others of the component join it and no
-    merge can come about: that is told without a replay. Replays take a component's ids as
-    one row.
+    merge can come about: that is told without a replay. Other components of up to ONE_ROW
+    records are replayed as one row of ids each, larger ones all together in ranges of arrival.
     """
     first = F.min_by("record_id", F.struct("at", "record_id"))
-    heads = linked.groupBy("component").agg(F.count_if(F.size("older") == 0).alias("starts"), first.alias("founder"))
+    heads = linked.groupBy("component").agg(F.count_if(F.size("older") == 0).alias("starts"), first.alias("founder"), F.count("*").alias("records"))
+    heads = work.table(heads, "heads")
     both = linked.join(heads, "component")
     new = F.col("record_id") == F.col("founder")
     plain = both.where("starts = 1").select(
         F.when(new, "new").otherwise("joined").alias("kind"), "record_id", F.col("record_id").alias("trigger"), "at", "founder",
         F.when(new, "0").otherwise("1").alias("other"), F.size("older").alias("n"),
     )
-    lists = both.where("starts > 1").groupBy("component").agg(
+    lists = both.where((F.col("starts") > 1) & (F.col("records") <= ONE_ROW)).groupBy("component").agg(
         F.array_sort(F.collect_list(F.struct("at", "record_id", "older"))).alias("rows")
     )
-    return plain.unionByName(lists.select("rows").mapInArrow(_replay, _EVENTS))
+    events = plain.unionByName(lists.select("rows").mapInArrow(_replay, _EVENTS))
+    large = (F.col("starts") > 1) & (F.col("records") > ONE_ROW)
+    if heads.where(large).isEmpty():
+        return events
+    return events.unionByName(replay(both.where(large).select("record_id", "at", "older"), work))
 
 
 def numbered(rows: DataFrame, order: list[str], work: Workspace, name: str) -> DataFrame:
@@ -231,7 +241,7 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
     older = links.groupBy(F.col("record_b").alias("node")).agg(F.array_sort(F.collect_set("record_a")).alias("older"))
     linked = parts.join(older, "node", "left").join(records.select(F.col("record_id").alias("node"), F.col("ingested_at").alias("at")), "node")
     linked = linked.select(F.col("node").alias("record_id"), "component", "at", F.coalesce("older", F.array().cast("array<string>")).alias("older"))
-    replayed = component_events(work.table(linked, "linked"))
+    replayed = component_events(work.table(linked, "linked"), work)
     alone = records.join(parts, F.col("record_id") == F.col("node"), "left_anti").select(
         F.lit("new").alias("kind"), "record_id", F.col("record_id").alias("trigger"), F.col("ingested_at").alias("at"),
         F.col("record_id").alias("founder"), F.lit("0").alias("other"), F.lit(0).alias("n"),
