@@ -125,40 +125,77 @@ def summaries(r: Resolution) -> DataFrame:
     return out.join(status, "identity_id")
 
 
-def search(r: Resolution, phone: str | None = None, email: str | None = None, name: str | None = None, attrs: DataFrame | None = None) -> DataFrame:
-    """Identities with the phone, or the email, or all sounds of the name; the first SEARCH_LIMIT.
-
-    ``attrs`` is the attribute table if it has been kept, sorted by kind and value, so that a
-    question reads the few pages it is about; without it attributes are made from all records.
-    """
+def asked_for(spark, phone: str | None = None, email: str | None = None, name: str | None = None) -> list[tuple[str, str]]:
+    """The (kind, value) attributes that a search is about."""
     if not (phone or email or name):
         raise BadRequest("give a phone, an email or a name")
-    attrs = attributes(r.records) if attrs is None else attrs
-    hits = []
+    found = []
     for kind, value, clean in (("phone", phone, t.phone), ("email", email, t.email)):
         if value:
-            hits.append(attrs.where((F.col("kind") == kind) & (F.col("value") == clean(F.lit(value)))).select("record_id"))
+            known = spark.range(1).select(clean(F.lit(value)).alias("v")).first().v
+            if known is None:
+                raise BadRequest(f"not a valid {kind}: {value}")
+            found.append((kind, known))
     if name:
         words = [w for w in re.sub("[^a-z]+", " ", name.lower()).split() if w not in t.HONORIFICS and len(w) > 1]
         keys = sorted({key_of(w) for w in words} - {""})
         if not keys:
             raise BadRequest("a name needs a word of two letters")
+        found += [("nkey", k) for k in keys]
+    return found
+
+
+def hits(attrs: DataFrame, asked: list[tuple[str, str]]) -> DataFrame:
+    """(record_id) with one of the phones or emails asked for, or with all sounds of the name."""
+    exact = [(F.col("kind") == k) & (F.col("value") == v) for k, v in asked if k != "nkey"]
+    keys = [v for k, v in asked if k == "nkey"]
+    every = [attrs.where(c).select("record_id") for c in exact]
+    if keys:
         found = attrs.where((F.col("kind") == "nkey") & F.col("value").isin(keys)).groupBy("record_id").agg(F.count_distinct("value").alias("n"))
-        hits.append(found.where(F.col("n") == len(keys)).select("record_id"))
-    every = hits[0]
-    for more in hits[1:]:
-        every = every.union(more)
-    ids = r.assignments.where(valid_at(None)).join(every.distinct(), "record_id", "left_semi").select("identity_id").distinct()
-    top = ids.orderBy("identity_id").limit(SEARCH_LIMIT)
-    return top.join(summaries(r), "identity_id").withColumn("truncated", F.lit(ids.count() > SEARCH_LIMIT)).orderBy("identity_id")
+        every.append(found.where(F.col("n") == len(keys)).select("record_id"))
+    out = every[0]
+    for more in every[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def restricted(r: Resolution, ids: DataFrame) -> Resolution:
+    """The tables with what concerns the identities of ``ids(identity_id)``, a few, now or earlier."""
+    few = F.broadcast(ids.select("identity_id").distinct())
+    assignments = r.assignments.join(few, "identity_id", "left_semi")
+    records = r.records.join(assignments.select("record_id").distinct(), "record_id", "left_semi")
+    return Resolution(records, r.links, assignments, r.identities.join(few, "identity_id", "left_semi"), r.outcomes)
+
+
+def search(r: Resolution, phone: str | None = None, email: str | None = None, name: str | None = None, attrs: DataFrame | None = None) -> DataFrame:
+    """Identities with the phone, or the email, or all sounds of the name; the first SEARCH_LIMIT.
+
+    ``attrs`` is the attribute table if it has been kept; without it attributes are made from
+    all records. :class:`kinweave.plans.index.Index` answers from what it looks up.
+    """
+    asked = asked_for(r.records.sparkSession, phone, email, name)
+    found = hits(attributes(r.records) if attrs is None else attrs, asked)
+    ids = r.assignments.where(valid_at(None)).join(found, "record_id", "left_semi").select("identity_id").distinct()
+    return listed(ids, lambda few: summaries(restricted(r, few)))
+
+
+def listed(ids: DataFrame, summed) -> DataFrame:
+    """Summaries of the first SEARCH_LIMIT of ``ids``, by ``summed`` of these, and whether there are more."""
+    first = [(x.identity_id,) for x in ids.orderBy("identity_id").limit(SEARCH_LIMIT + 1).collect()]
+    few = ids.sparkSession.createDataFrame(first[:SEARCH_LIMIT], "identity_id string")
+    return summed(few).withColumn("truncated", F.lit(len(first) > SEARCH_LIMIT)).orderBy("identity_id")
+
+
+def search_by(q: str) -> dict[str, str]:
+    """What a text is searched as: an email with an @, a phone with ten digits or more, else a name."""
+    q = (q or "").strip()
+    if not q:
+        raise BadRequest("give a name, a phone or an email")
+    return {"email" if "@" in q else "phone" if sum(c.isdigit() for c in q) >= 10 else "name": q}
 
 
 def smart_search(r: Resolution, q: str, attrs: DataFrame | None = None) -> DataFrame:
-    """By email with an @, by phone with ten digits or more, else by name."""
-    q = q.strip()
-    if "@" in q:
-        return search(r, email=q, attrs=attrs)
-    return search(r, phone=q, attrs=attrs) if sum(c.isdigit() for c in q) >= 10 else search(r, name=q, attrs=attrs)
+    return search(r, **search_by(q), attrs=attrs)
 
 
 def stats(r: Resolution) -> DataFrame:

@@ -101,6 +101,7 @@ class Change:
         self.ledger, self.base = base.ledger, base
         self.facts = dict(base.facts)
         self.written: list[tuple[str, str]] = []  # tables and folders
+        self.replaced: set[str] = set()
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         """Write rows of a table; returns a scan of them, to be used before the commit.
@@ -114,10 +115,15 @@ class Change:
         self.written.append((name, folder))
         return ledger.spark.read.schema(kept.schema).parquet(f"{ledger.path}/{folder}")
 
+    def replace(self, name: str, rows: DataFrame) -> DataFrame:
+        """Like :meth:`append`, for a table that then has nothing of what it had."""
+        self.replaced.add(name)
+        return self.append(name, rows)
+
     def commit(self) -> Snapshot:
         """Merge what has come together and make all of it the newest state."""
         ledger = self.ledger
-        runs = {name: list(some) for name, some in self.base.runs.items()}
+        runs = {name: list(some) for name, some in self.base.runs.items() if name not in self.replaced}
         for (name, _), files in zip(self.written, ledger._files_of([folder for _, folder in self.written])):
             if files:
                 runs.setdefault(name, []).append(_Run(0, files))
@@ -132,8 +138,8 @@ class Change:
         return Snapshot(ledger, number, self.facts, runs)
 
     def _merged(self, name: str, runs: list[_Run]) -> list[_Run]:
-        level = 0
-        while len(some := [r for r in runs if r.level == level]) >= FANOUT:
+        level, fanout = 0, max(2, FANOUT)
+        while len(some := [r for r in runs if r.level == level]) >= fanout:
             files = [f for r in some for f in r.files]
             rows = self.ledger._newest(name, self.ledger._scan(name, files))
             folder = self.ledger._write(name, rows, level + 1, sum(f[3] for f in files))
