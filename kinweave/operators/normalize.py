@@ -52,7 +52,7 @@ def attributes(records: DataFrame) -> DataFrame:
 
 
 def blocking_keys(records: DataFrame) -> DataFrame:
-    """(record_id, ingested_at, key): identifiers, and sounds of names with an initial or a birth date."""
+    """(record_id, ingested_at, key): identifiers, and sounds of names with an initial or a birth date; ``arrival`` too if it is there."""
     toks = F.transform("name_tokens", lambda x, i: F.struct(x.alias("t"), i.alias("i"), F.get("_keys", i).alias("k")))
     full = F.filter("_toks", lambda x: F.length(x["t"]) >= 2)
     initials = F.flatten(F.transform(full, lambda a: F.transform(
@@ -66,5 +66,5 @@ def blocking_keys(records: DataFrame) -> DataFrame:
         initials, dated,
     )
     return with_sound_keys(records).withColumn("_toks", toks).select(
-        "record_id", "ingested_at", F.explode(F.array_distinct(F.array_compact(every))).alias("key")
+        "record_id", "ingested_at", *[c for c in ("arrival",) if c in records.columns], F.explode(F.array_distinct(F.array_compact(every))).alias("key")
     )

@@ -11,7 +11,7 @@ from kinweave.functions import similarity, text as t
 from kinweave.functions.numbers import fixed_sql, half_even_sql
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import attributes, blocking_keys, normalized
-from kinweave.plans import analysis, evaluate, read, resolve as res, rings
+from kinweave.plans import analysis, evaluate, index, read, resolve as res, rings
 from kinweave.sources import bridge, contracts, generate, tables
 from kinweave.streaming import resolver
 from kinweave.workspace import Workspace
@@ -618,3 +618,106 @@ def w8_latest_reviews(spark, sf_dir):
 def w3_global_numbers(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
     return res.numbered(rows, ["o_orderdate", "o_orderkey"], Workspace(spark, "w3"), "orders").select("o_orderkey", "number")
+
+
+# --- questions to the index ---------------------------------------------------------------
+
+_indexed: dict[tuple, tuple] = {}
+#: The identity asked about: the first that took another in, one day after it was created.
+_WHO = f"""{RESOLVED}, who AS (SELECT coalesce((SELECT min(merged_into) FROM identities), 'PID0000001') AS i),
+about AS (SELECT i, date_trunc('second', created_at) + INTERVAL 1 DAY AS t, created_at, merged_into, merged_at FROM who JOIN identities ON identity_id = i)"""
+_RESOLVED_IDENT = f"{RESOLVED}, ident AS (SELECT record_id, identity_id AS i FROM assignments WHERE valid_to IS NULL), {_GRAPH}, {_REPORT}"
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[index.Index, str, str]:
+    """An index of the resolved tables, an identity to ask about, and a time."""
+    r = resolution(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, id(r))
+    if key not in _indexed:
+        kept = index.Index(spark, Workspace(spark, "index").folder("tables"))
+        kept.save(r)
+        who = r.identities.agg(F.coalesce(F.min("merged_into"), F.lit("PID0000001"))).first()[0]
+        day = F.date_format(F.date_trunc("second", "created_at") + F.make_dt_interval(F.lit(1)), "yyyy-MM-dd'T'HH:mm:ss")
+        _indexed[key] = kept, who, r.identities.where(F.col("identity_id") == who).select(day).first()[0]
+    return _indexed[key]
+
+
+@query(f"""{_WHO}, mine AS (SELECT record_id FROM assignments, about WHERE identity_id = i AND valid_from <= t AND (valid_to IS NULL OR valid_to > t))
+SELECT i AS identity_id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS as_of, CASE WHEN merged_at <= t THEN 'merged' ELSE 'active' END AS status, CASE WHEN merged_at <= t THEN merged_into END AS merged_into,
+    count(record_id) AS record_count, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources, coalesce(string_agg(DISTINCT display_name, ',' ORDER BY display_name), '') AS names_seen
+FROM about LEFT JOIN (SELECT record_id, source, display_name FROM mine JOIN norm USING (record_id)) ON true GROUP BY ALL""")
+def q5_identity_view(spark, sf_dir):
+    kept, who, at = indexed(spark, sf_dir)
+    seen = kept.identity_view(who, at).drop("records", "created_at")
+    return seen.withColumns({c: F.array_join(c, ",") for c in ("sources", "names_seen")})
+
+
+@query(f"{_WHO} SELECT record_id, valid_from AS joined_at, valid_to AS left_at, reason FROM assignments JOIN who ON i = identity_id")
+def q6_history_view(spark, sf_dir):
+    kept, who, _ = indexed(spark, sf_dir)
+    return kept.history_view(who)
+
+
+@query(f"""{_WHO}, mine AS (SELECT record_id FROM assignments JOIN who ON i = identity_id WHERE valid_to IS NULL)
+SELECT older AS record_a, newer AS record_b, score, {_JOINED} AS evidence, linked_at FROM points
+WHERE is_match AND older IN (SELECT record_id FROM mine) AND newer IN (SELECT record_id FROM mine)""")
+def q7_explain_view(spark, sf_dir):
+    kept, who, _ = indexed(spark, sf_dir)
+    return kept.explain_view(who).withColumn("evidence", F.array_join("evidence", "; "))
+
+
+@query(f"""{_WHO}, one AS (SELECT min(record_id) AS record_id FROM assignments JOIN who ON i = identity_id WHERE valid_to IS NULL)
+SELECT record_id, 'now' AS as_of, identity_id FROM assignments JOIN one USING (record_id) WHERE valid_to IS NULL""")
+def q8_record_view(spark, sf_dir):
+    kept, who, _ = indexed(spark, sf_dir)
+    one = kept.identity(who).assignments.where((F.col("identity_id") == who) & read.valid_at(None)).agg(F.min("record_id")).first()[0]
+    return kept.record_view(one)
+
+
+@query(f"""{RESOLVED}, hit AS (SELECT record_id FROM attrs WHERE kind = 'nkey' AND value IN ({_sound("'chitra'")}, {_sound("'mehta'")}) GROUP BY record_id HAVING count(DISTINCT value) = 2),
+found AS (SELECT DISTINCT identity_id FROM assignments WHERE valid_to IS NULL AND record_id IN (SELECT record_id FROM hit))
+SELECT identity_id, (SELECT count(*) > 50 FROM found) AS truncated, count(*) AS record_count, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
+FROM (SELECT identity_id FROM found ORDER BY identity_id LIMIT 50) JOIN assignments USING (identity_id) JOIN norm USING (record_id) WHERE valid_to IS NULL GROUP BY identity_id""")
+def q9_search_resolved(spark, sf_dir):
+    found = indexed(spark, sf_dir)[0].smart_search("Chithra  Mehtha")
+    return found.select("identity_id", "truncated", "record_count", F.array_join("sources", ",").alias("sources"))
+
+
+def _reviewed(spark, sf_dir) -> index.Index:
+    """All groups of a run confirmed, then every second one reviewed again."""
+    kept = index.Index(spark, Workspace(spark, "reviews").folder("tables"))
+    r = resolution(spark, sf_dir)
+    kept.save(r)
+    kept.save_report(rings.ring_report(r), "run")
+    every = kept.report().select("run_id", "component_id", F.lit("confirmed_fraud").alias("decision"), F.lit(" first ").alias("note"), F.lit("2024-02-01").alias("reviewed_at"))
+    kept.save_reviews(every)
+    kept.save_reviews(every.where("component_id % 2 = 0").withColumn("decision", F.lit("false_alarm")).withColumn("note", F.lit(None).cast("string")))
+    return kept
+
+
+@query(f"""{_RESOLVED_IDENT} SELECT component_id, label, CASE WHEN component_id % 2 = 0 THEN 'false_alarm' ELSE 'confirmed_fraud' END AS decision,
+CASE WHEN component_id % 2 = 0 THEN '' ELSE 'first' END AS note FROM report""")
+def k8_reviews(spark, sf_dir):
+    return _reviewed(spark, sf_dir).rings_view().select("component_id", "label", "decision", "note")
+
+
+@query(f"""{_RESOLVED_IDENT}, labels AS (SELECT label, count(*) AS n FROM report GROUP BY label), decided AS (SELECT CASE WHEN component_id % 2 = 0 THEN 'false_alarm' ELSE 'confirmed_fraud' END AS d, count(*) AS n FROM report GROUP BY 1)
+SELECT (SELECT count(*) FROM report WHERE label = 'SUSPICIOUS_RING') AS suspicious_total, 0::BIGINT AS suspicious_open,
+    coalesce((SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM labels), '') AS label_counts, coalesce((SELECT string_agg(d || '=' || n, ',' ORDER BY d) FROM decided), '') AS decisions""")
+def q3_overview(spark, sf_dir):
+    told = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    seen = _reviewed(spark, sf_dir).overview()
+    return seen.select("suspicious_total", "suspicious_open", told("label_counts").alias("label_counts"), told("decisions").alias("decisions"))
+
+
+@query(f"""{_RESOLVED_IDENT}, one AS (SELECT * FROM report WHERE component_id = 1), own AS (SELECT ia.* FROM one JOIN comp USING (c) JOIN ia ON ia.i = comp.i),
+met AS (SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, '+' ORDER BY a.kind) AS kinds FROM own a JOIN own b ON a.kind = b.kind AND a.value = b.value AND a.i < b.i GROUP BY ALL)
+SELECT component_id, label, risk AS risk_score, identity_ids AS nodes, (SELECT string_agg(a || ' ' || b || ' ' || kinds, ',' ORDER BY a, b) FROM met) AS edges,
+    'confirmed_fraud' AS decision FROM one""")
+def q11_ring_detail(spark, sf_dir):
+    kept = _reviewed(spark, sf_dir)
+    edge = lambda e: F.concat_ws(" ", e["a"], e["b"], F.array_join(e["kinds"], "+"))
+    return kept.ring_detail("run", 1).select(
+        "component_id", "label", "risk_score", F.array_join("nodes.identity_id", ",").alias("nodes"), F.array_join(F.transform("edges", edge), ",").alias("edges"),
+        F.col("review.decision").alias("decision"),
+    )

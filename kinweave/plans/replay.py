@@ -144,13 +144,14 @@ def _founders(told: DataFrame, asked: DataFrame, work: Workspace, turn: int) ->
 def replay(linked: DataFrame, work: Workspace | None = None) -> DataFrame:
     """Events of ``linked(record_id, at, older)``, as :func:`kinweave.plans.resolve.replay_component` tells them.
 
-    ``older`` lists earlier records that are rows too. Arrival order is (at, record_id). Rows
-    may be of many components. Nothing larger than a range is held in a task.
+    ``older`` lists earlier records that are rows too. Arrival order is (at, record_id), or
+    that of a column ``arrival``. Rows may be of many components. Nothing larger than a range is held in a task.
     """
-    from kinweave.plans.resolve import numbered
+    from kinweave.plans.resolve import arrived, numbered
 
+    came = [*arrived(linked), "at", "record_id"]
     work = work or Workspace(linked.sparkSession, "replay")
-    order = numbered(linked.select("record_id", "at"), ["at", "record_id"], work, "ordered")
+    order = numbered(linked.select(*came), came, work, "ordered")
     order = work.table(order.select("record_id", "at", (F.col("number") - 1).alias("o")), "order")
     ids = order.select("record_id", "o")
     pairs = linked.select("record_id", F.explode("older").alias("older"))

@@ -4,7 +4,8 @@ A record meets the earlier records that share a blocking key, as long as at most
 ``block_cap`` records held the key before it. Pairs that score as matches are links. Which
 identity a record starts, joins or merges depends on linked records alone, so components of
 the link graph are replayed independently, each in arrival order. Arrival order is
-(ingested_at, record_id); of two deliveries of a record id the first counts.
+(ingested_at, record_id), or the column ``arrival`` where records have one, such as the place
+of their line; of two deliveries of a record id the first counts.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ from kinweave.plans.replay import replay
 from kinweave.workspace import Workspace
 
 
+def arrived(rows: DataFrame) -> list[str]:
+    """The column that tells the order of arrival, if there is one."""
+    return [c for c in ("arrival",) if c in rows.columns]
+
+
 def first_deliveries(records: DataFrame) -> DataFrame:
     """One row for each record id: the one that came first, by ``arrival`` where there is such a column."""
-    first = [c for c in ("arrival",) if c in records.columns]
+    first = arrived(records)
     w = Window.partitionBy("record_id").orderBy(*first, "ingested_at", "source", F.xxhash64(*[c for c in records.columns if c not in first]))
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -37,7 +43,7 @@ def ranked_keys(keys: DataFrame, cap: int) -> DataFrame:
     The rank limit is applied in each task before rows of a key meet, so a key that very many
     records share costs ``cap + 1`` rows a task.
     """
-    w = Window.partitionBy("key").orderBy("ingested_at", "record_id")
+    w = Window.partitionBy("key").orderBy(*arrived(keys), "ingested_at", "record_id")
     return keys.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap + 1).select("key", "record_id", (F.col("rn") - 1).alias("rank"))
 
 
@@ -167,13 +173,14 @@ ONE_ROW = 10_000
 
 
 def component_events(linked: DataFrame, work: Workspace) -> DataFrame:
-    """Events of (component, record_id, at, older), ``older`` listing linked earlier records.
+    """Events of (component, record_id, at, older), ``older`` listing linked earlier records; ``arrival`` may be there too.
 
     Where one record alone starts an identity, all others of the component join it and no
     merge can come about: that is told without a replay. Other components of up to ONE_ROW
     records are replayed as one row of ids each, larger ones all together in ranges of arrival.
     """
-    first = F.min_by("record_id", F.struct("at", "record_id"))
+    came = [*arrived(linked), "at", "record_id"]
+    first = F.min_by("record_id", F.struct(*came))
     heads = linked.groupBy("component").agg(F.count_if(F.size("older") == 0).alias("starts"), first.alias("founder"), F.count("*").alias("records"))
     heads = work.table(heads, "heads")
     both = linked.join(heads, "component")
@@ -183,13 +190,13 @@ def component_events(linked: DataFrame, work: Workspace) -> DataFrame:
         F.when(new, "0").otherwise("1").alias("other"), F.size("older").alias("n"),
     )
     lists = both.where((F.col("starts") > 1) & (F.col("records") <= ONE_ROW)).groupBy("component").agg(
-        F.array_sort(F.collect_list(F.struct("at", "record_id", "older"))).alias("rows")
+        F.array_sort(F.collect_list(F.struct(*came, "older"))).alias("rows")
     )
     events = plain.unionByName(lists.select("rows").mapInArrow(_replay, _EVENTS))
     large = (F.col("starts") > 1) & (F.col("records") > ONE_ROW)
     if heads.where(large).isEmpty():
         return events
-    return events.unionByName(replay(both.where(large).select("record_id", "at", "older"), work))
+    return events.unionByName(replay(both.where(large).select(*came, "older"), work))
 
 
 def numbered(rows: DataFrame, order: list[str], work: Workspace, name: str) -> DataFrame:
@@ -227,7 +234,8 @@ def history(events: DataFrame) -> DataFrame:
 def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None = None) -> Resolution:
     """Identities of canonical records. Tables are written to the shared folder."""
     work = work or Workspace(canonical.sparkSession, "resolve")
-    records = work.table(first_deliveries(normalized(canonical)).drop("arrival"), "records")
+    records = work.table(first_deliveries(normalized(canonical)), "records")
+    came = arrived(records)
     pairs = candidate_pairs(blocking_keys(records), s.block_cap)
     links = work.table(
         scored(pairs, records, s, matches_only=True).select(
@@ -239,16 +247,19 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
     edges = links.select(F.col("record_a").alias("u"), F.col("record_b").alias("v"))
     parts = connected_components(edges, work)
     older = links.groupBy(F.col("record_b").alias("node")).agg(F.array_sort(F.collect_set("record_a")).alias("older"))
-    linked = parts.join(older, "node", "left").join(records.select(F.col("record_id").alias("node"), F.col("ingested_at").alias("at")), "node")
-    linked = linked.select(F.col("node").alias("record_id"), "component", "at", F.coalesce("older", F.array().cast("array<string>")).alias("older"))
+    linked = parts.join(older, "node", "left").join(records.select(F.col("record_id").alias("node"), F.col("ingested_at").alias("at"), *came), "node")
+    linked = linked.select(F.col("node").alias("record_id"), "component", "at", *came, F.coalesce("older", F.array().cast("array<string>")).alias("older"))
     replayed = component_events(work.table(linked, "linked"), work)
     alone = records.join(parts, F.col("record_id") == F.col("node"), "left_anti").select(
         F.lit("new").alias("kind"), "record_id", F.col("record_id").alias("trigger"), F.col("ingested_at").alias("at"),
         F.col("record_id").alias("founder"), F.lit("0").alias("other"), F.lit(0).alias("n"),
     )
-    events = work.table(replayed.unionByName(alone), "events")
-    fresh = events.where("kind = 'new'").select("founder", F.col("at").alias("created_at"))
-    names = numbered(fresh, ["created_at", "founder"], work, "numbered").withColumn(
+    events = replayed.unionByName(alone)
+    if came:
+        events = events.join(records.select(F.col("record_id").alias("trigger"), *came), "trigger")
+    events = work.table(events, "events")
+    fresh = events.where("kind = 'new'").select("founder", F.col("at").alias("created_at"), *came)
+    names = numbered(fresh, [*came, "created_at", "founder"], work, "numbered").withColumn(
         "identity_id", F.format_string("PID%07d", "number")
     ).select("founder", "identity_id", "created_at")
     names = work.table(names, "names")
@@ -261,7 +272,7 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
         .otherwise(F.concat(F.lit("merged from "), "other_id"))
     )
     moves = named.where("kind <> 'merge'").select(
-        "record_id", "at", F.col("at").alias("trigger_at"), "trigger", "identity_id", reason.alias("reason")
+        "record_id", "at", F.struct(*came, "at").alias("trigger_at"), "trigger", "identity_id", reason.alias("reason")
     )
     assignments = work.table(history(moves).select("record_id", "identity_id", "valid_from", "valid_to", "reason"), "assignments")
     ends = named.where("kind = 'merge'").select(F.col("other").alias("founder"), F.col("identity_id").alias("merged_into"), F.col("at").alias("merged_at"))
@@ -270,7 +281,7 @@ def resolve(canonical: DataFrame, s: Settings = SETTINGS, work: Workspace | None
         "record_id", "identity_id", F.col("kind").alias("action"), F.col("n").alias("matched_records"),
         F.when(F.col("kind") == "merged", F.col("other").cast("int")).otherwise(0).alias("merged_identities"),
     )
-    return Resolution(records, links, assignments, identities, outcomes)
+    return Resolution(records.drop("arrival"), links, assignments, identities, outcomes)
 
 
 def all_outcomes(canonical: DataFrame, r: Resolution) -> DataFrame:

@@ -42,9 +42,17 @@ ENVELOPE = T.StructType([
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Envelopes of a JSON Lines folder or file, with the raw line and what was wrong with it.
 
-    ``arrival`` is the order of the lines; of several files, that in which they are read.
+    ``arrival`` is the order of the lines, of several files in that of their names: the file,
+    the start of the block it was read in, and the place in it. A file is read in blocks, and
+    by many tasks, without a count of the lines before.
     """
-    return parse(spark.read.text(path).select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("arrival")))
+    lines = spark.read.text(path).select(
+        F.col("value").alias("raw"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")
+        ).alias("arrival"),
+    )
+    return parse(lines)
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -58,10 +66,14 @@ def parse(lines: DataFrame) -> DataFrame:
     tree = F.try_parse_json(F.col("_e.payload"))
     kind = lambda f: F.schema_of_variant(F.try_variant_get(tree, f"$.{f}", "variant"))
     other = F.array_compact(F.array(*[F.when(kind(f).isNotNull() & (kind(f) != "STRING"), F.lit(f)) for f in known]))
+    at = F.try_variant_get(F.try_parse_json("raw"), "$.ingested_at", "variant")
+    # no time at all: false, zero, an empty list or object, as is an empty text or null
+    nothing = (F.schema_of_variant(at) != "STRING") & (F.col("_e.ingested_at").isin("false", "[]", "{}") | (F.col("_e.ingested_at").try_cast("double") == 0))
     body = F.from_json("raw", T.StructType([T.StructField("source", T.StringType()), T.StructField("ingested_at", T.StringType()), T.StructField("payload", T.StringType())]))
     is_object = F.get_json_object("raw", "$").rlike("^\\s*\\{")
     return lines.withColumn("_e", body).select(
-        *lines.columns, F.col("_e.source").alias("source"), F.col("_e.ingested_at").alias("ingested_at"),
+        *lines.columns, F.col("_e.source").alias("source"),
+        F.when(~F.coalesce(nothing, F.lit(False)), F.col("_e.ingested_at")).alias("ingested_at"),
         F.when(F.col("_e.payload").rlike("^\\s*\\{"), F.from_json("_e.payload", "map<string,string>")).alias("payload"),
         F.when(F.col("_e.payload").rlike("^\\s*\\{"), other).alias("not_text"),
         (~F.coalesce(is_object, F.lit(False))).alias("broken"),
@@ -112,6 +124,12 @@ def contract_error(not_text: Column | None = None) -> Column:
     )
 
 
+def time_error() -> Column:
+    """What is wrong with a time that no clock shows; such a record would be in no view at any time."""
+    unread = F.col("ingested_at").try_cast("timestamp_ntz").isNull()
+    return F.when(unread, F.concat(F.lit("ingested_at is no time: '"), "ingested_at", F.lit("'")))
+
+
 def validated(envelopes: DataFrame) -> DataFrame:
     return envelopes.withColumn("error", contract_error(F.col("not_text") if "not_text" in envelopes.columns else None))
 

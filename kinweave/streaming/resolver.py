@@ -21,7 +21,7 @@ from kinweave.config import SETTINGS, Settings
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import blocking_keys, normalized
 from kinweave.plans.resolve import Resolution, candidate_pairs_of, first_deliveries, history, numbered, scored
-from kinweave.sources.contracts import canonical, contract_error, parse
+from kinweave.sources.contracts import canonical, contract_error, parse, time_error
 from kinweave.sources.ledger import Change, Kept, Ledger
 from kinweave.workspace import Workspace
 
@@ -108,7 +108,7 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
         return
     change = Change(before)
     work = Workspace(lake.spark, "stream")
-    error = F.when(F.col("broken"), F.lit("not a JSON object")).otherwise(contract_error(F.col("not_text")))
+    error = F.when(F.col("broken"), F.lit("not a JSON object")).otherwise(F.coalesce(contract_error(F.col("not_text")), time_error()))
     checked = work.table(parse(lines).withColumn("error", error), "checked")
     where = [c for c in ("topic", "partition", "offset") if c in checked.columns]
     letters = checked.where("error is not null").select(F.to_json(F.struct("error", *where, "raw")).alias("value"))
