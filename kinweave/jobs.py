@@ -31,6 +31,16 @@ def offline(spark: SparkSession, folder: str, store: str) -> dict:
     return {"actions": found, "contract_errors": checked.where("error is not null").count(), "records_per_second": round(total / (time.monotonic() - began), 1)}
 
 
+def serve(spark: SparkSession, lines: str, lake: str, checkpoint: str, until_empty: bool) -> None:
+    """Resolve a folder of lines as they come, with a row of metrics every ten seconds, until SIGTERM."""
+    stopping, meter = resolver.Stopping(), resolver.Meter(resolver.Lake(spark, lake))
+    spark.streams.addListener(meter)
+    try:
+        resolver.serve(resolver.start(ingest.folder_lines(spark, lines), lake, checkpoint, until_empty, stopping=stopping), stopping)
+    finally:
+        spark.streams.removeListener(meter)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="kinweave.jobs")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -69,7 +79,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         lines = spark.read.text(f"{a.folder}/records").select(F.col("value").alias("raw"), F.get_json_object("value", "$.ingested_at").alias("at"))
         print(tables.replay(lines, a.target, a.rate, a.limit))
     else:
-        resolver.start(ingest.folder_lines(spark, a.lines), a.lake, a.checkpoint, a.until_empty).awaitTermination()
+        serve(spark, a.lines, a.lake, a.checkpoint, a.until_empty)
 
 
 if __name__ == "__main__":

@@ -247,13 +247,17 @@ class Ledger:
         if any(k >= number and self._get(k) is not None for k in taken):
             raise Conflict(f"commit {number} is there already")
         number = max([number, *(k + 1 for k in taken)])
-        fs, path = self._at(f"_commits/{number:012d}.json")
-        stream = fs.create(path, False)  # fails if it is there
+        self.note(f"_commits/{number:012d}.json", text)
+        return number
+
+    def note(self, name: str, text: str) -> None:
+        """Write a small file beside the tables, which must not be there yet."""
+        fs, path = self._at(name)
+        stream = fs.create(path, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        return number
 
     def _clean(self) -> None:
         """Delete commits beyond the last KEPT_COMMITS, and the runs that only they list."""

@@ -52,13 +52,20 @@ def start(lines: DataFrame, lake: str, checkpoint: str, available_now: bool = Tr
     return writer.start()
 
 
-def folder_lines(spark: SparkSession, folder: str, files_per_batch: int = 200) -> DataFrame:
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select(F.col("value").alias("raw"))
+def folder_lines(spark: SparkSession, folder: str, files_per_batch: int | None = 200, bytes_per_batch: str | None = None) -> DataFrame:
+    """Lines of new files of a folder; a batch takes so many files, or files of so many bytes (such as "64k") if that is given."""
+    source = spark.readStream
+    source = source.option("maxBytesPerTrigger", bytes_per_batch) if bytes_per_batch else source.option("maxFilesPerTrigger", files_per_batch)
+    return source.text(folder).select(F.col("value").alias("raw"))
 
 
-def topic_lines(spark: SparkSession, servers: str, topics: list[str], most: int = 200) -> DataFrame:
-    """Lines of Kafka topics; needs Spark's Kafka connector on the class path."""
+def topic_lines(spark: SparkSession, servers: str, topics: list[str], most: int = 200, delay: str = "2s") -> DataFrame:
+    """Lines of Kafka topics; needs Spark's Kafka connector on the class path.
+
+    A batch begins when ``most`` messages wait, or after ``delay``, and takes ``most`` at most.
+    """
     source = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
+    source = source.option("minOffsetsPerTrigger", most).option("maxTriggerDelay", delay)
     rows = source.option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", most).load()
     return rows.select(F.col("value").cast("string").alias("raw"), "topic", "partition", "offset")
 

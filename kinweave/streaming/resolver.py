@@ -10,12 +10,19 @@ nothing. Arrival order is the batch, then (ingested_at, record_id).
 
 from __future__ import annotations
 
+import json
 import re
+import signal
+import threading
+import time
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from kinweave.config import SETTINGS, Settings
 from kinweave.operators.components import connected_components
@@ -194,7 +201,9 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     counts = checked.agg(F.count("*").alias("lines"), F.count_if(F.col("error").isNotNull()).alias("dead_lettered"))
     counts = counts.crossJoin(good.agg(F.count_if(F.size("unexpected_fields") > 0).alias("schema_additions")))
     counts = counts.crossJoin(skipped.agg(F.count("*").alias("skipped_hub_blocks"))).crossJoin(counted)
-    change.append("metrics", counts)
+    counted = change.append("metrics", counts).first().asDict()
+    sums = before.facts.get("totals", {})
+    change.facts["totals"] = {k: sums.get(k, 0) + n for k, n in counted.items()}
     change.commit()
     work.drop()
 
@@ -216,25 +225,120 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
 
 
-def start(lines: DataFrame, path: str, checkpoint: str, available_now: bool = True, s: Settings = SETTINGS) -> StreamingQuery:
-    """Resolve a streaming frame with a text column ``raw``; stop with ``query.stop()``."""
-    run = lambda rows, batch: resolve_batch(Lake(rows.sparkSession, path), batch, rows, s)
+def start(
+    lines: DataFrame, path: str, checkpoint: str, available_now: bool = True, s: Settings = SETTINGS, stopping: Stopping | None = None
+) -> StreamingQuery:
+    """Resolve a streaming frame with a text column ``raw``; stop with ``query.stop()`` or by :func:`serve`."""
+
+    def run(rows: DataFrame, batch: int) -> None:
+        if stopping is not None:
+            stopping.check()
+        resolve_batch(Lake(rows.sparkSession, path), batch, rows, s)
+
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")
     return writer.start()
 
 
+class Stopping:
+    """Lets the batch in work end, and refuses the next one, which then runs after a restart."""
+
+    def __init__(self) -> None:
+        self.asked, self.refused = threading.Event(), threading.Event()
+
+    def check(self) -> None:
+        if self.asked.is_set():
+            self.refused.set()
+            raise InterruptedError("stopped before this batch")
+
+
+def serve(query: StreamingQuery, stopping: Stopping, signals: tuple[int, ...] = (signal.SIGTERM, signal.SIGINT)) -> None:
+    """Wait for a query; at one of the signals let its batch end, commit, and stop. From the main thread."""
+    before = {k: signal.signal(k, lambda *_: stopping.asked.set()) for k in signals}
+    try:
+        while not query.awaitTermination(1):
+            if stopping.asked.is_set() and not query.status["isTriggerActive"]:
+                query.stop()
+    except StreamingQueryException:
+        if not stopping.refused.is_set():
+            raise
+    finally:
+        for k, handler in before.items():
+            signal.signal(k, handler)
+
+
+def _waiting(sources) -> int:
+    """How many offsets the sources of a batch still hold."""
+    lag = 0
+    for source in sources:
+        end, latest = (_parsed(source.get(k) if isinstance(source, dict) else getattr(source, k, None)) for k in ("endOffset", "latestOffset"))
+        if isinstance(end, dict) and isinstance(latest, dict):
+            for topic, parts in latest.items():
+                if isinstance(parts, dict):
+                    lag += sum(max(int(to) - int(end.get(topic, {}).get(p, 0)), 0) for p, to in parts.items())
+    return lag
+
+
+def _parsed(offset):
+    if isinstance(offset, str):
+        try:
+            return json.loads(offset)
+        except ValueError:
+            return None
+    return offset
+
+
 def progress(query: StreamingQuery) -> dict | None:
     """Lines a second of the last batch, and how many offsets its source still holds."""
     last = query.lastProgress
     if not last:
         return None
     last = last if isinstance(last, dict) else last.jsonValue if hasattr(last, "jsonValue") else vars(last)
-    lag = 0
-    for source in last.get("sources", []):
-        end, latest = source.get("endOffset"), source.get("latestOffset")
-        if isinstance(end, dict) and isinstance(latest, dict):
-            for topic, parts in latest.items():
-                if isinstance(parts, dict):
-                    lag += sum(max(int(to) - int(end.get(topic, {}).get(p, 0)), 0) for p, to in parts.items())
-    return {"rate": last.get("processedRowsPerSecond"), "lag": lag, "batch": last.get("batchId")}
+    return {"rate": last.get("processedRowsPerSecond"), "lag": _waiting(last.get("sources", [])), "batch": last.get("batchId")}
+
+
+METER = "at timestamp, seconds double, lines long, rate double, lag long, batch long, totals map<string,long>"
+
+
+class Meter(StreamingQueryListener):
+    """Appends a row about a lake's stream every so many seconds, and one when it ends.
+
+    ``rate`` is that of the lines since the row before; ``totals`` are of the whole stream, as
+    its last commit has them. Register with ``spark.streams.addListener``; rows are read by
+    :func:`metered`.
+    """
+
+    def __init__(self, lake: Lake, every: float = 10.0, clock=time.time) -> None:
+        self.lake, self.every, self.clock = lake, every, clock
+        self.since, self.lines = clock(), lake.snapshot().facts.get("totals", {}).get("lines", 0)
+        self.lag, self.batch, self.told = 0, -1, None
+
+    def onQueryStarted(self, event) -> None:
+        """Nothing to tell yet."""
+
+    def onQueryIdle(self, event) -> None:
+        self._tell(self.every)
+
+    def onQueryProgress(self, event) -> None:
+        self.lag, self.batch = _waiting(event.progress.sources), event.progress.batchId
+        self._tell(self.every)
+
+    def onQueryTerminated(self, event) -> None:
+        if self.told != self.batch:
+            self._tell(0)
+
+    def _tell(self, every: float) -> None:
+        now = self.clock()
+        if now - self.since < every:
+            return
+        totals = self.lake.snapshot().facts.get("totals", {})
+        lines, seconds = totals.get("lines", 0) - self.lines, now - self.since
+        at = datetime.fromtimestamp(now, timezone.utc).isoformat(timespec="milliseconds")
+        row = {"at": at, "seconds": seconds, "lines": lines, "rate": lines / seconds if seconds > 0 else 0.0, "lag": self.lag, "batch": self.batch, "totals": totals}
+        self.lake.note(f"_meter/{int(now * 1000):015d}-{uuid.uuid4().hex[:6]}.json", json.dumps(row))
+        self.since, self.lines, self.told = now, totals.get("lines", 0), self.batch
+
+
+def metered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that a :class:`Meter` has told, in no order."""
+    return spark.read.schema(METER).json(f"{path}/_meter")
