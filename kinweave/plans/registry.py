@@ -531,9 +531,10 @@ def t8_top_suspicious(spark, sf_dir):
     return top.drop("features").withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query(f"""{_PERSONS}, big AS (SELECT c FROM comp GROUP BY c HAVING count(*) >= {SETTINGS.min_ring}), own AS (SELECT c, i, kind, value FROM comp JOIN ia USING (i) WHERE c IN (SELECT c FROM big))
+@query(f"""{_PERSONS}, big AS (SELECT c FROM comp GROUP BY c HAVING count(*) >= {SETTINGS.min_ring}), own AS (
+    SELECT c, i, kind, value, count(*) OVER w <= {SETTINGS.hub_limit} OR i = min(i) OVER w AS heads FROM comp JOIN ia USING (i) WHERE c IN (SELECT c FROM big) WINDOW w AS (PARTITION BY c, kind, value))
 SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS kinds
-FROM own a JOIN own b ON a.c = b.c AND a.kind = b.kind AND a.value = b.value AND a.i < b.i GROUP BY ALL""")
+FROM own a JOIN own b ON a.c = b.c AND a.kind = b.kind AND a.value = b.value AND a.i < b.i WHERE a.heads GROUP BY ALL""")
 def j11_component_edges(spark, sf_dir):
     r = by_person(spark, sf_dir)
     return rings.shared_edges(rings.ring_report(r), rings.identity_attributes(r)).select("a", "b", F.array_join("kinds", ",").alias("kinds"))
@@ -710,8 +711,9 @@ def q3_overview(spark, sf_dir):
     return seen.select("suspicious_total", "suspicious_open", told("label_counts").alias("label_counts"), told("decisions").alias("decisions"))
 
 
-@query(f"""{_RESOLVED_IDENT}, one AS (SELECT * FROM report WHERE component_id = 1), own AS (SELECT ia.* FROM one JOIN comp USING (c) JOIN ia ON ia.i = comp.i),
-met AS (SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, '+' ORDER BY a.kind) AS kinds FROM own a JOIN own b ON a.kind = b.kind AND a.value = b.value AND a.i < b.i GROUP BY ALL)
+@query(f"""{_RESOLVED_IDENT}, one AS (SELECT * FROM report WHERE component_id = 1), own AS (
+    SELECT ia.*, count(*) OVER w <= {SETTINGS.hub_limit} OR ia.i = min(ia.i) OVER w AS heads FROM one JOIN comp USING (c) JOIN ia ON ia.i = comp.i WINDOW w AS (PARTITION BY kind, value)),
+met AS (SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, '+' ORDER BY a.kind) AS kinds FROM own a JOIN own b ON a.kind = b.kind AND a.value = b.value AND a.i < b.i WHERE a.heads GROUP BY ALL)
 SELECT component_id, label, risk AS risk_score, identity_ids AS nodes, (SELECT string_agg(a || ' ' || b || ' ' || kinds, ',' ORDER BY a, b) FROM met) AS edges,
     'confirmed_fraud' AS decision FROM one""")
 def q11_ring_detail(spark, sf_dir):

@@ -84,13 +84,20 @@ def ring_report(r: Resolution, s: Settings = SETTINGS, work: Workspace | None =
     return out.withColumnRenamed("number", "component_id").drop("_risk", "_n", "component")
 
 
-def shared_edges(report: DataFrame, attrs: DataFrame) -> DataFrame:
-    """(component_id, a, b, kinds): identities of a component that share an attribute."""
+def shared_edges(report: DataFrame, attrs: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+    """(component_id, a, b, kinds): identities of a component that share an attribute.
+
+    An attribute that up to ``hub_limit`` identities of the component have joins all two of
+    them; one that more have joins the least of them with each other, so there are at most
+    ``hub_limit`` rows for each identity that has it.
+    """
     ids = report.select("component_id", F.explode("identity_ids").alias("identity_id"))
     own = ids.join(attrs, "identity_id")
-    a, b = own.alias("a"), own.alias("b")
-    met = a.join(b, ["component_id", "kind", "value"]).where("a.identity_id < b.identity_id")
-    return met.groupBy("component_id", F.col("a.identity_id").alias("a"), F.col("b.identity_id").alias("b")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    key = ["component_id", "kind", "value"]
+    sizes = own.groupBy(*key).agg(F.count("*").alias("n"), F.min("identity_id").alias("least")).where("n > 1")
+    heads = own.join(sizes, key).where((F.col("n") <= s.hub_limit) | (F.col("identity_id") == F.col("least")))
+    met = heads.select(*key, F.col("identity_id").alias("a")).join(own.select(*key, F.col("identity_id").alias("b")), key).where("a < b")
+    return met.groupBy("component_id", "a", "b").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def evaluate_rings(report: DataFrame, assignments: DataFrame, truth: DataFrame) -> DataFrame:
