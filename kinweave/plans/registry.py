@@ -713,8 +713,8 @@ def q3_overview(spark, sf_dir):
 
 @query(f"""{_RESOLVED_IDENT}, one AS (SELECT * FROM report WHERE component_id = 1), own AS (
     SELECT ia.*, count(*) OVER w <= {SETTINGS.hub_limit} OR ia.i = min(ia.i) OVER w AS heads FROM one JOIN comp USING (c) JOIN ia ON ia.i = comp.i WINDOW w AS (PARTITION BY kind, value)),
-met AS (SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, '+' ORDER BY a.kind) AS kinds FROM own a JOIN own b ON a.kind = b.kind AND a.value = b.value AND a.i < b.i WHERE a.heads GROUP BY ALL)
-SELECT component_id, label, risk AS risk_score, identity_ids AS nodes, (SELECT string_agg(a || ' ' || b || ' ' || kinds, ',' ORDER BY a, b) FROM met) AS edges,
+ties AS (SELECT a.i AS a, b.i AS b, string_agg(DISTINCT a.kind, '+' ORDER BY a.kind) AS kinds FROM own a JOIN own b ON a.kind = b.kind AND a.value = b.value AND a.i < b.i WHERE a.heads GROUP BY ALL)
+SELECT component_id, label, risk AS risk_score, identity_ids AS nodes, (SELECT string_agg(a || ' ' || b || ' ' || kinds, ',' ORDER BY a, b) FROM ties) AS edges,
     'confirmed_fraud' AS decision FROM one""")
 def q11_ring_detail(spark, sf_dir):
     kept = _reviewed(spark, sf_dir)

@@ -103,22 +103,23 @@ class Change:
         self.written: list[tuple[str, str]] = []  # tables and folders
         self.replaced: set[str] = set()
 
-    def append(self, name: str, rows: DataFrame) -> DataFrame:
+    def append(self, name: str, rows: DataFrame, ranged: bool = False) -> DataFrame:
         """Write rows of a table; returns a scan of them, to be used before the commit.
 
-        Of a ``latest`` table they hold a key once.
+        Of a ``latest`` table they hold a key once. ``ranged`` deals rows to files by ranges of
+        hashes, for which they are made twice; without it only merges do.
         """
         ledger, kept = self.ledger, self.ledger.tables[name]
         key = F.xxhash64(*kept.key) if kept.key else F.lit(0).cast("long")
         marked = rows.select(*kept.columns).withColumn("_h", key).withColumn("_seq", F.lit(self.base.number + 1).cast("long"))
-        folder = ledger._write(name, marked, 0)
+        folder = ledger._write(name, marked if ranged else marked.hint("rebalance"), 0, ranged)
         self.written.append((name, folder))
         return ledger.spark.read.schema(kept.schema).parquet(f"{ledger.path}/{folder}")
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
         """Like :meth:`append`, for a table that then has nothing of what it had."""
         self.replaced.add(name)
-        return self.append(name, rows)
+        return self.append(name, rows, ranged=True)
 
     def commit(self) -> Snapshot:
         """Merge what has come together and make all of it the newest state."""
@@ -142,7 +143,7 @@ class Change:
         while len(some := [r for r in runs if r.level == level]) >= fanout:
             files = [f for r in some for f in r.files]
             rows = self.ledger._newest(name, self.ledger._scan(name, files))
-            folder = self.ledger._write(name, rows, level + 1, sum(f[3] for f in files))
+            folder = self.ledger._write(name, rows, level + 1, True, sum(f[3] for f in files))
             self.written.append((name, folder))
             level += 1
             runs = [r for r in runs if r.level != level - 1] + [_Run(level, self.ledger._files_of([folder])[0])]
@@ -191,11 +192,12 @@ class Ledger:
     def _rows(self, name: str, files: list[list], only=lambda rows: rows) -> DataFrame:
         return self._newest(name, only(self._scan(name, files))).select(*self.tables[name].columns)
 
-    def _write(self, name: str, rows: DataFrame, level: int, n: int | None = None) -> str:
+    def _write(self, name: str, rows: DataFrame, level: int, ranged: bool, n: int | None = None) -> str:
         """Write rows, of which there are ``n`` about if that is known, in order of their hashes; the folder."""
         folder = f"{name}/{level}-{uuid.uuid4().hex}"
         by = "_h" if self.tables[name].key else "_seq"
-        rows = rows.repartitionByRange(max(1, -(-n // ROWS_PER_FILE)), by) if n else rows.repartitionByRange(by)
+        if ranged:
+            rows = rows.repartitionByRange(max(1, -(-n // ROWS_PER_FILE)), by) if n else rows.repartitionByRange(by)
         writer = rows.sortWithinPartitions(by).write.option("compression", "zstd").option("parquet.page.row.count.limit", ROWS_PER_PAGE)
         writer.parquet(f"{self.path}/{folder}")
         return folder
