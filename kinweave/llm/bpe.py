@@ -297,17 +297,22 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [hashlib.sha256(row.astype("<u4").tobytes()).hexdigest() for row in _rows_of(batch.column("ids"))]
         texts = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in batch.column("decoded").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
+            [batch.column("_id"), batch.column("n_tokens"), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again with the public byte-level vocabulary of 50,257 ids."""
+    """Every text encoded and decoded again with the public byte-level vocabulary of 50,257 ids.
+
+    What :func:`encode` and :func:`decode` do is done in one Python worker here, so ids and
+    texts do not go back and forth.
+    """
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    shared = _Shared(spark, public_tokenizers.path("byte_bpe_50k.json"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    coded = decode(encode(docs, path), path)
+    rows = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"))
+    coded, decoded = _encoding(shared, "_text"), _decoding(shared)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(_digests, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lambda batches: _digests(decoded(coded(batches))), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
