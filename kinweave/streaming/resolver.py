@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from kinweave.config import SETTINGS, Settings
 from kinweave.operators.components import connected_components
 from kinweave.operators.normalize import blocking_keys, normalized
-from kinweave.plans.resolve import Resolution, candidate_pairs_of, first_deliveries, history, numbered, scored
+from kinweave.plans.resolve import Resolution, blocks, first_deliveries, history, may_match, numbered, pairs_of_blocks, said, scored
 from kinweave.sources.contracts import canonical, contract_error, parse, time_error
 from kinweave.sources.ledger import Change, Kept, Ledger
 from kinweave.workspace import Workspace
@@ -133,9 +133,10 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     ranked = keys.join(held, "key", "left").withColumn("rank", F.row_number().over(w) - 1 + F.coalesce("held", F.lit(0)))
     skipped = ranked.where(F.col("rank") > s.block_cap)
     ranked = change.append("keys", ranked.where(F.col("rank") <= s.block_cap))
-    pairs = work.table(candidate_pairs_of(ranked, earlier.unionByName(ranked)), "pairs")
-    met = before.lookup("records", pairs.select(F.col("older").alias("record_id"))).unionByName(new)
-    links = scored(pairs, met, s, matches_only=True).select(
+    met = before.lookup("records", earlier.join(ranked, "key", "left_semi")).unionByName(new)
+    rows = work.table(blocks(earlier.unionByName(ranked), met, *said()), "blocks")
+    later = rows.join(new.select("record_id"), "record_id", "left_semi")
+    links = scored(pairs_of_blocks(later, rows, may_match(s)), s, matches_only=True).select(
         F.col("older").alias("record_a"), F.col("newer").alias("record_b"), "score", "name_similarity", "reasons", F.col("linked_at").alias("created_at")
     )
     links = change.append("links", links)
