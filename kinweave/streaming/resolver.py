@@ -130,8 +130,10 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     earlier = work.table(before.lookup("keys", keys), "earlier")
     held = earlier.groupBy("key").agg((F.max("rank") + 1).alias("held"))
     w = Window.partitionBy("key").orderBy("ingested_at", "record_id")
-    ranked = keys.join(held, "key", "left").withColumn("rank", F.row_number().over(w) - 1 + F.coalesce("held", F.lit(0)))
-    skipped = ranked.where(F.col("rank") > s.block_cap)
+    # a full block takes nobody; of others each task lets the first ones through before rows of the key meet
+    room = keys.join(held, "key", "left").where(F.coalesce("held", F.lit(0)) <= s.block_cap)
+    room = room.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= s.block_cap + 1)
+    ranked = room.withColumn("rank", F.col("_n") - 1 + F.coalesce("held", F.lit(0)))
     ranked = change.append("keys", ranked.where(F.col("rank") <= s.block_cap))
     met = before.lookup("records", earlier.join(ranked, "key", "left_semi")).unionByName(new)
     rows = work.table(blocks(earlier.unionByName(ranked), met, *said()), "blocks")
@@ -149,16 +151,31 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     parts = connected_components(edges.select(F.col("node").alias("u"), F.col("older").alias("v")), work)
     arrivals = new.select(F.concat(F.lit("R:"), "record_id").alias("node"), F.col("ingested_at").alias("at"))
     older = edges.groupBy("node").agg(F.collect_set("older").alias("older"), F.count("*").cast("int").alias("matched"))
-    told = arrivals.join(older, "node", "left").join(parts, "node", "left").select(
-        F.coalesce("component", "node").alias("component"), "at", "node",
-        F.coalesce("older", F.array().cast("array<string>")).alias("older"), F.coalesce("matched", F.lit(0)).alias("matched"),
+    # Whoever has no link starts an identity. Where one identity or record alone is before all
+    # others of a component, these join it. Both are told without a replay.
+    nobody, none = F.lit(None).cast("string").alias("gone"), F.lit(0)
+    linked = work.table(parts.join(arrivals, "node", "left").join(older, "node", "left"), "linked")
+    alone = arrivals.join(linked, "node", "left_anti").select(
+        F.lit("new").alias("kind"), "node", F.col("node").alias("trigger"), "at", F.col("node").alias("holder"), nobody, none.alias("matched"), none.alias("bridged")
     )
-    rows = told.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "node", "older", "matched"))).alias("rows"))
-    touched = edges.where(F.col("older").startswith("I:")).select(F.substring("older", 3, 40).alias("identity_id"))
+    first, is_new = F.col("older").isNull(), F.col("node").startswith("R:")
+    heads = linked.groupBy("component").agg(F.count_if(first).alias("starts"), F.min(F.when(first, F.col("node"))).alias("holder"))
+    both = work.table(linked.join(heads, "component"), "both")
+    plain = both.where((F.col("starts") == 1) & is_new).select(
+        F.when(first, "new").otherwise("joined").alias("kind"), "node", F.col("node").alias("trigger"), "at", "holder", nobody,
+        F.coalesce("matched", none).alias("matched"), F.when(first, 0).otherwise(1).alias("bridged"),
+    )
+    bridging = both.where("starts > 1")
+    rows = bridging.where(is_new).select(
+        "component", "at", "node", F.coalesce("older", F.array().cast("array<string>")).alias("older"), F.coalesce("matched", none).alias("matched")
+    )
+    rows = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "node", "older", "matched"))).alias("rows"))
+    touched = bridging.where(~is_new).select("component", "node", F.substring("node", 3, 40).alias("identity_id"))
     members = work.table(before.lookup("members", touched), "members")  # whoever came to an identity is in it until it ends
-    sizes = members.groupBy("identity_id").agg(F.count("*").cast("int").alias("n")).select(F.concat(F.lit("I:"), "identity_id").alias("node"), "n")
-    sizes = sizes.join(parts, "node").groupBy("component").agg(F.collect_list(F.struct(F.col("node").alias("identity"), "n")).alias("sizes"))
-    events = work.table(rows.join(sizes, "component", "left").select("rows", "sizes").mapInArrow(_replay, _EVENTS), "events")
+    sizes = members.groupBy("identity_id").agg(F.count("*").cast("int").alias("n")).join(touched, "identity_id")
+    sizes = sizes.groupBy("component").agg(F.collect_list(F.struct(F.col("node").alias("identity"), "n")).alias("sizes"))
+    replayed = rows.join(sizes, "component", "left").select("rows", "sizes").mapInArrow(_replay, _EVENTS)
+    events = work.table(alone.unionByName(plain).unionByName(replayed), "events")
 
     largest = before.facts.get("identities", 0)
     fresh = numbered(events.where("kind = 'new'").select("node", "at"), ["at", "node"], work, "numbered")
@@ -201,7 +218,8 @@ def resolve_batch(lake: Lake, batch: int, lines: DataFrame, s: Settings = SETTIN
     counted = outcomes.agg(*[F.count_if(F.col("action") == a).alias(a) for a in actions])
     counts = checked.agg(F.count("*").alias("lines"), F.count_if(F.col("error").isNotNull()).alias("dead_lettered"))
     counts = counts.crossJoin(good.agg(F.count_if(F.size("unexpected_fields") > 0).alias("schema_additions")))
-    counts = counts.crossJoin(skipped.agg(F.count("*").alias("skipped_hub_blocks"))).crossJoin(counted)
+    counts = counts.crossJoin(keys.agg(F.count("*").alias("held"))).crossJoin(ranked.agg(F.count("*").alias("kept"))).crossJoin(counted)
+    counts = counts.withColumn("skipped_hub_blocks", F.col("held") - F.col("kept"))
     counted = change.append("metrics", counts).first().asDict()
     sums = before.facts.get("totals", {})
     change.facts["totals"] = {k: sums.get(k, 0) + n for k, n in counted.items()}
