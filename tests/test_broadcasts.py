@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.plans import read, resolve as res
+from kinweave.plans import evaluate, read, resolve as res
+from kinweave.sources import bridge
 from kinweave.workspace import Workspace
 from tests.test_resolution import SCHEMA, bridge_rows, resolved
 
@@ -39,3 +40,12 @@ def test_resolution_broadcasts_no_records_and_no_identities(spark, written):
     assert broadcasts(read.summaries(r)) == broadcasts(r.outcomes) == 0
     once = spark.createDataFrame(bridge_rows(), SCHEMA)
     assert broadcasts(res.all_outcomes(once.union(once), r)) == 0
+
+
+def test_truth_of_people_is_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    truth = bridge.truth(spark, str(tmp_path))
+    assert broadcasts(truth) == 0 and truth.count() == 110
+    now = Workspace(spark, "t", shuffled=True).table(truth.select("record_id", F.col("person_id").alias("identity_id")), "now")
+    assert evaluate.pairwise_metrics(now, truth).first().recall == 1.0
+    assert broadcasts(now.join(truth, "record_id")) == 0
